@@ -1,7 +1,7 @@
 """Quality rules with thresholds learned per language and source (operator 8).
 
 Each rule looks at a share in thousandths (symbols, capitals, repeated lines,
-repeated words).  A mergeable quantile sketch per language and source - the
+repeated passages, words said twice in a row).  A mergeable quantile sketch per language and source - the
 number of documents in each of 1001 equal bins, so that merging is addition, the
 error is one thousandth and the order of the rows never matters - gives the
 quartiles of a share; a document fails a rule when its share lies above
@@ -28,14 +28,14 @@ from glyphlake.llm.common import Words, as_bytes, chunks, settle, table
 #: Fixed rules of the contract: at least so many words; at most so many per cent of repeated words.
 MIN_WORDS, MAX_REPEAT_PER_CENT, REPEAT_WINDOW = 20, 30, 8
 #: A rule's smallest spread, in thousandths.
-RULES = {"symbol": 15, "capital": 60, "dup_line": 100, "repeat": 60}
+RULES = {"symbol": 15, "capital": 60, "dup_line": 130, "repeat": 80, "stutter": 40}
 SPREADS = 4
 MIN_GROUP = 30
 #: Threshold rows up to which the join is a broadcast (about 100 bytes a row); above, it is salted.
 MAX_BROADCAST_GROUPS = 20_000
 SALTS = 32
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
 _SYMBOL, _CAPITAL, _BLANK, _LETTER_START = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[list(b"#*$%&|<>")] = True
 _CAPITAL[65:91] = True
@@ -58,6 +58,12 @@ def count_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
     out["word_chars"] = _within(_LETTER_START[w.buf] & ~_BLANK[w.buf], w.text_start)
     out["n_symbols"] = _within(_SYMBOL[w.buf], w.text_start)
     out["n_capitals"] = _within(_CAPITAL[w.buf], w.text_start)
+    same = np.zeros(len(w.hash) + 1, np.int64)  # words equal to the one before; the first of a text has none before
+    if len(w.hash):
+        equal = np.r_[False, w.hash[1:] == w.hash[:-1]]
+        equal[w.offset[:-1][np.diff(w.offset) > 0]] = False
+        np.cumsum(equal, out=same[1:])
+    out["n_stutters"] = np.diff(same[w.offset])
     h, offset = w.windows(REPEAT_WINDOW)
     for i, t in enumerate(texts):
         lines = [x for x in t.split(b"\n") if x.strip()]
@@ -103,6 +109,7 @@ def _shares() -> dict:
         "capital": _share("_q_n_capitals", "_q_word_chars"),
         "dup_line": _share("_q_n_dup_lines", "_q_n_lines"),
         "repeat": _share("_q_n_repeat_words", "_q_n_words"),
+        "stutter": _share("_q_n_stutters", "_q_n_words"),
     }
 
 

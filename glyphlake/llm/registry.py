@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, quality
+from glyphlake.llm import bpe, quality, toxicity
 
 QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
