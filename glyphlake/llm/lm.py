@@ -1,11 +1,11 @@
 """Language-model scoring by logistic context mixing over bits (operator 10).
 
 Every byte of a text, and one zero byte that ends it, is predicted bit by bit.
-Hashed-context predictors of orders 1 to 4 (the bytes before, and the bits of this
+Hashed-context predictors of orders 1 to 5 (the bytes before, and the bits of this
 byte so far) hold counts of zeros and ones; a gated set of weights mixes their
 log odds, and a table indexed by the previous byte and the mixed odds refines the
 result.  Counts come from the whole training text: each task counts its windows
-of five bytes, Spark adds them up, and every window adds its count to the slots of
+of six bytes, Spark adds them up, and every window adds its count to the slots of
 its bits.  Weights and table are learned online, one mini-batch after another, on
 a bounded sample of windows, whose own count is left out of the slots.  Scoring
 uses the model as learned, so a text's score doesn't depend on other scored texts.
@@ -32,8 +32,10 @@ from glyphlake.llm.common import Words, as_bytes, chunks, settle, signed, table
 
 #: Tokens whose counts are sent to every task (16 bytes each).
 HEAD_TOKENS = 1 << 18
-#: Log2 of the slots of orders 1 to 4; what is collected and sent is bounded by their sum.
-SLOT_BITS = (16, 20, 21, 22)
+#: Log2 of the slots of orders 1 to 5; what is collected and sent is bounded by their sum.
+SLOT_BITS = (16, 19, 21, 21, 22)
+#: Bytes of a window: the context of the highest order and the byte itself.
+WIDTH = len(SLOT_BITS) + 1
 #: Windows that weights are learned on, and rows of one online step.
 SAMPLE, STEP = 1 << 18, 1 << 10
 #: Distinct windows that a task gathers before it hands on their counts.
@@ -42,21 +44,22 @@ _STARTS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])]).astype(n
 _MEMO_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAM, _TOKEN = 0, 1
-_CLIP, _CELLS = 12.0, 24
+_CLIP, _CELLS, BIAS = 12.0, 24, 0.3
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and the end of each text the five bytes that end there, as one integer; and each text's span of them."""
-    raw = np.frombuffer(b"".join(b"\0\0\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.int64)
-    sizes = np.fromiter((len(t) + 5 for t in texts), np.int64, len(texts))
+    """For every byte and the end of each text the WIDTH bytes that end there, as one integer; and each text's span of them."""
+    before = bytes(WIDTH - 1)
+    raw = np.frombuffer(b"".join(before + t + b"\0" for t in texts), np.uint8).astype(np.int64)
+    sizes = np.fromiter((len(t) + WIDTH for t in texts), np.int64, len(texts))
     w = raw.copy()
-    for k in range(1, 5):
+    for k in range(1, WIDTH):
         w[k:] |= raw[:-k] << (8 * k)
     ends = np.cumsum(sizes)
     real = np.ones(len(raw), bool)
-    for k in range(4):
+    for k in range(WIDTH - 1):
         real[ends - sizes + k] = False
-    return w[real], np.concatenate([[0], np.cumsum(sizes - 4)])
+    return w[real], np.concatenate([[0], np.cumsum(sizes - WIDTH + 1)])
 
 
 def slots(w: np.ndarray, bit: int) -> list[np.ndarray]:
@@ -65,7 +68,7 @@ def slots(w: np.ndarray, bit: int) -> list[np.ndarray]:
     out = []
     for order, bits in enumerate(SLOT_BITS, 1):
         context = (w >> 8) & ((1 << (8 * order)) - 1)
-        key = (context << 8 | node).view(np.uint64) + np.uint64(order << 56)
+        key = context.view(np.uint64) * np.uint64(0xD6E8FEB86659FD95) + node.view(np.uint64) + np.uint64(order << 56)
         key = (key ^ (key >> np.uint64(31))) * _MIX
         key = (key ^ (key >> np.uint64(29))) * _MIX
         out.append((key >> np.uint64(64 - bits)).astype(np.int64) + _STARTS[order - 1])
@@ -136,7 +139,7 @@ def slot_counts(grams: DataFrame) -> DataFrame:
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((ones + 0.08) / (zeros + 0.08)), -_CLIP, _CLIP)
+    return np.clip(np.log((ones + 0.2) / (zeros + 0.2)), -_CLIP, _CLIP)
 
 
 class Model:
@@ -148,9 +151,9 @@ class Model:
         self.memo = np.zeros(1 << _MEMO_BITS)
 
     @staticmethod
-    def gate(w: np.ndarray, bit: int) -> np.ndarray:
-        """Weights are chosen by the bit, the kind of the previous byte, and whether orders 3 and 4 know their context."""
-        return (7 - bit) * 16 + ((w >> 8) & 255) // 16
+    def gate(w: np.ndarray, bit: int, known: np.ndarray) -> np.ndarray:
+        """Weights are chosen by the bit, the kind of the previous byte and how many orders have met their context."""
+        return ((7 - bit) * 16 + ((w >> 8) & 255) // 16) * WIDTH + known
 
     @staticmethod
     def cell(w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +165,12 @@ class Model:
         """log10 probability of the last byte of each window given the others."""
         total = np.zeros(len(w))
         for bit in range(8):
-            s = slots(w, bit)
-            weights = self.weights[self.gate(w, bit)]
-            x = weights[:, len(s)].astype(float)
-            for k, slot in enumerate(s):
-                x += weights[:, k] * self.odds.take(slot)
+            odds = [self.odds.take(s) for s in slots(w, bit)]
+            # Counts that aren't even give odds, and those that are tell nothing either.
+            weights = self.weights[self.gate(w, bit, sum((o != 0).astype(np.int64) for o in odds))]
+            x = weights[:, -1] * BIAS
+            for k, o in enumerate(odds):
+                x = x + weights[:, k] * o
             x = np.clip(x, -_CLIP, _CLIP)
             cell, part = self.cell(w, x)
             x = (x + self.table[cell] * (1 - part) + self.table[cell + 1] * part) / 2
@@ -189,33 +193,34 @@ class Model:
         return out
 
 
-def learn_mixing(zeros: np.ndarray, ones: np.ndarray, w: np.ndarray, n: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refining table, learned online over windows w with counts n."""
-    weights = np.tile(np.array([0.1, 0.2, 0.3, 0.5, 0.0]), (128, 1))
-    centres = (np.arange(_CELLS + 1) / (_CELLS / (2 * _CLIP)) - _CLIP)
-    table_ = np.tile(centres, (256, 1)).ravel()
+def learn_mixing(zeros: np.ndarray, ones: np.ndarray, w: np.ndarray, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and refining table, learned online over windows w, each drawn as often as it is frequent."""
+    gates = 128 * WIDTH
+    weights = np.tile(np.array([0.3] * len(SLOT_BITS) + [0.0]), (gates, 1))
+    squares = np.full_like(weights, 1e-2)
+    table_ = np.tile(np.arange(_CELLS + 1) / (_CELLS / (2 * _CLIP)) - _CLIP, (256, 1)).ravel()
     seen = np.ones(len(table_))
     for begin in range(0, len(w), STEP):
-        ww, share = w[begin : begin + STEP], n[begin : begin + STEP].astype(float)
-        share = np.minimum(share / max(1.0, share.mean()), 20.0)
+        ww = w[begin : begin + STEP]
         for bit in range(8):
             y = (ww >> bit & 1).astype(float)
-            x = np.empty((len(ww), 5))
+            x = np.empty((len(ww), WIDTH))
             for k, s in enumerate(slots(ww, bit)):
                 # One occurrence of the window itself is left out.
                 x[:, k] = log_odds(np.maximum(zeros[s] - (y == 0), 0), np.maximum(ones[s] - (y == 1), 0))
-            x[:, 4] = 0.3
-            g = Model.gate(ww, bit)
+            x[:, -1] = BIAS
+            g = Model.gate(ww, bit, (x[:, :-1] != 0).sum(1))
             mixed = np.clip((weights[g] * x).sum(1), -_CLIP, _CLIP)
-            error = (y - 1 / (1 + np.exp(-mixed))) * share
+            error = y - 1 / (1 + np.exp(-mixed))
             step = np.zeros_like(weights)
             np.add.at(step, g, error[:, None] * x)
-            weights += rate * step / np.sqrt(1 + np.bincount(g, minlength=128))[:, None]
+            squares += step * step
+            weights += rate * step / np.sqrt(squares)
             cell, part = Model.cell(ww, mixed)
             for at, amount in ((cell, 1 - part), (cell + 1, part)):
                 p = 1 / (1 + np.exp(-table_[at]))
-                push = np.bincount(at, amount * share * (y - p), len(table_))
-                seen += np.bincount(at, amount * share, len(table_))
+                push = np.bincount(at, amount * (y - p), len(table_))
+                seen += np.bincount(at, amount, len(table_))
                 table_ += 4 * push / (seen + 20)
     return weights.astype(np.float32), np.clip(table_, -_CLIP, _CLIP).astype(np.float32)
 
@@ -227,9 +232,14 @@ def fit(counts: DataFrame) -> Model:
     zeros, ones = np.zeros(_STARTS[-1]), np.zeros(_STARTS[-1])
     at = got.column("slot").to_numpy()
     zeros[at], ones[at] = got.column("zeros").to_numpy(), got.column("ones").to_numpy()
-    sample = grams.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("key", "n").toArrow()
-    weights, table_ = learn_mixing(zeros, ones, sample.column("key").to_numpy(), sample.column("n").to_numpy())
-    return Model(log_odds(zeros, ones).astype(np.float16), weights, table_)
+    # SAMPLE draws in proportion to the counts: the whole part of each window's share, and the rest by its hash.
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    uniform = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    draws = grams.withColumn("draws", F.floor(F.col("n") * (SAMPLE / total) + uniform)).where("draws > 0").select("key", "draws")
+    drawn = draws.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(2 * SAMPLE).toArrow()
+    sample = np.repeat(drawn.column("key").to_numpy(), drawn.column("draws").to_numpy())
+    weights, table_ = learn_mixing(zeros, ones, np.random.default_rng(10).permutation(sample))
+    return Model(log_odds(zeros, ones).astype(np.float32), weights, table_)
 
 
 def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: str = "held_out") -> DataFrame:
