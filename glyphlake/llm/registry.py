@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, licences, lm, quality, toxicity
+from glyphlake.llm import bpe, licences, lm, neardup, quality, toxicity
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_lm_scoring": lm.op10_lm_scoring,
