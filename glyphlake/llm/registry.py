@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, licences, lm, neardup, quality, toxicity
+from glyphlake.llm import bpe, licences, lm, neardup, quality, repeats, toxicity
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
+    "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
