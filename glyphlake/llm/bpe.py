@@ -378,3 +378,11 @@ def op5_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ids="_ids", decoded="_decoded")
     return digests(made.drop("text"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, with the digest of what they decode to."""
+    import public_tokenizers as P
+
+    made = round_trip(docs.select("doc_id", "text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ids="_ids", decoded="_decoded")
+    return made.select("doc_id", F.expr("cast(octet_length(_ids) div 4 as bigint)").alias("n_tokens"), F.col("_ids").alias("ids"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))

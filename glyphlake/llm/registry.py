@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, licences, lm, neardup, quality, repeats, toxicity
+from glyphlake.llm import bpe, contamination, licences, linededup, lm, neardup, quality, repeats, toxicity
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
+    "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
@@ -15,4 +17,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_licence_scan": licences.SQL,
+    "op2_line_dedup": linededup.SQL,
 }
