@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, contamination, licences, linededup, lm, neardup, quality, repeats, toxicity
+from glyphlake.llm import bpe, contamination, html, licences, linededup, lm, neardup, quality, repeats, toxicity
 
 QUERIES = {
     "op1_licence_scan": licences.op1_licence_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
+    "op7_html_extraction": html.op7_html_extraction,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_lm_scoring": lm.op10_lm_scoring,
