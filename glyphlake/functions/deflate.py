@@ -42,6 +42,8 @@ class Trace:
     tokens: list[Token] = field(default_factory=list)
     blocks: list[dict] = field(default_factory=list)
     tables: list[dict] = field(default_factory=list)
+    #: Distance of the match that the output cap cut off.
+    pending: int = 0
 
 
 class _Stop(Exception):
@@ -191,13 +193,14 @@ def _symbols(bits: _Bits, out: Trace, origin: list[int], block: int, literal: Hu
             if back > at:
                 raise _Stop("distance beyond available output")
             if at + length > cap:
+                out.pending = back
                 raise _Stop("output cap exceeded")
             sources: list[dict] = []
             for k in range(at - back, at - back + length):
                 data.append(data[k])
                 root = origin[k]
                 origin.append(root)
-                begin = tokens[root].output_begin
+                begin = tokens[root].output_begin if tokens else 0
                 if not (sources and sources[-1]["token_index"] == root):
                     sources.append({"begin": begin, "end": begin + 1, "token_index": root})
             tokens.append(Token("length_distance", a, bits.where(), at, at + length, length=length, distance=back, match_source_begin=at - back, match_source_end=at - back + length, sources=sources, block=block))
@@ -221,8 +224,8 @@ def header_begin(stream: bytes) -> tuple[int, str]:
     return 2, ""
 
 
-def trace(stream: bytes, cap: int) -> Trace:
-    """Tokens, blocks and tables of a zlib stream, up to ``cap`` bytes of output."""
+def trace(stream: bytes, cap: int, stored_tokens: bool = True) -> Trace:
+    """Tokens, blocks and tables of a zlib stream, up to ``cap`` bytes of output; without stored_tokens, stored blocks are copied whole."""
     out = Trace()
     if len(stream) > MAX_INPUT:
         out.error = "input too large for the trace decoder"
@@ -242,6 +245,11 @@ def trace(stream: bytes, cap: int) -> Trace:
                 n, complement = bits.take(16, "truncated stored block header"), bits.take(16, "truncated stored block header")
                 if n ^ complement != 0xFFFF:
                     raise _Stop("stored block LEN/NLEN mismatch")
+                if not stored_tokens and bits.left() >= 8 * n and len(out.data) + n <= cap:
+                    out.data += stream[bits.at >> 3 : (bits.at >> 3) + n]
+                    origin += [0] * n
+                    bits.at += 8 * n
+                    n = 0
                 for _ in range(n):
                     a = bits.where()
                     v = bits.take(8, "truncated stored block data")

@@ -161,9 +161,6 @@ def chunk_spans(indexed: DataFrame) -> DataFrame:
 
 
 def adler32(data: str) -> Column:
-    """Adler-32 of a binary column in closed form, without Python: two sums over its bytes."""
-    h = f"hex({data})"
-    value = f"cast(conv(substr({h}, 2 * i + 1, 2), 16, 10) as bigint)"
-    n = f"cast(octet_length({data}) as bigint)"
-    each = f"if(octet_length({data}) = 0, cast(array() as array<int>), sequence(0, octet_length({data}) - 1))"
-    return F.expr(f"aggregate({each}, named_struct('a', 1L, 'b', {n}), (s, i) -> named_struct('a', s.a + {value}, 'b', (s.b + ({n} - i) * {value}) % 65521), s -> (s.b % 65521) * 65536 + s.a % 65521)")
+    """Adler-32 of a binary column, without Python: the two running sums over its bytes."""
+    values = f"transform(regexp_extract_all(hex({data}), '(..)', 1), h -> cast(conv(h, 16, 10) as bigint))"
+    return F.expr(f"aggregate({values}, named_struct('a', 1L, 'b', 0L), (s, v) -> named_struct('a', (s.a + v) % 65521, 'b', (s.b + s.a + v) % 65521), s -> s.b * 65536 + s.a)")

@@ -1,10 +1,12 @@
-"""Queries of the image engine, and the SQL that gives the same rows."""
+"""Queries of the image engine over tables carried as images, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from glyphlake.plans import queries as q, sql
+
+QUERIES = {name: getattr(q, name) for name in q.NAMES}
+ORACLE_SQL: dict[str, str] = dict(sql.SQL)
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["chunk_stats"](spark, sf_dir)
+    return q.chunk_stats(spark, sf_dir)
