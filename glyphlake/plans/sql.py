@@ -65,7 +65,7 @@ _PASSES = f"step(pass, x0, y0, dx, dy) AS (VALUES {_PASS}), pas AS (SELECT file_
 # 8 x 8 interlaced pixels of four bits: pass, first stream row, first filtered byte, row bytes.
 _EIGHT = "eight(pass, x0, y0, dx, dy, first_row, first_byte, rb) AS (VALUES (0,0,0,8,8,0,0,1),(1,4,0,8,8,1,2,1),(2,0,4,4,8,2,4,1),(3,2,0,4,4,3,6,1),(4,0,2,2,4,5,10,2),(5,1,0,2,2,7,16,2),(6,0,1,1,2,11,28,4)), grid AS (SELECT k, k % 8 AS x, k // 8 AS y FROM range(64) r(k)), loc AS (SELECT k, x, y, pass, (x - x0) // dx AS lx, (y - y0) // dy AS ry, first_row, first_byte, rb FROM grid, eight WHERE x >= x0 AND y >= y0 AND (x - x0) % dx = 0 AND (y - y0) % dy = 0), nfiles AS (SELECT count(DISTINCT event_id // 64) AS files FROM events)"
 _RUN = "run AS (SELECT doc_id AS file_id, coalesce(quality, 0) AS q FROM labels)"
-_RUN_TOKENS = "VALUES (0, 'literal', 0, 1, 0, 0), (1, 'length_distance', 1, 259, 258, 1), (2, 'length_distance', 259, 300, 41, 1), (3, 'end_of_block', 300, 300, 0, 0)"
+_RUN_TOKENS = "VALUES (0, 'literal', 0, 1, 0, 0), (1, 'literal', 1, 2, 0, 0), (2, 'length_distance', 2, 260, 258, 1), (3, 'length_distance', 260, 300, 40, 1), (4, 'end_of_block', 300, 300, 0, 0)"
 
 SQL: dict[str, str] = {
     "chunk_stats": f"WITH {_DOC}, {_STORED} SELECT type, n::BIGINT AS chunks, b::BIGINT AS data_bytes FROM (SELECT 'IHDR' AS type, count(*) AS n, 13 * count(*) AS b FROM sc UNION ALL SELECT 'IEND', count(*), 0 FROM sc UNION ALL SELECT 'IDAT', sum(c), sum(s) FROM sc UNION ALL SELECT NULL, 2 * count(*) + sum(c), 13 * count(*) + sum(s) FROM sc)",
@@ -117,15 +117,15 @@ SQL: dict[str, str] = {
     "extract_output": "SELECT count(*) AS files, count(*) AS equal FROM documents",
     "tokens": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, idx::BIGINT AS idx, 'literal' AS kind, a AS input_bit_begin, a + bits AS input_bit_end, a + 16 AS stream_bit_begin, idx::BIGINT AS output_begin, idx::BIGINT + 1 AS output_end, v::BIGINT AS literal FROM tok UNION ALL SELECT file_id, n, 'end_of_block', a, a + 7, a + 16, n, n, 0 FROM fin",
     "token_stats": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT 'literal' AS kind, count(*) AS tokens, sum(bits)::BIGINT AS input_bits, count(*) AS output_bytes FROM tok UNION ALL SELECT 'end_of_block', count(*), 7 * count(*), 0 FROM fin UNION ALL SELECT 'length_distance', 0, 0, 0",
-    "run_token_stats": "SELECT 'literal' AS kind, count(*) AS tokens, 8 * count(*) AS input_bits, count(*) AS output_bytes FROM labels UNION ALL SELECT 'length_distance', 2 * count(*), (8 + 5 + 7 + 3 + 5) * count(*), 299 * count(*) FROM labels UNION ALL SELECT 'end_of_block', count(*), 7 * count(*), 0 FROM labels",
-    "length_histogram": "SELECT v::BIGINT AS value, count(*) AS n FROM labels, (VALUES (258), (41)) x(v) GROUP BY 1",
+    "run_token_stats": "SELECT 'literal' AS kind, 2 * count(*) AS tokens, 16 * count(*) AS input_bits, 2 * count(*) AS output_bytes FROM labels UNION ALL SELECT 'length_distance', 2 * count(*), (8 + 5 + 7 + 3 + 5) * count(*), 298 * count(*) FROM labels UNION ALL SELECT 'end_of_block', count(*), 7 * count(*), 0 FROM labels",
+    "length_histogram": "SELECT v::BIGINT AS value, count(*) AS n FROM labels, (VALUES (258), (40)) x(v) GROUP BY 1",
     "distance_histogram": "SELECT 1::BIGINT AS value, 2 * count(*) AS n FROM labels",
     "compression_rate": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, s AS compressed_bytes, n::BIGINT AS inflated_bytes, (1000 * s // n)::BIGINT AS per_mille FROM stream",
     "trace_status": f"WITH {_FAULT}, e AS (SELECT file_id, CASE WHEN f IN ({_FORMAT.rsplit(', ', 1)[0]}, {_AT['idat_required']}, {_AT['idat_zlib_header_truncated']}) THEN 'stream too short for a zlib header' WHEN f = {_AT['idat_zlib_method']} THEN 'compression method is not deflate' WHEN f = {_AT['idat_zlib_fcheck']} THEN 'zlib header check fails (FCHECK)' WHEN f = {_AT['idat_zlib_window']} THEN 'unsupported window size (CINFO)' WHEN f = {_AT['idat_zlib_dictionary']} THEN 'preset dictionaries (FDICT) are not supported' WHEN f = {_AT['idat_adler_truncated']} THEN 'stream too short for the trailing Adler-32' ELSE '' END AS error FROM fault) SELECT file_id, error = '' AS success, error FROM e",
     "token_containing": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, 5::BIGINT AS \"offset\", 5::BIGINT AS token_index, 5::BIGINT AS output_begin, 6::BIGINT AS output_end FROM fin WHERE n > 5",
     "token_overlapping": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, idx::BIGINT AS token_index, idx::BIGINT AS output_begin, idx::BIGINT + 1 AS output_end FROM tok WHERE idx >= 3 AND idx < 8",
-    "literal_walk": "SELECT doc_id AS file_id, request::BIGINT AS request, 'ready' AS status, 0::BIGINT AS literal_token, least(request, 1)::BIGINT AS depth FROM labels, (VALUES (0), (1), (2)) v(request)",
-    "decode_arithmetic": "SELECT doc_id AS file_id, v.k::BIGINT AS token_index, kind, (CASE v.k WHEN 0 THEN coalesce(quality, 0) WHEN 1 THEN 285 WHEN 2 THEN 273 ELSE 256 END)::BIGINT AS symbol, len::BIGINT AS length, (CASE v.k WHEN 1 THEN 258 WHEN 2 THEN 35 ELSE 0 END)::BIGINT AS length_base, (CASE v.k WHEN 2 THEN 3 ELSE 0 END)::BIGINT AS length_extra_bits, (CASE v.k WHEN 2 THEN 6 ELSE 0 END)::BIGINT AS length_extra_value, d::BIGINT AS distance, d::BIGINT AS distance_base FROM labels, (" + _RUN_TOKENS + ") v(k, kind, a, z, len, d)",
+    "literal_walk": "SELECT doc_id AS file_id, request::BIGINT AS request, 'ready' AS status, least(request, 1)::BIGINT AS literal_token, least(request // 2, 1)::BIGINT AS depth FROM labels, (VALUES (0), (1), (2), (3)) v(request)",
+    "decode_arithmetic": "SELECT doc_id AS file_id, v.k::BIGINT AS token_index, kind, (CASE v.k WHEN 0 THEN coalesce(quality, 0) WHEN 1 THEN coalesce(quality, 0) WHEN 2 THEN 285 WHEN 3 THEN 273 ELSE 256 END)::BIGINT AS symbol, len::BIGINT AS length, (CASE v.k WHEN 2 THEN 258 WHEN 3 THEN 35 ELSE 0 END)::BIGINT AS length_base, (CASE v.k WHEN 3 THEN 3 ELSE 0 END)::BIGINT AS length_extra_bits, (CASE v.k WHEN 3 THEN 5 ELSE 0 END)::BIGINT AS length_extra_value, d::BIGINT AS distance, d::BIGINT AS distance_base FROM labels, (" + _RUN_TOKENS + ") v(k, kind, a, z, len, d)",
     "token_navigation": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, idx::BIGINT AS token_index, a AS \"begin\", a + bits AS \"end\" FROM tok UNION ALL SELECT file_id, n, a, a + 7 FROM fin",
     "huffman_inspector": "SELECT item_id AS file_id, 0::BIGINT AS block_idx, 'stored' AS mode, 'stored' AS kind, 2::BIGINT AS declared, 0::BIGINT AS build_order FROM benchmark UNION ALL SELECT item_id + 1000000, 0, 'fixed', kind, d, o FROM benchmark, (VALUES ('literal_length', 288, 0), ('distance', 32, 1)) v(kind, d, o)",
     "block_inspector": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, 0::BIGINT AS block_idx, 'fixed' AS type, true AS last, 16::BIGINT AS input_bit_begin, a + 16 + 7 AS input_bit_end, 0::BIGINT AS output_begin, n::BIGINT AS output_end, n > 7 AS selected, (CASE WHEN n > 7 THEN 7 END)::BIGINT AS position FROM fin",
