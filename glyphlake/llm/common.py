@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text handled at once by the numpy kernels (a longer text is one chunk of its own).
 CHUNK_BYTES = 2 << 20
@@ -143,3 +143,10 @@ def word_sequence_hash(h: np.ndarray) -> np.uint64:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def shield(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")):
+    """docs with every column that isn't used under a name that clashes with nothing, and a function that gives the names back."""
+    safe = {c: c if c in used else f"__kept_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in safe.items()])
+    return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in safe.items()])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import Words, as_bytes, chunks, combine, mix, table, word_sequence_hash
+from glyphlake.llm.common import Words, as_bytes, chunks, combine, mix, shield, table, word_sequence_hash
 
 SHINGLE, PER_CENT = 5, 75
 #: Fingerprint blocks of 16 bits, and the radius: an alignment half a stride off and a similarity at the threshold stay within it.
@@ -199,4 +199,5 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return contaminated(docs, table(spark, sf_dir, "benchmark")).where(F.size("_items") == 0).select(*docs.columns)
+    safe, back = shield(docs)
+    return back(contaminated(safe, table(spark, sf_dir, "benchmark")).where(F.size("_items") == 0))

@@ -54,8 +54,9 @@ def bigrams(words: list[str]) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def _may_match(a: Column, b: Column, threshold: float) -> Column:
-    return (a * threshold <= b * (2 - threshold)) & (b * threshold <= a * (2 - threshold))
+def _may_match(a: Column, b: Column, mille: int) -> Column:
+    """The size bound, in whole thousandths so that a bound that is just met holds."""
+    return (a * mille <= b * (2000 - mille)) & (b * mille <= a * (2000 - mille))
 
 
 def _unit_words(line: Column) -> Column:
@@ -70,19 +71,20 @@ def licence_hits(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
     """``df`` with ``into``: an array of (score, licence, unit) of every match; unit 0 .. n-1 are lines, -1 the whole text."""
     sets = {k: bigrams(normal_words(v)) for k, v in sorted(templates.items())}
     sizes = [len(s) for s in sets.values()]
-    # A unit of n words has 1 to n - 1 bigrams: too few words rule it out at once.
-    least = int(min(sizes) * threshold / (2 - threshold)) + 1
+    mille = round(1000 * threshold)
+    # A unit of n words has n - 1 bigrams at most: too few words rule it out at once.
+    least = -(-min(sizes) * mille // (2000 - mille))
     known = F.array(*[F.struct(F.lit(k).alias("licence"), F.array(*map(F.lit, s)).alias("grams")) for k, s in sets.items()])
     lines = df.withColumn("_words", F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _unit_words))
     whole = F.when(F.size("_words") > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.flatten("_words").alias("words")))).otherwise(F.expr("cast(array() as array<struct<unit:int,words:array<string>>>)"))
     units = F.concat(F.transform("_words", lambda w, i: F.struct(i.alias("unit"), w.alias("words"))), whole)
     units = F.filter(units, lambda u: F.size(u["words"]) > least)
     sets_of = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), _unit_bigrams(u["words"]).alias("grams")))
-    longest = F.lit(max(sizes) * (2 - threshold) / threshold)
+    longest = F.lit(max(sizes) * (2000 - mille) // mille)
     sets_of = F.filter(sets_of, lambda u: F.size(u["grams"]) <= longest)
 
     def compared(u: Column) -> Column:
-        near = F.filter(known, lambda t: _may_match(F.size(u["grams"]), F.size(t["grams"]), threshold))
+        near = F.filter(known, lambda t: _may_match(F.size(u["grams"]), F.size(t["grams"]), mille))
         scores = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(u["grams"], t["grams"])) / (F.size(u["grams"]) + F.size(t["grams"]))).alias("score"), t["licence"].alias("licence"), u["unit"].alias("unit")))
         return F.filter(scores, lambda h: h["score"] >= threshold)
 

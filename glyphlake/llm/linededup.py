@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import as_bytes, settle, table
+from glyphlake.llm.common import as_bytes, settle, shield, table
 
 #: Least number of lines of a repeated run.
 MIN_LINES = 2
@@ -117,8 +117,9 @@ FROM mark LEFT JOIN begun USING (doc_id) GROUP BY doc_id
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with what they have left; those left with no line at all, though they had some, go."""
-    out = line_dedup(docs).where("_n_removed = 0 or _n_removed < _n_lines")
+    safe, back = shield(docs)
+    out = line_dedup(safe).where("_n_removed = 0 or _n_removed < _n_lines")
     new = {"text": F.col("_kept_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_n_removed") > 0, F.char_length("_kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+    return back(out.withColumns(new))

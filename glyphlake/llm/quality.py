@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import Words, as_bytes, chunks, settle, table
+from glyphlake.llm.common import Words, as_bytes, chunks, settle, shield, table
 
 #: Fixed rules of the contract: at least so many words; at most so many per cent of repeated words.
 MIN_WORDS, MAX_REPEAT_PER_CENT, REPEAT_WINDOW = 20, 30, 8
@@ -187,4 +187,5 @@ def op8_quality_rules(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_rules(docs).where("_q_kept").select(*docs.columns)
+    safe, back = shield(docs)
+    return back(quality_rules(safe).where("_q_kept"))
