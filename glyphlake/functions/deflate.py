@@ -200,12 +200,52 @@ def _symbols(bits: _Bits, out: Trace, origin: list[int], block: int, literal: Hu
                 data.append(data[k])
                 root = origin[k]
                 origin.append(root)
-                begin = tokens[root].output_begin if tokens else 0
+                begin = tokens[root].output_begin
                 if not (sources and sources[-1]["token_index"] == root):
                     sources.append({"begin": begin, "end": begin + 1, "token_index": root})
             tokens.append(Token("length_distance", a, bits.where(), at, at + length, length=length, distance=back, match_source_begin=at - back, match_source_end=at - back + length, sources=sources, block=block))
 
 
+def _output(bits: _Bits, out: Trace, literal: Huffman, distance: Huffman | None, cap: int) -> None:
+    """A block's output without its tokens."""
+    data = out.data
+    table, most, peek, end = literal.table, literal.most, bits.peek, bits.end
+    while True:
+        hit = table[peek(most)]
+        if hit is None or bits.at + hit[1] > end:
+            literal.read(bits, "huffman code")
+        s = hit[0]
+        bits.at += hit[1]
+        if s < 256:
+            if len(data) >= cap:
+                raise _Stop("output cap exceeded")
+            data.append(s)
+            continue
+        if s == 256:
+            return
+        if s > 285:
+            raise _Stop("invalid literal/length symbol")
+        base, extra = LENGTHS[s - 257]
+        length = base + (bits.take(extra, "truncated length extra bits") if extra else 0)
+        if distance is None:
+            raise _Stop("distance table is empty")
+        d = distance.read(bits, "distance code")
+        if d > 29:
+            raise _Stop("invalid distance code")
+        base, extra = DISTANCES[d]
+        back = base + (bits.take(extra, "truncated distance extra bits") if extra else 0)
+        at = len(data)
+        if back > at:
+            raise _Stop("distance beyond available output")
+        if at + length > cap:
+            out.pending = back
+            raise _Stop("output cap exceeded")
+        part = data[at - back : at - back + length]
+        while len(part) < length:
+            part += part[: length - len(part)]
+        data += part
+
+
 def header_begin(stream: bytes) -> tuple[int, str]:
     """Where Deflate data begin, and what is wrong with the zlib header."""
     if len(stream) < 2:
@@ -224,8 +264,8 @@ def header_begin(stream: bytes) -> tuple[int, str]:
     return 2, ""
 
 
-def trace(stream: bytes, cap: int, stored_tokens: bool = True) -> Trace:
-    """Tokens, blocks and tables of a zlib stream, up to ``cap`` bytes of output; without stored_tokens, stored blocks are copied whole."""
+def trace(stream: bytes, cap: int, with_tokens: bool = True) -> Trace:
+    """Tokens, blocks and tables of a zlib stream, up to ``cap`` bytes of output; without tokens it is faster."""
     out = Trace()
     if len(stream) > MAX_INPUT:
         out.error = "input too large for the trace decoder"
@@ -245,9 +285,12 @@ def trace(stream: bytes, cap: int, stored_tokens: bool = True) -> Trace:
                 n, complement = bits.take(16, "truncated stored block header"), bits.take(16, "truncated stored block header")
                 if n ^ complement != 0xFFFF:
                     raise _Stop("stored block LEN/NLEN mismatch")
-                if not stored_tokens and bits.left() >= 8 * n and len(out.data) + n <= cap:
+                if not with_tokens:
+                    if bits.left() < 8 * n:
+                        raise _Stop("truncated stored block data")
+                    if len(out.data) + n > cap:
+                        raise _Stop("output cap exceeded")
                     out.data += stream[bits.at >> 3 : (bits.at >> 3) + n]
-                    origin += [0] * n
                     bits.at += 8 * n
                     n = 0
                 for _ in range(n):
@@ -258,12 +301,16 @@ def trace(stream: bytes, cap: int, stored_tokens: bool = True) -> Trace:
                     out.data.append(v)
                     origin.append(len(out.tokens))
                     out.tokens.append(Token("literal", a, a + 8, len(out.data) - 1, len(out.data), literal=v, block=index))
-                out.tokens.append(Token("end_of_block", bits.where(), bits.where(), len(out.data), len(out.data), block=index))
+                if with_tokens:
+                    out.tokens.append(Token("end_of_block", bits.where(), bits.where(), len(out.data), len(out.data), block=index))
             elif kind == 3:
                 raise _Stop("reserved deflate block type")
             else:
                 pair = (Huffman(_FIXED, False), Huffman([5] * 32, False)) if kind == 1 else _dynamic(bits, out, index)
-                _symbols(bits, out, origin, index, *pair, cap)
+                if with_tokens:
+                    _symbols(bits, out, origin, index, *pair, cap)
+                else:
+                    _output(bits, out, *pair, cap)
             out.blocks.append({"idx": index, "type": ("stored", "fixed", "dynamic")[kind], "last": last, "input_bit_begin": begin + shift, "input_bit_end": bits.where() + shift, "output_begin": at, "output_end": len(out.data)})
         out.success = True
     except _Stop as e:

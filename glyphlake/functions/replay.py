@@ -7,8 +7,8 @@ from glyphlake.functions import deflate
 
 def replay(stream: bytes, bit: int, history: bytes, count: int) -> tuple[bytes, str]:
     """``count`` bytes of output from a block boundary at a bit of the stream, with the output before it as history."""
-    out = deflate.Trace(data=bytearray(history), tokens=[deflate.Token("history", 0, 0, 0, 0)])
-    bits, origin, last = deflate._Bits(stream, 0, max(len(stream) - 4, 0)), [0] * len(history), False
+    out = deflate.Trace(data=bytearray(history))
+    bits, last = deflate._Bits(stream, 0, max(len(stream) - 4, 0)), False
     bits.at = bit
     want, error = len(history) + count, ""
     try:
@@ -21,26 +21,19 @@ def replay(stream: bytes, bit: int, history: bytes, count: int) -> tuple[bytes,
                 bits.take(16, "input exhausted before the requested output")
                 at = bits.at >> 3
                 out.data += stream[at : at + n]
-                origin += [0] * n
                 bits.at += 8 * n
             elif kind == 3:
                 error = "inflate failed during extraction"
                 break
             else:
                 pair = (deflate.Huffman(deflate._FIXED, False), deflate.Huffman([5] * 32, False)) if kind == 1 else deflate._dynamic(bits, out, 0)
-                deflate._symbols(bits, out, origin, 0, *pair, want)
+                deflate._output(bits, out, *pair, want)
     except deflate._Stop as e:
         if str(e) != "output cap exceeded":
             error = str(e)
         elif len(out.data) < want:
             # The last match reached over the end: take from it what was wanted.
-            error = _partial(bits, out, want)
+            while len(out.data) < want:
+                out.data.append(out.data[-out.pending])
     return bytes(out.data[len(history) : want]), error
 
-
-def _partial(bits, out, want: int) -> str:
-    """Copy the part of a match that still fits; the decoder has just read it."""
-    token = out.pending
-    while len(out.data) < want:
-        out.data.append(out.data[len(out.data) - token])
-    return ""

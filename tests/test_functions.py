@@ -55,6 +55,8 @@ def test_tokens_give_what_zlib_gives():
             for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FIXED, zlib.Z_HUFFMAN_ONLY):
                 t = deflate.trace(E.zlib_stream(raw, level, strategy), 1 << 20)
                 assert t.success and bytes(t.data) == raw
+                light = deflate.trace(E.zlib_stream(raw, level, strategy), 1 << 20, False)
+                assert (light.success, light.data, light.blocks, light.tables) == (True, t.data, t.blocks, t.tables)
                 at = 0
                 for k2 in t.tokens:
                     assert k2.output_begin == at
@@ -83,6 +85,8 @@ def test_caps_and_damage_are_values():
         b[r.randrange(len(b))] ^= 1 << r.randrange(8)
         t = deflate.trace(bytes(b), 5000)
         assert t.success or t.error
+        light = deflate.trace(bytes(b), 5000, False)
+        assert (light.success, light.error) == (t.success, t.error)
         raster.inflate(bytes(b), 5000)
     for _ in range(300):
         b = r.randbytes(r.randint(0, 400))
