@@ -196,20 +196,83 @@ def trace_window(traces: DataFrame, block_rows: DataFrame, token_rows: DataFrame
     return status, b, kept
 
 
-def trace_text(status: DataFrame, blocks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(file_id, request, text): a window's trace in a fixed order of lines."""
+def input_spans(segments: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(file_id, request, ord, space, offset, length, bit_offset, bit_length): logical and physical spans of stream bit ranges (file_id, request, ord, begin, end)."""
+    some = ranges.where("begin < end")
+    logical = some.selectExpr("file_id", "request", "ord", "'logical_deflate' as space", "begin div 8 as offset", "(end + 7) div 8 - begin div 8 as length", "begin % 8 as bit_offset", "end - begin as bit_length")
+    s = segments.select("file_id", "physical_offset", F.col("length").alias("n"), "logical_start")
+    j = some.join(s, "file_id").where("logical_start * 8 < end and begin < (logical_start + n) * 8")
+    j = j.withColumns({"a": F.greatest("begin", F.col("logical_start") * 8), "z": F.least("end", (F.col("logical_start") + F.col("n")) * 8)})
+    physical = j.selectExpr("file_id", "request", "ord", "'physical_file' as space", "physical_offset + a div 8 - logical_start as offset", "(z + 7) div 8 - a div 8 as length", "a % 8 as bit_offset", "z - a as bit_length")
+    return logical.unionByName(physical)
+
+
+def trace_text(status: DataFrame, blocks: DataFrame, tokens: DataFrame, traces: DataFrame, requests: DataFrame, segments: DataFrame, generation: int = 0, selection: str = "") -> DataFrame:
+    """(file_id, request, text): a window's trace in a fixed order of lines, with the spans of its blocks and tokens."""
     from glyphlake.sources.sinks import percent_escaped
 
-    def lines(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-        line = F.concat(F.lit(f"{name}:"), F.concat_ws(",", *[F.col(c).cast("int").cast("string") if c == "last" else F.col(c).cast("string") for c in columns]))
-        return rows.groupBy("file_id", "request").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("t")))), lambda x: x["t"]).alias(f"{name}s"))
-
-    b = lines(blocks, "block", "idx", "type", "last", "input_bit_begin", "input_bit_end", "output_begin", "output_end")
-    t = lines(tokens, "token", "idx", "kind", "input_bit_begin", "input_bit_end", "output_begin", "output_end", "literal", "length", "distance", "match_source_begin", "match_source_end", "block_idx")
-    j = status.join(b, ["file_id", "request"], "left").join(t, ["file_id", "request"], "left")
+    key = ["file_id", "request"]
+    short = F.when(F.col("kind") == "length_distance", "match").when(F.col("kind") == "end_of_block", "eob").otherwise("literal")
+    span = F.concat_ws(",", "space", F.col("offset").cast("string"), F.col("length").cast("string"), F.col("bit_offset").cast("string"), F.col("bit_length").cast("string"), F.lit("1"))
+    of_blocks = input_spans(segments, blocks.select(*key, F.col("idx").alias("ord"), F.col("input_bit_begin").alias("begin"), F.col("input_bit_end").alias("end")))
+    of_tokens = input_spans(segments, tokens.select(*key, F.col("idx").alias("ord"), F.col("stream_bit_begin").alias("begin"), F.col("stream_bit_end").alias("end")))
+
+    def listed(rows: DataFrame, order: str, line: Column, name: str) -> DataFrame:
+        return rows.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"]).alias(name))
+
+    def once(rows: DataFrame, name: str) -> DataFrame:
+        """Distinct spans in order of first appearance."""
+        return listed(rows.withColumn("t", F.concat(F.lit("span:"), span)).groupBy(*key, "t").agg(F.min(F.struct("ord", "offset")).alias("o")), "o", F.col("t"), name)
+
+    in_block = of_blocks.where("space = 'physical_file'").groupBy(*key, "ord").agg(F.count("*").alias("k"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", span.alias("t")))), lambda x: F.concat(F.lit(","), x["t"])), "").alias("spans"))
+    b = blocks.join(in_block, (blocks["file_id"] == in_block["file_id"]) & (blocks["request"] == in_block["request"]) & (blocks["idx"] == in_block["ord"]), "left").drop(in_block["file_id"], in_block["request"])
+    numbers = lambda *c: [F.col(x).cast("string") for x in c]
+    block_line = F.concat(F.lit("block:"), F.concat_ws(",", F.col("idx").cast("string"), "type", F.col("last").cast("int").cast("string"), *numbers("input_bit_begin", "input_bit_end", "output_begin", "output_end")), F.lit(",spans="), F.coalesce("k", F.lit(0)).cast("string"), F.coalesce("spans", F.lit("")))
+    sources = F.array_join(F.transform("sources", lambda x: F.concat(F.lit(","), x["begin"].cast("string"), F.lit(","), x["end"].cast("string"), F.lit(","), x["token_index"].cast("string"))), "")
+    token_line = F.concat(F.lit("token:"), F.concat_ws(",", F.col("idx").cast("string"), short, *numbers("input_bit_begin", "input_bit_end", "output_begin", "output_end", "literal", "length", "distance", "match_source_begin", "match_source_end", "block_idx")), F.lit(",sources="), F.size("sources").cast("string"), sources)
+    logical = of_blocks.unionByName(of_tokens.withColumn("ord", F.col("ord") + (1 << 40))).where("space = 'logical_deflate'")
+    matches = tokens.select(*key, "idx", F.posexplode("sources").alias("k", "s")).withColumn("t", F.concat(F.lit("match:"), F.concat_ws(",", F.col("s.begin").cast("string"), F.col("s.end").cast("string"), F.col("s.token_index").cast("string")))).groupBy(*key, "t").agg(F.min(F.struct("idx", "k")).alias("o"))
+    parts = {"blocks": listed(b, "idx", block_line, "blocks"), "tokens": listed(tokens, "idx", token_line, "tokens"), "logical": once(logical, "logical"), "physical": once(of_tokens.where("space = 'physical_file'"), "physical"), "matches": listed(matches, "o", F.col("t"), "matches")}
+    j = status.join(requests.select(*key, "begin", "end"), key).join(traces.select("file_id", "output_bytes", "deflate_data_begin"), "file_id", "left")
+    for p in parts.values():
+        j = j.join(p, key, "left")
     none = F.expr("cast(array() as array<string>)")
-    parts = [F.array(F.lit("trace-query-v1"), F.concat(F.lit("status:"), "status"), F.concat(F.lit("error:"), percent_escaped(F.col("error"))), F.concat(F.lit("truncated:"), F.col("truncated").cast("int").cast("string")), F.concat(F.lit("blocks:"), F.size(F.coalesce("blocks", none)).cast("string"))), F.coalesce("blocks", none), F.array(F.concat(F.lit("tokens:"), F.size(F.coalesce("tokens", none)).cast("string"))), F.coalesce("tokens", none)]
-    return j.select("file_id", "request", F.concat(F.array_join(F.concat(*parts), "\n"), F.lit("\n")).alias("text"))
+
+    def section(name: str) -> list[Column]:
+        rows = F.coalesce(F.col(name), none)
+        return [F.array(F.concat(F.lit(f"{name}:"), F.size(rows).cast("string"))), rows]
+
+    head = F.array(
+        F.lit("trace-query-v1"), F.concat(F.lit("status:"), "status"), F.lit(f"generation:{generation}"), F.lit(f"selection:{selection}"), F.concat(F.lit("error:"), percent_escaped(F.col("error"))),
+        F.concat(F.lit("range:"), F.col("begin").cast("string"), F.lit(","), F.col("end").cast("string")), F.concat(F.lit("output:"), F.coalesce("output_bytes", F.lit(0)).cast("string")),
+        F.concat(F.lit("deflate-data-begin:"), F.coalesce("deflate_data_begin", F.lit(0)).cast("string")), F.concat(F.lit("truncated:"), F.col("truncated").cast("int").cast("string")),
+    )
+    lines = F.concat(head, *section("blocks"), *section("tokens"), *section("logical"), *section("physical"), *section("matches"))
+    return j.select(*key, F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+
+
+def huffman_inspector_text(rows: DataFrame) -> DataFrame:
+    """(file_id, text): one line of a file's tables."""
+    part = F.concat_ws(",", F.col("block_idx").cast("string"), "mode", "kind", F.col("build_order").cast("string"), F.col("declared").cast("string"))
+    g = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("build_order", part.alias("t")))).alias("r"))
+    return g.select("file_id", F.concat(F.lit("tables="), F.size("r").cast("string"), F.lit("|"), F.array_join(F.transform("r", lambda x: x["t"]), "|")).alias("text"))
+
+
+def decode_inspector_text(steps: DataFrame) -> DataFrame:
+    """(file_id, text): one line of a file's decoding steps."""
+    path = F.when(F.col("kind") == "length_distance", "match").when(F.col("kind") == "end_of_block", "eob").otherwise("literal")
+
+    def sum_of(n: str) -> list[Column]:
+        return [F.lit(f",{n}="), F.concat_ws("+", *[F.col(c).cast("string") for c in (n, f"{n}_base", f"{n}_extra_bits", f"{n}_extra_value")])]
+
+    part = F.concat(F.col("token_index").cast("string"), F.lit(","), path, F.lit(",symbol="), F.coalesce(F.col("symbol").cast("string"), F.lit("-")), *sum_of("length"), *sum_of("distance"))
+    g = steps.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("token_index", part.alias("t")))).alias("r"))
+    return g.select("file_id", F.concat(F.lit("steps="), F.size("r").cast("string"), F.lit("|"), F.array_join(F.transform("r", lambda x: x["t"]), "|")).alias("text"))
+
+
+def inspector_bundle(block_rows: DataFrame, entries: DataFrame, token_rows: DataFrame, selected: DataFrame) -> dict[str, DataFrame]:
+    """The three inspectors of one generation."""
+    return {"blocks": block_inspector(block_rows, selected), "huffman": huffman_inspector(block_rows, entries), "decode": decode_inspector(token_rows)}
 
 
 def block_inspector(block_rows: DataFrame, selected: DataFrame) -> DataFrame:
@@ -229,7 +292,7 @@ def block_inspector_text(rows: DataFrame) -> DataFrame:
 def huffman_inspector(block_rows: DataFrame, entries: DataFrame) -> DataFrame:
     """(file_id, block_idx, mode, kind, build_order, declared): stored blocks' pseudo table, fixed blocks' two, dynamic blocks' three."""
     base = block_rows.select("file_id", F.col("idx").alias("block_idx"), F.col("type").alias("mode"))
-    stored = base.where("mode = 'stored'").select("*", F.lit("stored").alias("kind"), F.lit(2).cast("bigint").alias("declared"), F.lit(0).alias("o"))
+    stored = base.where("mode = 'stored'").select("*", F.lit("none").alias("kind"), F.lit(2).cast("bigint").alias("declared"), F.lit(0).alias("o"))
     fixed = base.where("mode = 'fixed'").select("*", F.inline(F.array(F.struct(F.lit("literal_length").alias("kind"), F.lit(288).cast("bigint").alias("declared"), F.lit(0).alias("o")), F.struct(F.lit("distance").alias("kind"), F.lit(32).cast("bigint").alias("declared"), F.lit(1).alias("o")))))
     order = F.when(F.col("kind") == "code_length", 0).when(F.col("kind") == "literal_length", 1).otherwise(2)
     dynamic = base.where("mode = 'dynamic'").join(entries.groupBy("file_id", "block_idx", "kind").agg(F.count("*").alias("declared")), ["file_id", "block_idx"]).select("file_id", "block_idx", "mode", "kind", "declared", order.alias("o"))

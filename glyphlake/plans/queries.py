@@ -366,6 +366,15 @@ def huffman_tables(spark, sf):
     return e.groupBy("file_id", "table_idx", "kind").agg(F.count("*").alias("entries"), F.sum(F.expr("power(2.0D, 15 - bit_length)")).cast("bigint").alias("space"))
 
 
+def huffman_inspector_text(spark, sf):
+    s = _streams(_literal(spark, sf))
+    return Q.huffman_inspector_text(Q.huffman_inspector(tracing.blocks(s), tracing.huffman_entries(s)))
+
+
+def decode_inspector_text(spark, sf):
+    return Q.decode_inspector_text(Q.decode_inspector(tracing.tokens(C.label_runs(spark, sf))))
+
+
 def block_inspector(spark, sf):
     i = _literal(spark, sf)
     selected = i.select("file_id", F.lit(0).alias("request"), F.lit(7).cast("bigint").alias("offset"))
@@ -382,7 +391,8 @@ def _window(spark, sf):
     i = _literal(spark, sf)
     s = _streams(i)
     requests = i.select("file_id", F.inline(F.array(*[F.struct(F.lit(k).alias("request"), F.lit(a).cast("bigint").alias("begin"), F.lit(z).cast("bigint").alias("end"), F.lit(m).alias("max_tokens")) for k, (a, z, m) in enumerate(((2, 6, 3), (2, 6, 10), (0, 100000, 10)))])))
-    return Q.trace_window(tracing.traces(s), tracing.blocks(s), tracing.tokens(s), requests)
+    traces = tracing.traces(s)
+    return *Q.trace_window(traces, tracing.blocks(s), tracing.tokens(s), requests), traces, requests, structure.idat_segments(i)
 
 
 def trace_window_status(spark, sf):

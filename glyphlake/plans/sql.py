@@ -127,7 +127,9 @@ SQL: dict[str, str] = {
     "literal_walk": "SELECT doc_id AS file_id, request::BIGINT AS request, 'ready' AS status, least(request, 1)::BIGINT AS literal_token, least(request // 2, 1)::BIGINT AS depth FROM labels, (VALUES (0), (1), (2), (3)) v(request)",
     "decode_arithmetic": "SELECT doc_id AS file_id, v.k::BIGINT AS token_index, kind, (CASE v.k WHEN 0 THEN coalesce(quality, 0) WHEN 1 THEN coalesce(quality, 0) WHEN 2 THEN 285 WHEN 3 THEN 273 ELSE 256 END)::BIGINT AS symbol, len::BIGINT AS length, (CASE v.k WHEN 2 THEN 258 WHEN 3 THEN 35 ELSE 0 END)::BIGINT AS length_base, (CASE v.k WHEN 3 THEN 3 ELSE 0 END)::BIGINT AS length_extra_bits, (CASE v.k WHEN 3 THEN 5 ELSE 0 END)::BIGINT AS length_extra_value, d::BIGINT AS distance, d::BIGINT AS distance_base FROM labels, (" + _RUN_TOKENS + ") v(k, kind, a, z, len, d)",
     "token_navigation": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, idx::BIGINT AS token_index, a AS \"begin\", a + bits AS \"end\" FROM tok UNION ALL SELECT file_id, n, a, a + 7 FROM fin",
-    "huffman_inspector": "SELECT item_id AS file_id, 0::BIGINT AS block_idx, 'stored' AS mode, 'stored' AS kind, 2::BIGINT AS declared, 0::BIGINT AS build_order FROM benchmark UNION ALL SELECT item_id + 1000000, 0, 'fixed', kind, d, o FROM benchmark, (VALUES ('literal_length', 288, 0), ('distance', 32, 1)) v(kind, d, o)",
+    "huffman_inspector": "SELECT item_id AS file_id, 0::BIGINT AS block_idx, 'stored' AS mode, 'none' AS kind, 2::BIGINT AS declared, 0::BIGINT AS build_order FROM benchmark UNION ALL SELECT item_id + 1000000, 0, 'fixed', kind, d, o FROM benchmark, (VALUES ('literal_length', 288, 0), ('distance', 32, 1)) v(kind, d, o)",
+    "huffman_inspector_text": "SELECT item_id AS file_id, 'tables=2|0,fixed,literal_length,0,288|0,fixed,distance,1,32' AS text FROM benchmark",
+    "decode_inspector_text": "SELECT doc_id AS file_id, 'steps=5|0,literal,symbol=' || coalesce(quality, 0) || ',length=0+0+0+0,distance=0+0+0+0|1,literal,symbol=' || coalesce(quality, 0) || ',length=0+0+0+0,distance=0+0+0+0|2,match,symbol=285,length=258+258+0+0,distance=1+1+0+0|3,match,symbol=273,length=40+35+3+5,distance=1+1+0+0|4,eob,symbol=256,length=0+0+0+0,distance=0+0+0+0' AS text FROM labels",
     "block_inspector": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, 0::BIGINT AS block_idx, 'fixed' AS type, true AS last, 16::BIGINT AS input_bit_begin, a + 16 + 7 AS input_bit_end, 0::BIGINT AS output_begin, n::BIGINT AS output_end, n > 7 AS selected, (CASE WHEN n > 7 THEN 7 END)::BIGINT AS position FROM fin",
     "block_inspector_text": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, 'selected_block=' || CASE WHEN n > 7 THEN '0' ELSE '-' END || ';rows=1|0,fixed,1,16:' || (a + 23) || ',0:' || n || ',current=' || CASE WHEN n > 7 THEN '7' ELSE '-' END AS text FROM fin",
     "trace_window_status": f"WITH {_HEX}, {_BYTE}, {_LITERAL}, w AS (SELECT file_id, n, request, a, z, m FROM fin, (VALUES (0, 2, 6, 3), (1, 2, 6, 10), (2, 0, 100000, 10)) v(request, a0, z0, m), LATERAL (SELECT a0 AS a, z0 AS z) q(a, z)) SELECT file_id, request::BIGINT AS request, CASE WHEN z > n THEN 'error' WHEN z - a > m THEN 'partial' ELSE 'ready' END AS status, CASE WHEN z > n THEN 'inflated query range is out of bounds' WHEN z - a > m THEN 'trace token budget exceeded' ELSE '' END AS error, z <= n AND z - a > m AS truncated FROM (SELECT file_id, n, request, a0 AS a, z0 AS z, m FROM fin, (VALUES (0, 2, 6, 3), (1, 2, 6, 10), (2, 0, 100000, 10)) v(request, a0, z0, m))",

@@ -117,9 +117,19 @@ def test_extract_in_the_middle(spark):
 def test_inspector_texts(spark, indexed):
     s = structure.with_stream(indexed.where("file_id = 3")).select("file_id", "stream")
     requests = s.select("file_id", F.lit(0).alias("request"), F.lit(0).cast("bigint").alias("begin"), F.lit(500).cast("bigint").alias("end"), F.lit(8).alias("max_tokens"))
-    w = Q.trace_window(tracing.traces(s), tracing.blocks(s), tracing.tokens(s), requests)
-    a, b = (Q.trace_text(*w).first()["text"] for _ in range(2))
-    assert a == b and a.startswith("trace-query-v1\nstatus:partial\nerror:trace%20token%20budget%20exceeded\ntruncated:1\n") and a.count("\ntoken:") == 8
+    traces, blocks = tracing.traces(s), tracing.blocks(s)
+    w = Q.trace_window(traces, blocks, tracing.tokens(s), requests)
+    a, b = (Q.trace_text(*w, traces, requests, structure.idat_segments(indexed), 3, "node:17;stage:trace").first()["text"] for _ in range(2))
+    lines = a.split("\n")
+    assert a == b and lines[:6] == ["trace-query-v1", "status:partial", "generation:3", "selection:node:17;stage:trace", "error:trace%20token%20budget%20exceeded", "range:0,500"]
+    assert "truncated:1" in lines and a.count("\ntoken:") == 8 and a.endswith("\n")
+    bundle = Q.inspector_bundle(blocks, tracing.huffman_entries(s), tracing.tokens(s), requests.withColumn("offset", F.lit(5)))
+    assert all(df.count() for df in bundle.values())
+    # A block over several segments has as many spans, and their bits add up.
+    block = next(x for x in lines if x.startswith("block:0,"))
+    parts = block.split(",spans=")[1].split(",")
+    begin, end = (int(x) for x in block.split(",")[3:5])
+    assert int(parts[0]) > 1 and sum(int(x) for x in parts[5::6]) == end - begin
 
 
 def test_cache_hit_miss_invalid(spark, tmp_path):
