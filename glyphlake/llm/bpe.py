@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from glyphlake.llm.common import as_bytes, chunks, table
 
 #: Encoded pieces that a worker keeps; the cache starts anew when it is full.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 700_000
 #: Pieces up to this size advance together as rows of arrays; longer ones one by one.
 LOCKSTEP_BYTES = 64
 #: Largest vocabulary file that is sent to the executors.
@@ -310,15 +311,15 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(vocabulary, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = (vocabulary.id if hasattr(vocabulary, "id") else 0, pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(vocabulary.value, pattern)
-    return _codecs[key]
+def _codec(digest: str, vocabulary, pattern: str) -> Codec:
+    """The worker's one codec: kept as long as vocabulary and pattern stay the same."""
+    if (digest, pattern) not in _codecs:
+        _codecs.clear()
+        _codecs[digest, pattern] = Codec(vocabulary.value, pattern)
+    return _codecs[digest, pattern]
 
 
 def _apply(df: DataFrame, path: str, pattern: str, source: str, makes: dict[str, str]) -> DataFrame:
@@ -326,12 +327,12 @@ def _apply(df: DataFrame, path: str, pattern: str, source: str, makes: dict[str,
     data = Path(path).read_bytes()
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to be sent to executors")
-    vocabulary = df.sparkSession.sparkContext.broadcast(data)
+    vocabulary, digest = df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
     rest = [c for c in df.columns if c not in makes]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, T.BinaryType()) for n in makes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary, pattern)
+        codec = _codec(digest, vocabulary, pattern)
         gc.disable()  # millions of strings and no cycles
         for b in batches:
             ids = as_bytes(b.column(b.schema.get_field_index(source)))
