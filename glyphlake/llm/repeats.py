@@ -42,6 +42,8 @@ _WINDOW = LENGTH - GRAM + 1
 BITMAP_BITS = 27
 #: Stretches that a task remembers to have handed on.
 REMEMBERED = 1 << 20
+#: Different stretches of one anchor up to which one task compares them; the strings of larger groups are dealt out one by one.
+MAX_GROUP = 2048
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -72,8 +74,8 @@ class Stretches:
         n = len(raw) - LENGTH
         c = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_VALUES[raw] * powers(_M, len(raw))[: len(raw)], out=c[1:])
-        self._sums, self._inverse = c, powers(_M_INV, len(raw) + 1)
-        gram = mix((c[GRAM : n + GRAM] - c[:n]) * self._inverse[:n])
+        self._raw, inverse = raw, powers(_M_INV, len(raw) + 1)
+        gram = mix((c[GRAM : n + GRAM] - c[:n]) * inverse[:n])
         # The hash above, the position below: the least is the leftmost of the least hash.
         low = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
         size = 1
@@ -96,17 +98,26 @@ class Stretches:
         self.text = owner[first]
         self.start, self.end = self._first - begins[self.text], self._last - begins[self.text]
         self.anchor = gram[self._place] if len(first) else np.zeros(0, np.uint64)
-        whole = (c[self._last + LENGTH] - c[self._first]) * self._inverse[self._first]
+        whole = (c[self._last + LENGTH] - c[self._first]) * inverse[self._first]
         self.stretch = mix(mix(whole) + ((self._place - self._first) << 32 | (self._last - self._first)).astype(np.uint64))
 
-    def strings(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each start of the picked stretches: index in pick, offset from the first start, name of its LENGTH bytes and its anchor's place."""
-        count = self._last[pick] - self._first[pick] + 1
-        which = np.repeat(np.arange(len(pick)), count)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        s = self._first[pick][which] + offset
-        name = (self._sums[s + LENGTH] - self._sums[s]) * self._inverse[s]
-        return which, offset, mix(mix(name) + (self._place[pick][which] - s).astype(np.uint64))
+    def body(self, k: int) -> tuple[bytes, int]:
+        """The bytes of a stretch, and its anchor's place in them."""
+        return self._raw[self._first[k] : self._last[k] + LENGTH].tobytes(), int(self._place[k] - self._first[k])
+
+
+def strings_of(bodies: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start of some stretches: which one, the offset, and a name of its LENGTH bytes and its anchor's place."""
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    c = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * powers(_M, len(raw))[: len(raw)], out=c[1:])
+    count = sizes - LENGTH + 1
+    which = np.repeat(np.arange(len(bodies)), count)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(sizes) - sizes)[which] + offset
+    name = (c[at + LENGTH] - c[at]) * powers(_M_INV, len(raw) + 1)[at]
+    return which, offset, mix(mix(name) + (places[which] - offset).astype(np.uint64))
 
 
 def _documents(docs: DataFrame, text: str) -> DataFrame:
@@ -132,7 +143,7 @@ def _documents(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _undecided(docs: DataFrame, text: str, bits) -> DataFrame:
-    """(anchor, stretch, offset, name) for the starts of stretches whose anchor is in the bitmap, mostly once a task."""
+    """(anchor, stretch, place, body) for the stretches whose anchor is in the bitmap, mostly once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -148,12 +159,60 @@ def _undecided(docs: DataFrame, text: str, bits) -> DataFrame:
                         new.append(k)
                 if len(done) > REMEMBERED:
                     done.clear()
-                if new:
-                    pick = np.array(new)
-                    which, offset, name = s.strings(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(s.anchor[pick][which])), pa.array(signed(s.stretch[pick][which])), pa.array(offset.astype(np.int32)), pa.array(signed(name))], names=["anchor", "stretch", "offset", "name"])
+                bodies = [s.body(k) for k in new]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.anchor[new])), pa.array(signed(s.stretch[new])), pa.array([p for _, p in bodies], pa.int32()), pa.array([t for t, _ in bodies], pa.binary())], names=["anchor", "stretch", "place", "body"])
+
+    return docs.select(text).mapInArrow(run, "anchor bigint, stretch bigint, place int, body binary")
+
+
+def _shared_in_groups(stretches: DataFrame) -> DataFrame:
+    """(anchor, stretch, first, last): the starts whose strings also occur in another stretch of the anchor; groups lie whole in one task."""
+
+    def shared(anchor: np.ndarray, stretch: np.ndarray, places: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])]) if len(anchor) else np.zeros(0, np.int64)
+        which, offset, name = strings_of([bodies[k] for k in new], places[new])
+        _, at, count = np.unique(mix(name ^ mix(anchor[new].view(np.uint64)[which])), return_inverse=True, return_counts=True)
+        twice = count[at] > 1
+        which, offset = which[twice], offset[twice]
+        begin = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
+        end = np.r_[begin[1:] - 1, len(which) - 1] if len(begin) else begin
+        own = new[which[begin]]
+        return pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(stretch[own]), pa.array(offset[begin].astype(np.int32)), pa.array(offset[end].astype(np.int32))], names=["anchor", "stretch", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parts = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(3).to_pylist()]
+            if held is not None:
+                parts = [np.concatenate([x, y]) for x, y in zip(held[:3], parts[:3])] + [held[3] + parts[3]]
+            # The last anchor's group may go on in the next batch.
+            cut = int(np.searchsorted(parts[0], parts[0][-1]))
+            if cut:
+                yield shared(*[p[:cut] for p in parts])
+            held = [p[cut:] for p in parts]
+        if held is not None:
+            yield shared(*held)
+
+    dealt = stretches.repartition("anchor").sortWithinPartitions("anchor", "stretch")
+    return dealt.select("anchor", "stretch", "place", "body").mapInArrow(run, "anchor bigint, stretch bigint, first int, last int")
+
+
+def _shared_by_string(stretches: DataFrame) -> DataFrame:
+    """The same for the largest groups: one row a start, dealt out by its string."""
 
-    return docs.select(text).mapInArrow(run, "anchor bigint, stretch bigint, offset int, name bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column(3).to_pylist()
+            for i, j in chunks(bodies, 1 << 18):
+                which, offset, name = strings_of(bodies[i:j], b.column(2).to_numpy()[i:j].astype(np.int64))
+                anchor, stretch = b.column(0).to_numpy()[i:j], b.column(1).to_numpy()[i:j]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(stretch[which]), pa.array(offset.astype(np.int32)), pa.array(signed(name))], names=["anchor", "stretch", "first", "name"])
+
+    strings = stretches.select("anchor", "stretch", "place", "body").mapInArrow(run, "anchor bigint, stretch bigint, first int, name bigint")
+    twice = strings.groupBy("anchor", "name").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low <> high").select("anchor", "name")
+    return strings.join(twice, ["anchor", "name"]).select("anchor", "stretch", "first", F.col("first").alias("last")).distinct()
 
 
 def repeated_starts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -169,12 +228,16 @@ def repeated_starts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     sizes = settle(mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n")), "repeats-sizes")
     whole = met.where("not mixed").select("_row", "first", "last").unionByName(mixed.join(sizes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("_row", "first", "last"))
     # Round 3: strings of the stretches that differ although their anchors are equal.
-    bits = spark.sparkContext.broadcast(bitmap(sizes.where("n = 1").select("anchor"), "anchor"))
-    strings = settle(_undecided(docs, text, bits).join(sizes.where("n = 1").select("anchor").distinct(), "anchor", "left_semi"), "repeats-strings")
-    twice = strings.groupBy("anchor", "name").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low <> high").select("anchor", "name")
     single = sizes.where("n = 1").select("anchor", "stretch")
-    hits = strings.join(twice, ["anchor", "name"]).join(single, ["anchor", "stretch"], "left_semi").select("anchor", "stretch", "offset")
-    edges = mixed.join(hits, ["anchor", "stretch"]).select("_row", (F.col("first") + F.col("offset")).alias("first"), (F.col("first") + F.col("offset")).alias("last"))
+    groups = sizes.groupBy("anchor").agg(F.count("*").alias("stretches"), F.min("n").alias("least")).where("least = 1")
+    groups = settle(groups.select("anchor", (F.col("stretches") > MAX_GROUP).alias("large")), "repeats-groups")
+    bits = spark.sparkContext.broadcast(bitmap(groups, "anchor"))
+    open_ = settle(_undecided(docs, text, bits).join(groups, "anchor"), "repeats-stretches")
+    hits = _shared_in_groups(open_.where("not large"))
+    if groups.where("large").limit(1).count():
+        hits = hits.unionByName(_shared_by_string(open_.where("large").dropDuplicates(["anchor", "stretch"])))
+    edges = mixed.select("_row", "anchor", "stretch", F.col("first").alias("start")).join(hits.join(single, ["anchor", "stretch"], "left_semi"), ["anchor", "stretch"])
+    edges = edges.select("_row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     return rows, settle(whole.unionByName(edges), "repeats-starts")
 
 
