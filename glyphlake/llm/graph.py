@@ -11,8 +11,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of undirected edges (a, b): the label is the least node that is reachable.
 
     Each round gives a node the least label of its neighbours and follows labels
-    one step further, so rounds grow with the logarithm of the longest path.  Every
-    round is settled; nothing but counts reaches the driver.
+    one step further, so that chains shorten as they are walked.  It ends when a round
+    changes nothing.  Every round is settled; nothing but a flag reaches the driver.
     """
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-labels")
