@@ -12,10 +12,11 @@ more than ``MAX_DISTANCE`` values are left; the others are confirmed on full set
 missed is below 1 in 30,000.
 
 A key's classes are not paired with one another.  First each is tried against the
-key's least class, the pairs that share most keys first, and confirmed links are
-joined into components; only classes of one key that are still in different
-components are then compared, in blocks of bounded size, by signature.  No partner
-is dropped: what a block finds is confirmed and joined like the rest.
+class that leads most of its keys, and confirmed links are joined into components;
+then, for some rounds, the best linked class of a key leads those of other
+components.  Only classes of one key that are still in different components are
+then compared, in blocks of bounded size, by signature.  No partner is dropped:
+what a block finds is confirmed and joined like the rest.
 
 Defined cases: a text without words has an empty set, links with nothing and is
 kept; repeated rows are copies of each other and each returns; rows of a null
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glyphlake.llm.common import Words, as_bytes, chunks, mix, settle, signed, table, word_sequence_hash
+from glyphlake.llm.common import Words, as_bytes, chunks, mix, settle, shield, signed, table, word_sequence_hash
 from glyphlake.llm.graph import components
 
 SHINGLE, PER_CENT = 5, 75
@@ -39,6 +40,8 @@ SHINGLE, PER_CENT = 5, 75
 VALUES, INDEXED, CHUNK = 128, 32, 4
 #: Differing values of two signatures beyond which a pair is left: over five standard deviations above the mean at the threshold.
 MAX_DISTANCE = 58
+#: Rounds in which each key's best linked class is tried against those of other components, before all are compared.
+HUB_ROUNDS = 2
 #: Classes of a block in the comparison of large keys.
 BLOCK = 1024
 _RNG = np.random.default_rng(6)
@@ -163,24 +166,36 @@ def _by_signature(pairs: DataFrame) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) near by signature and of different labels, from rows (key, set, label, sig, blocks), block by block."""
+    """Pairs (a, b) near by signature and of different labels, from rows (key, set, label, sig, keys, blocks), block by block.
+
+    Of the keys that two classes share, only the first gives the pair.
+    """
     own = F.pmod(F.xxhash64("set"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "label", "sig")
+    dealt = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "label", "sig", "keys")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].iat[0], pdf["high"].iat[0]
+        key, low, high = pdf["key"].iat[0], pdf["low"].iat[0], pdf["high"].iat[0]
         left, right = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
         a, b = [], []
-        x = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(-1, VALUES)
-        y = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, VALUES)
-        names, labels = right["set"].to_numpy(), right["label"].to_numpy()
-        for k, (s, l) in enumerate(zip(left["set"], left["label"])):
-            near = np.flatnonzero((y != x[k]).sum(1) <= MAX_DISTANCE)
-            for j in near:
-                if labels[j] != l and (low != high or j > k):
-                    a.append(min(s, names[j]))
-                    b.append(max(s, names[j]))
+        if len(left) and len(right):
+            x = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(-1, VALUES)
+            y = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, VALUES)
+            kx, ky = np.stack(left["keys"].to_list()), np.stack(right["keys"].to_list())
+            ids = {v: k for k, v in enumerate(pd.unique(pdf["label"]))}
+            lx, ly = left["label"].map(ids).to_numpy(), right["label"].map(ids).to_numpy()
+            sx, sy = left["set"].to_numpy(), right["set"].to_numpy()
+            for k in range(len(x)):
+                may = np.flatnonzero(ly != lx[k])
+                if low == high:
+                    may = may[may > k]
+                may = may[(y[may] != x[k]).sum(1) <= MAX_DISTANCE]
+                if len(may):
+                    # Both hold this key, so there is a first place where their keys agree.
+                    first = (ky[may] == kx[k]).argmax(1)
+                    for j in may[kx[k][first] == key]:
+                        a.append(min(sx[k], sy[j]))
+                        b.append(max(sx[k], sy[j]))
         return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     return dealt.groupBy("key", "low", "high").applyInPandas(run, "a binary, b binary").distinct()
@@ -195,44 +210,49 @@ def classes_and_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, D
     shared = entries.groupBy("key").agg(F.min("set").alias("lead"), F.max("set").alias("last"), F.count("*").alias("size")).where("lead <> last").drop("last")
     members = settle(entries.join(shared, "key"), "near-members")
     sig = classes.select("set", "sig")
-
-    def with_signatures(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sig.select(F.col("set").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("set").alias("b"), F.col("sig").alias("y")), "b")
-
-    # The least class of a key against the others, in order of the keys they share.
-    star = members.where("set <> lead").groupBy(F.col("lead").alias("a"), F.col("set").alias("b")).agg(F.count("*").alias("keys"))
-    star = settle(_by_signature(with_signatures(star)).drop("x", "y"), "near-star")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", "doc_id"), "set")
-    sets = settle(_sets_of(docs, text, wanted), "near-sets")
-    links, left, labels = None, star, classes.select(F.col("set").alias("node"), F.col("set").alias("label"))
-
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        more = _confirm(pairs, sets)
-        every = settle(more if links is None else links.unionByName(more), "near-links")
-        got = components(every, "near-round")
-        every_node = classes.select(F.col("set").alias("node")).join(got, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        return every, settle(every_node, "near-labels")
-
-    for last in (False, False, True):
-        if last:
-            now = left
-        else:
-            now = left.groupBy("b").agg(F.max(F.struct("keys", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        now = settle(now.select("a", "b"), "near-now")
+    labels = classes.select(F.col("set").alias("node"), F.col("set").alias("label"))
+    sets = links = tried = None
+
+    def best(leads: DataFrame) -> DataFrame:
+        """For each class the lead that leads most of its keys, as pairs near by signature."""
+        pairs = leads.where("set <> lead").groupBy("set", "lead").agg(F.count("*").alias("n")).groupBy("set").agg(F.max(F.struct("n", "lead")).alias("m"))
+        pairs = pairs.select(F.least("set", "m.lead").alias("a"), F.greatest("set", "m.lead").alias("b")).distinct()
+        j = pairs.join(sig.select(F.col("set").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("set").alias("b"), F.col("sig").alias("y")), "b")
+        return _by_signature(j.select("a", "b", "x", "y")).select("a", "b")
+
+    def confirmed(pairs: DataFrame) -> None:
+        """Confirm settled pairs and join their components."""
+        nonlocal sets, links, labels, tried
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("set"), "set", "left_anti")
+        more = settle(_sets_of(docs, text, wanted.join(classes.select("set", "doc_id"), "set")), "near-sets")
+        sets = more if sets is None else sets.unionByName(more)
+        found = _confirm(pairs, sets)
+        links = settle(found if links is None else links.unionByName(found), "near-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        got = components(links, "near-round")
+        labels = settle(classes.select(F.col("set").alias("node")).join(got, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-labels")
+
+    now = settle(best(members.select("key", "set", "lead")), "near-now")
+    for _ in range(HUB_ROUNDS + 1):
         if not now.limit(1).count():
             break
-        links, labels = confirmed(now)
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        left = settle(left.join(now, ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").drop("la", "lb"), "near-left")
+        confirmed(now)
+        # Next, of each key that is still open, the class with most links leads.
+        degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("degree"))
+        labelled = members.select("key", "set").join(labels.withColumnRenamed("node", "set"), "set").join(degree, "set", "left")
+        hub = labelled.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "set", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        leads = labelled.join(hub.select("key", F.col("hub.set").alias("lead"), F.col("hub.label").alias("lead_label")), "key").where("label <> lead_label").select("key", "set", "lead")
+        now = settle(best(leads).join(tried, ["a", "b"], "left_anti"), "near-now")
     # Classes of one key in different components: by signature, block by block.
     labelled = members.select("key", "set", "size").join(labels.withColumnRenamed("node", "set"), "set")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    crowd = labelled.join(open_keys, "key").join(sig, "set").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    rest = settle(_block_pairs(crowd).join(star.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+    crowd = labelled.join(open_keys, "key").join(classes.select("set", "sig", "keys"), "set").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    rest = _block_pairs(crowd)
+    rest = settle(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
-        more = rest.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set"), "set", "left_anti").join(classes.select("set", "doc_id"), "set")
-        sets = settle(sets.unionByName(_sets_of(docs, text, more)), "near-sets")
-        links, labels = confirmed(rest)
+        confirmed(rest)
     return rows, classes.select("set", "doc_id").join(labels.withColumnRenamed("node", "set"), "set"), links
 
 
@@ -253,10 +273,11 @@ def op6_minhash_near_dedup(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the least doc_id, once if its row is repeated."""
-    found = settle(near_duplicates(docs.select("doc_id", "text")), "near-found")
+    safe, back = shield(docs)
+    found = settle(near_duplicates(safe.select("doc_id", "text")), "near-found")
     copies = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = safe.join(copies, "doc_id", "left_anti").select(*safe.columns)
+    again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.limit(1).count():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
-    return kept
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id").dropDuplicates(["doc_id", "text"]).select(*safe.columns))
+    return back(kept)
