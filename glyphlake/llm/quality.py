@@ -4,10 +4,13 @@ Each rule looks at a share in thousandths (symbols, capitals, repeated lines,
 repeated passages, words said twice in a row).  A mergeable quantile sketch per language and source - the
 number of documents in each of 1001 equal bins, so that merging is addition, the
 error is one thousandth and the order of the rows never matters - gives the
-quartiles of a share; a document fails a rule when its share lies above
-``median + SPREADS * max(upper quartile - median, floor of the rule)``.  Groups
-with fewer than ``MIN_GROUP`` documents use the sketch of their language, and
-languages with fewer that of the whole table.
+quantiles of a share over the documents that the fixed rules pass; a document
+fails a rule when its share lies above ``median + SPREADS * max(quantile of the
+rule - median, BIN)``.  Most documents have no repeated line or passage, so that
+every low quantile of those shares is zero: ``RARE`` rules take theirs, with a
+median of zero, from the shares that aren't.  Groups in which a rule's quantile
+would rest on fewer than ``MIN_GROUP`` documents use the sketch of their
+language, and languages with fewer that of the whole table.
 
 Defined cases: a null text has no words and fails; null language or source is a
 group of its own; repeated rows count and return once each; other columns pass
@@ -27,9 +30,13 @@ from glyphlake.llm.common import Words, as_bytes, chunks, settle, shield, table
 
 #: Fixed rules of the contract: at least so many words; at most so many per cent of repeated words.
 MIN_WORDS, MAX_REPEAT_PER_CENT, REPEAT_WINDOW = 20, 30, 8
-#: A rule's smallest spread, in thousandths.
-RULES = {"symbol": 15, "capital": 60, "dup_line": 130, "repeat": 80, "stutter": 40}
+#: The quantile whose distance to the median is a rule's spread, in per cent.
+RULES = {"symbol": 75, "capital": 95, "dup_line": 25, "repeat": 25, "stutter": 95}
+#: Rules whose quantile is that of the shares above zero.
+RARE = ("dup_line", "repeat")
 SPREADS = 4
+#: The smallest spread: the error of the sketch, in thousandths.
+BIN = 1
 MIN_GROUP = 30
 #: Threshold rows up to which the join is a broadcast (about 100 bytes a row); above, it is salted.
 MAX_BROADCAST_GROUPS = 20_000
@@ -113,34 +120,44 @@ def _shares() -> dict:
     }
 
 
+def _base_failed():
+    return (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PER_CENT * F.col("_q_n_words"))
+
+
 def sketches(counted: DataFrame) -> DataFrame:
-    """Bins (_lang, _source, rule, bin, n): the mergeable sketches of every group."""
+    """Bins (_lang, _source, rule, bin, n): the mergeable sketches of every group, without what the fixed rules reject."""
     shares = F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("bin")) for r, s in _shares().items()])
-    return counted.select("_lang", "_source", F.explode(shares).alias("x")).groupBy("_lang", "_source", "x.rule", "x.bin").agg(F.count("*").alias("n"))
+    return counted.where(~_base_failed()).select("_lang", "_source", F.explode(shares).alias("x")).groupBy("_lang", "_source", "x.rule", "x.bin").agg(F.count("*").alias("n"))
 
 
 def _limits(bins: DataFrame, by: list[str]) -> DataFrame:
-    """Size and limit of each rule for every group."""
+    """Limit of each rule for every group, and the number of documents that its quantile rests on."""
     g = bins.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
+    rare = F.col("rule").isin(*RARE)
+    g = g.where(~rare | (F.col("bin") > 0))
     w = Window.partitionBy(*by, "rule")
     g = g.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("size", F.sum("n").over(w))
+    share = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[F.col("rule")]
     q = g.groupBy(*by, "rule").agg(
         F.max("size").alias("size"),
         F.min(F.when(F.col("upto") * 2 >= F.col("size"), F.col("bin"))).alias("mid"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("size") * 3, F.col("bin"))).alias("high"),
+        F.min(F.when(F.col("upto") * 100 >= F.col("size") * share, F.col("bin"))).alias("high"),
     )
-    floor = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[F.col("rule")]
-    return q.select(*by, "rule", "size", (F.col("mid") + SPREADS * F.greatest(F.col("high") - F.col("mid"), floor)).alias("limit"))
+    mid = F.when(rare, F.lit(0)).otherwise(F.col("mid"))
+    return q.select(*by, "rule", "size", (mid + SPREADS * F.greatest(F.col("high") - mid, F.lit(BIN))).alias("limit"))
 
 
 def thresholds(bins: DataFrame) -> DataFrame:
     """One row per (_lang, _source): the limit of every rule, from the smallest group that is large enough."""
+    rules = F.explode(F.array(*map(F.lit, RULES))).alias("rule")
+    asked = bins.select("_lang", "_source").distinct().select("*", rules).alias("g")
     own = _limits(bins, ["_lang", "_source"]).alias("o")
     lang = _limits(bins, ["_lang"]).alias("l")
     every = _limits(bins, []).alias("e")
-    j = own.join(lang, F.col("o._lang").eqNullSafe(F.col("l._lang")) & (F.col("o.rule") == F.col("l.rule"))).join(every, F.col("o.rule") == F.col("e.rule"))
+    j = asked.join(own, F.col("g._lang").eqNullSafe(F.col("o._lang")) & F.col("g._source").eqNullSafe(F.col("o._source")) & (F.col("g.rule") == F.col("o.rule")), "left")
+    j = j.join(lang, F.col("g._lang").eqNullSafe(F.col("l._lang")) & (F.col("g.rule") == F.col("l.rule")), "left").join(every, F.col("g.rule") == F.col("e.rule"), "left")
     limit = F.when(F.col("o.size") >= MIN_GROUP, F.col("o.limit")).when(F.col("l.size") >= MIN_GROUP, F.col("l.limit")).otherwise(F.col("e.limit"))
-    return j.select("o._lang", "o._source", "o.rule", limit.alias("limit")).groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(f"_limit_{r}") for r in RULES])
+    return j.select("g._lang", "g._source", "g.rule", limit.alias("limit")).groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(f"_limit_{r}") for r in RULES])
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -156,7 +173,7 @@ def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     ok = F.lit(True)
     for r, s in _shares().items():
         ok = ok & (s <= F.coalesce(F.col(f"_limit_{r}"), F.lit(1000)))
-    failed = (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PER_CENT * F.col("_q_n_words"))
+    failed = _base_failed()
     return j.drop(limits["_lang"], limits["_source"]).withColumn("_q_base_failed", failed).withColumn("_q_kept", ~failed & ok)
 
 

@@ -128,6 +128,28 @@ def test_quality_thresholds_follow_the_group(spark):
     assert sum(out[k] for k in range(60)) > 50 and sum(out[100 + k] for k in range(60)) > 50 and not out[999]
 
 
+def test_quality_limits_come_from_the_sketch(spark):
+    names = list(quality.RULES)
+    rows, k = [], 0
+    for source, scale in (("low", 1), ("high", 3)):
+        for i in range(100):
+            rare = (i % 40 + 10) * scale if i % 2 else 0
+            shares = {"symbol": i % 5 * scale, "capital": (10 + i % 10) * scale, "dup_line": rare, "repeat": rare // 2, "stutter": i % 10 * scale}
+            rows.append(("xx", source, k := k + 1, shares))
+        for r in names:  # one outlier a rule, below the fixed rule on repeats
+            rows.append(("xx", source, k := k + 1, {n: (290 if n == r else 0) for n in names}))
+    part = {"symbol": "n_symbols", "capital": "n_capitals", "dup_line": "n_dup_lines", "repeat": "n_repeat_words", "stutter": "n_stutters"}
+    counted = [(lang, source, i, *[{"n_words": 1000, "word_chars": 1000, "n_lines": 1000}.get(c, 0) or s[next(n for n in names if part[n] == c)] for c in quality.COUNTS]) for lang, source, i, s in rows]
+    df = spark.createDataFrame(counted, "_lang string, _source string, doc_id bigint, " + ", ".join(f"_q_{c} bigint" for c in quality.COUNTS))
+    limits = quality.thresholds(quality.sketches(df)).cache()
+    by = {r["_source"]: r for r in limits.collect()}
+    out = {r["doc_id"]: r for r in quality.judge(df, limits).collect()}
+    for r in names:
+        assert by["low"][f"_limit_{r}"] < by["high"][f"_limit_{r}"] < 300, r
+    for _, source, i, s in rows:
+        assert not out[i]["_q_base_failed"] and out[i]["_q_kept"] == (max(s.values()) < 290)
+
+
 # Operator 1
 
 
