@@ -1,14 +1,20 @@
 """Language-model scoring by logistic context mixing over bits (operator 10).
 
 Every byte of a text, and one zero byte that ends it, is predicted bit by bit.
-Hashed-context predictors of orders 1 to 5 (the bytes before, and the bits of this
-byte so far) hold counts of zeros and ones; a gated set of weights mixes their
-log odds, and a table indexed by the previous byte and the mixed odds refines the
-result.  Counts come from the whole training text: each task counts its windows
-of six bytes, Spark adds them up, and every window adds its count to the slots of
-its bits.  Weights and table are learned online, one mini-batch after another, on
-a bounded sample of windows, whose own count is left out of the slots.  Scoring
-uses the model as learned, so a text's score doesn't depend on other scored texts.
+Predictors of orders 1 to 5 (the bytes before, and the bits of this byte so far)
+hold counts of zeros and ones; a gated set of weights mixes their log odds, and a
+table indexed by the previous byte and the mixed odds refines the result.  Counts
+are exact and come from the whole training text: each task counts its windows of
+six bytes and Spark adds them up.  Windows are dealt into shards by the three
+bytes before the last, so that all counts of orders 3 to 5 meet in one task; those
+of orders 1 and 2 (at most 2^24 strings of three bytes) go to every task.
+Weights and table are learned online, one mini-batch after another, on a bounded
+sample of windows, whose own count is left out, and averaged over the shards.
+A first pass learns and a second gives every distinct window its log
+probability, also windows that only scored texts hold (their count is zero).
+Scoring uses the model as learned, so a text's score doesn't depend on other
+scored texts.  The ``HEAD_WINDOWS`` most frequent windows go to every task; the
+others meet the texts in a join, like rare tokens.
 
 The base score is that of the contract: add-one unigrams.  Counts of the
 ``HEAD_TOKENS`` most frequent tokens go to every task (bounded); the others meet
@@ -32,7 +38,13 @@ from glyphlake.llm.common import Words, as_bytes, chunks, settle, signed, table
 
 #: Tokens whose counts are sent to every task (16 bytes each).
 HEAD_TOKENS = 1 << 18
-#: Log2 of the slots of orders 1 to 5; what is collected and sent is bounded by their sum.
+#: Windows whose log probabilities are sent to every task (12 bytes each).
+HEAD_WINDOWS = 1 << 23
+#: Distinct training windows of a shard, about; their number grows with the input.
+SHARD = 1 << 18
+#: Orders whose counts go to every task.
+LOW_ORDERS = 2
+#: Log2 of the slots of orders 1 to 5 in a small model held in one table (Model).
 SLOT_BITS = (16, 19, 21, 21, 22)
 #: Bytes of a window: the context of the highest order and the byte itself.
 WIDTH = len(SLOT_BITS) + 1
@@ -42,6 +54,7 @@ SAMPLE, STEP = 1 << 18, 1 << 10
 MAX_DISTINCT = 1 << 20
 _STARTS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])]).astype(np.int64)
 _MEMO_BITS = 20
+_LEARNED = "weights binary, mass binary, cells binary, seen binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAM, _TOKEN = 0, 1
 _CLIP, _CELLS, BIAS = 12.0, 24, 0.3
@@ -100,8 +113,14 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         n_texts = 0
         for b in batches:
             train = _training(None, b.column(1))
-            texts = [t for t, x in zip(as_bytes(b.column(0)), train) if x]
+            all_texts = as_bytes(b.column(0))
+            texts = [t for t, x in zip(all_texts, train) if x]
             n_texts += len(texts)
+            # Windows of held-out texts are scored too; they count nothing.
+            others = [t for t, x in zip(all_texts, train) if not x]
+            for i, j in chunks(others):
+                u = np.unique(windows_of(others[i:j])[0])
+                kept[_GRAM].append((u, np.zeros(len(u), np.int64)))
             for i, j in chunks(texts):
                 for kind, keys in ((_GRAM, windows_of(texts[i:j])[0]), (_TOKEN, signed(Words(texts[i:j], lower=True).hash))):
                     parts = kept[kind]
@@ -118,24 +137,47 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def slot_counts(grams: DataFrame) -> DataFrame:
-    """(slot, zeros, ones): what windows (key, n) add to the predictors' slots."""
+def node(w: np.ndarray, order: int, bit: int) -> np.ndarray:
+    """The context of an order and the bits of the last byte before ``bit``, as one integer."""
+    return (w >> (bit + 1)) & ((1 << (8 * order + 7 - bit)) - 1)
+
+
+def tally(w: np.ndarray, n: np.ndarray, order: int, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of windows w that occur n times, their zeros and ones, and each window's place among them."""
+    u, at = np.unique(node(w, order, bit), return_inverse=True)
+    whole = np.bincount(at, n, len(u))
+    ones = np.bincount(at, n * (w >> bit & 1), len(u))
+    return u, whole - ones, ones, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(float)
-            keys, ones = [], []
-            for bit in range(8):
-                for s in slots(w, bit):
-                    keys.append(s)
-                    ones.append((w >> bit & 1).astype(bool))
-            key, one, n = np.concatenate(keys), np.concatenate(ones), np.tile(n, len(keys))
-            u, at = np.unique(key, return_inverse=True)
-            z = np.bincount(at, np.where(one, 0, n), len(u)).astype(np.int64)
-            o = np.bincount(at, np.where(one, n, 0), len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(z), pa.array(o)], names=["slot", "zeros", "ones"])
 
-    return grams.select("key", "n").mapInArrow(run, "slot int, zeros bigint, ones bigint").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+def low_counts(grams: DataFrame) -> list[list[tuple[np.ndarray, ...]]]:
+    """(nodes, zeros, ones) of the low orders, by order and bit; at most 2^24 rows are collected."""
+    mask = (1 << (8 * (LOW_ORDERS + 1))) - 1
+    got = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(mask)).cast("int").alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    w, n = got.column("key").to_numpy().astype(np.int64), got.column("n").to_numpy()
+    return [[tally(w, n, order, bit)[:3] for bit in range(8)] for order in range(1, LOW_ORDERS + 1)]
+
+
+def counts_of(w: np.ndarray, n: np.ndarray, low: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By bit the zeros and ones, a column an order, that a whole shard's windows meet."""
+    out = []
+    for bit in range(8):
+        zeros, ones = np.zeros((len(w), len(SLOT_BITS)), np.float32), np.zeros((len(w), len(SLOT_BITS)), np.float32)
+        for order in range(1, len(SLOT_BITS) + 1):
+            if order > LOW_ORDERS:
+                _, z, o, at = tally(w, n, order, bit)
+            else:
+                u, z, o = low[order - 1][bit]
+                if not len(u):
+                    continue
+                key = node(w, order, bit)
+                at = np.minimum(np.searchsorted(u, key), len(u) - 1)
+                met = u[at] == key
+                zeros[:, order - 1], ones[:, order - 1] = np.where(met, z[at], 0), np.where(met, o[at], 0)
+                continue
+            zeros[:, order - 1], ones[:, order - 1] = z[at], o[at]
+        out.append((zeros, ones))
+    return out
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -165,16 +207,7 @@ class Model:
         """log10 probability of the last byte of each window given the others."""
         total = np.zeros(len(w))
         for bit in range(8):
-            odds = [self.odds.take(s) for s in slots(w, bit)]
-            # Counts that aren't even give odds, and those that are tell nothing either.
-            weights = self.weights[self.gate(w, bit, sum((o != 0).astype(np.int64) for o in odds))]
-            x = weights[:, -1] * BIAS
-            for k, o in enumerate(odds):
-                x = x + weights[:, k] * o
-            x = np.clip(x, -_CLIP, _CLIP)
-            cell, part = self.cell(w, x)
-            x = (x + self.table[cell] * (1 - part) + self.table[cell + 1] * part) / 2
-            total -= np.logaddexp(0, np.where(w >> bit & 1, -x, x))
+            total += bit_log(w, bit, [self.odds.take(s) for s in slots(w, bit)], self.weights, self.table)
         return total / np.log(10)
 
     def score(self, w: np.ndarray) -> np.ndarray:
@@ -193,53 +226,117 @@ class Model:
         return out
 
 
-def learn_mixing(zeros: np.ndarray, ones: np.ndarray, w: np.ndarray, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refining table, learned online over windows w, each drawn as often as it is frequent."""
-    gates = 128 * WIDTH
-    weights = np.tile(np.array([0.3] * len(SLOT_BITS) + [0.0]), (gates, 1))
+def bit_log(w: np.ndarray, bit: int, odds: list[np.ndarray], weights: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of one bit of each window, from its log odds by order."""
+    # Counts that aren't even give odds, and those that are tell nothing either.
+    own = weights[Model.gate(w, bit, sum((o != 0).astype(np.int64) for o in odds))]
+    x = own[:, -1] * BIAS
+    for k, o in enumerate(odds):
+        x = x + own[:, k] * o
+    x = np.clip(x, -_CLIP, _CLIP)
+    cell, part = Model.cell(w, x)
+    x = (x + table_[cell] * (1 - part) + table_[cell + 1] * part) / 2
+    return -np.logaddexp(0, np.where(w >> bit & 1, -x, x))
+
+
+def untrained() -> tuple[np.ndarray, np.ndarray]:
+    weights = np.tile(np.array([0.3] * len(SLOT_BITS) + [0.0]), (128 * WIDTH, 1))
+    return weights, np.tile(np.arange(_CELLS + 1) / (_CELLS / (2 * _CLIP)) - _CLIP, (256, 1)).ravel()
+
+
+def learn(counted, w: np.ndarray, times: np.ndarray, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, what each gate has seen, refining table and what each cell has seen, learned online.
+
+    ``counted(begin, end, bit)`` gives zeros and ones of windows, a column an order;
+    a window weighs as much as ``times`` occurrences.
+    """
+    weights, table_ = untrained()
+    mass, seen = np.zeros(len(weights)), np.ones(len(table_))
     squares = np.full_like(weights, 1e-2)
-    table_ = np.tile(np.arange(_CELLS + 1) / (_CELLS / (2 * _CLIP)) - _CLIP, (256, 1)).ravel()
-    seen = np.ones(len(table_))
     for begin in range(0, len(w), STEP):
-        ww = w[begin : begin + STEP]
+        ww, n = w[begin : begin + STEP], times[begin : begin + STEP].astype(float)
         for bit in range(8):
             y = (ww >> bit & 1).astype(float)
+            zeros, ones = counted(begin, begin + len(ww), bit)
             x = np.empty((len(ww), WIDTH))
-            for k, s in enumerate(slots(ww, bit)):
-                # One occurrence of the window itself is left out.
-                x[:, k] = log_odds(np.maximum(zeros[s] - (y == 0), 0), np.maximum(ones[s] - (y == 1), 0))
+            # One occurrence of the window itself is left out.
+            x[:, :-1] = log_odds(np.maximum(zeros - (y == 0)[:, None], 0), np.maximum(ones - (y == 1)[:, None], 0))
             x[:, -1] = BIAS
             g = Model.gate(ww, bit, (x[:, :-1] != 0).sum(1))
             mixed = np.clip((weights[g] * x).sum(1), -_CLIP, _CLIP)
-            error = y - 1 / (1 + np.exp(-mixed))
-            step = np.zeros_like(weights)
-            np.add.at(step, g, error[:, None] * x)
+            error = (y - 1 / (1 + np.exp(-mixed))) * n
+            step = np.stack([np.bincount(g, error * x[:, k], len(weights)) for k in range(WIDTH)], 1)
+            mass += np.bincount(g, n, len(weights))
             squares += step * step
             weights += rate * step / np.sqrt(squares)
             cell, part = Model.cell(ww, mixed)
-            for at, amount in ((cell, 1 - part), (cell + 1, part)):
+            for at, amount in ((cell, (1 - part) * n), (cell + 1, part * n)):
                 p = 1 / (1 + np.exp(-table_[at]))
                 push = np.bincount(at, amount * (y - p), len(table_))
                 seen += np.bincount(at, amount, len(table_))
                 table_ += 4 * push / (seen + 20)
-    return weights.astype(np.float32), np.clip(table_, -_CLIP, _CLIP).astype(np.float32)
+    return weights, mass, np.clip(table_, -_CLIP, _CLIP), seen - 1
+
+
+def learn_mixing(zeros: np.ndarray, ones: np.ndarray, w: np.ndarray, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and refining table of a Model, learned online over windows w, each drawn as often as it is frequent."""
+
+    def counted(begin: int, end: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.stack(slots(w[begin:end], bit), 1)
+        return zeros[at], ones[at]
+
+    weights, _, table_, _ = learn(counted, w, np.ones(len(w)), rate)
+    return weights.astype(np.float32), table_.astype(np.float32)
 
 
-def fit(counts: DataFrame) -> Model:
-    """The model from settled counts."""
-    grams = counts.where(F.col("kind") == _GRAM)
-    got = slot_counts(grams).toArrow()  # of bounded size: one row a slot at most
-    zeros, ones = np.zeros(_STARTS[-1]), np.zeros(_STARTS[-1])
-    at = got.column("slot").to_numpy()
-    zeros[at], ones[at] = got.column("zeros").to_numpy(), got.column("ones").to_numpy()
+def merged(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Shards' weights and tables averaged, each gate and cell by what it has seen; the unseen stay as they began."""
+    out = []
+    for start, value, seen in zip(untrained(), ("weights", "cells"), ("mass", "seen")):
+        sums, whole = np.zeros_like(start), np.zeros(len(start))
+        for r in rows:
+            n = np.frombuffer(r[seen])
+            v = np.frombuffer(r[value]).reshape(start.shape)
+            sums += v * (n[:, None] if start.ndim > 1 else n)
+            whole += n
+        by = np.maximum(whole, 1e-300)
+        out.append(np.where((whole > 0)[:, None] if start.ndim > 1 else whole > 0, sums / (by[:, None] if start.ndim > 1 else by), start))
+    return out[0], out[1]
+
+
+def fit(grams: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """(key, p): the log10 probability of every window of settled counts (key, n); and weights and table."""
+    sc = grams.sparkSession.sparkContext
+    low = sc.broadcast(low_counts(grams))
+    distinct, total = grams.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
+    shards = max(1, -(-distinct // SHARD))
+    dealt = grams.select("key", "n", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(shards)).cast("int").alias("shard"))
     # SAMPLE draws in proportion to the counts: the whole part of each window's share, and the rest by its hash.
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
     uniform = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    draws = grams.withColumn("draws", F.floor(F.col("n") * (SAMPLE / total) + uniform)).where("draws > 0").select("key", "draws")
-    drawn = draws.orderBy(F.xxhash64(F.lit(7), "key"), "key").limit(2 * SAMPLE).toArrow()
-    sample = np.repeat(drawn.column("key").to_numpy(), drawn.column("draws").to_numpy())
-    weights, table_ = learn_mixing(zeros, ones, np.random.default_rng(10).permutation(sample))
-    return Model(log_odds(zeros, ones).astype(np.float32), weights, table_)
+    dealt = dealt.withColumn("times", F.floor(F.col("n") * (SAMPLE / max(total, 1)) + uniform).cast("bigint") * (F.col("n") > 0).cast("bigint"))
+
+    def shuffled(t: pa.Table) -> tuple[np.ndarray, ...]:
+        w = t.column("key").to_numpy()
+        at = np.argsort(w)
+        at = at[np.random.default_rng(10).permutation(len(at))]
+        return w[at], t.column("n").to_numpy()[at], t.column("times").to_numpy()[at]
+
+    def learned(t: pa.Table) -> pa.Table:
+        w, n, times = shuffled(t)
+        pick = times > 0
+        by_bit = [(z[pick], o[pick]) for z, o in counts_of(w, n, low.value)]
+        got = learn(lambda i, j, bit: (by_bit[bit][0][i:j], by_bit[bit][1][i:j]), w[pick], times[pick])
+        return pa.table({name: pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary()) for name, x in zip(("weights", "mass", "cells", "seen"), got)})
+
+    weights, table_ = merged(dealt.groupBy("shard").applyInArrow(learned, _LEARNED).collect())
+    sent = sc.broadcast((weights, table_))
+
+    def scored(t: pa.Table) -> pa.Table:
+        w, n, _ = shuffled(t)
+        total = sum(bit_log(w, bit, list(log_odds(z, o).T), *sent.value) for bit, (z, o) in enumerate(counts_of(w, n, low.value)))
+        return pa.table({"key": w, "n": n, "p": total / np.log(10)})
+
+    return settle(dealt.groupBy("shard").applyInArrow(scored, "key bigint, n bigint, p double"), "lm-windows"), (weights, table_)
 
 
 def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: str = "held_out") -> DataFrame:
@@ -250,20 +347,26 @@ def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: st
     texts = counts.where(F.col("kind") == 2).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = n + texts, v + (texts > 0)
-    model = fit(counts)
+    windows, _ = fit(counts.where(F.col("kind") == _GRAM).select("key", "n"))
+    most = windows if windows.count() <= HEAD_WINDOWS else windows.orderBy(F.desc("n"), "key").limit(HEAD_WINDOWS)
+    near = most.select("key", F.col("p").cast("float")).toArrow()
+    near_key = near.column("key").to_numpy()
+    by_key = np.argsort(near_key)
     head = tokens.orderBy(F.desc("n"), "key").limit(HEAD_TOKENS).select("key", "n").toArrow().sort_by("key")
-    sent = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("n").to_numpy(), model.odds, model.weights, model.table))
+    sent = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("n").to_numpy(), near_key[by_key], near.column("p").to_numpy()[by_key]))
+    del near, near_key, by_key
     fixed = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    schema = ", ".join([*fixed, "_row bigint", "_n_tokens bigint", "_n_bytes bigint", "_known bigint", "_logs double", "_score double", "_rare array<struct<key:bigint,n:int>>"])
+    schema = ", ".join([*fixed, "_row bigint", "_n_tokens bigint", "_n_bytes bigint", "_known bigint", "_logs double", "_score double", "_rare array<struct<key:bigint,n:int>>", "_far array<struct<key:bigint,n:int>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ns, *parts = sent.value
-        lm, logs = Model(*parts), np.log10(ns + 1.0)
+        keys, ns, near_keys, near_p = sent.value
+        logs = np.log10(ns + 1.0)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             all_texts = as_bytes(b.column(b.schema.get_field_index(text)))
             cols: list[list] = [[] for _ in range(6)]
             rare_key, rare_n, rare_size = [], [], []
+            far_key, far_n, far_size = [], [], []
             for i, j in chunks(all_texts):
                 part = all_texts[i:j]
                 w = Words(part, lower=True)
@@ -274,7 +377,11 @@ def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: st
                 sums = np.concatenate([[0.0], np.cumsum(value)])
                 known = np.concatenate([[0], np.cumsum(hit)])
                 grams, spans = windows_of(part)
-                p = np.concatenate([[0.0], np.cumsum(lm.score(grams))])
+                u, back = np.unique(grams, return_inverse=True)
+                place = np.minimum(np.searchsorted(near_keys, u), max(len(near_keys) - 1, 0))
+                found = near_keys[place] == u if len(near_keys) else np.zeros(len(u), bool)
+                value = np.where(found, near_p[place].astype(float), 0.0) if len(near_keys) else np.zeros(len(u))
+                p, away = np.concatenate([[0.0], np.cumsum(value[back])]), None if found.all() else ~found[back]
                 # Sums of a text, not differences of long sums: a text's score doesn't depend on its neighbours.
                 for k in range(len(part)):
                     a, z = w.offset[k], w.offset[k + 1]
@@ -282,6 +389,11 @@ def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: st
                     rare_key.append(u)
                     rare_n.append(c)
                     rare_size.append(len(u))
+                    mine = grams[spans[k] : spans[k + 1]]
+                    u, c = np.unique(mine[away[spans[k] : spans[k + 1]]] if away is not None else mine[:0], return_counts=True)
+                    far_key.append(u)
+                    far_n.append(c)
+                    far_size.append(len(u))
                 cols[0].append(sizes + 1)
                 cols[1].append(np.fromiter(map(len, part), np.int64, len(part)))
                 cols[2].append(known[w.offset[1:]] - known[w.offset[:-1]])
@@ -290,18 +402,20 @@ def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: st
             if not all_texts:
                 continue
             m = len(all_texts)
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare_size)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.concatenate(rare_key), pa.int64()), pa.array(np.concatenate(rare_n).astype(np.int32))], names=["key", "n"]))
-            made = [pa.array(np.arange(row, row + m)), *[pa.array(np.concatenate(c)) for c in cols[:5]], rare]
+            rare, far = (pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.concatenate(key), pa.int64()), pa.array(np.concatenate(times).astype(np.int32))], names=["key", "n"])) for key, times, size in ((rare_key, rare_n, rare_size), (far_key, far_n, far_size)))
+            made = [pa.array(np.arange(row, row + m)), *[pa.array(np.concatenate(c)) for c in cols[:5]], rare, far]
             row += m
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + made, names=[*keep, "_row", "_n_tokens", "_n_bytes", "_known", "_logs", "_score", "_rare"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + made, names=[*keep, "_row", "_n_tokens", "_n_bytes", "_known", "_logs", "_score", "_rare", "_far"])
 
     rows = settle(docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema), "lm-rows")
     found = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.key", F.col("r.n").alias("times"))
     rare = found.join(tokens.select("key", "n"), "key").groupBy("_row").agg(F.sum("times").alias("_rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_rare_logs"))
-    out = rows.drop("_rare").join(rare, "_row", "left")
+    away = rows.select("_row", F.explode("_far").alias("r")).select("_row", "r.key", F.col("r.n").alias("times"))
+    far = away.join(windows.select("key", F.col("p").cast("float").cast("double").alias("p")), "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("p")).alias("_far_score"))
+    out = rows.drop("_rare", "_far").join(rare, "_row", "left").join(far, "_row", "left")
     known = F.col("_known") + F.coalesce("_rare_known", F.lit(0)) + F.lit(int(texts > 0))
     logs = F.col("_logs") + F.coalesce("_rare_logs", F.lit(0.0)) + F.lit(float(np.log10(texts + 1.0)))
-    return out.select(*keep, "_n_tokens", "_n_bytes", known.cast("bigint").alias("_n_known"), F.lit(total).cast("bigint").alias("_train_tokens"), (logs - F.col("_n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("_base"), "_score")
+    return out.select(*keep, "_n_tokens", "_n_bytes", known.cast("bigint").alias("_n_known"), F.lit(total).cast("bigint").alias("_train_tokens"), (logs - F.col("_n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("_base"), (F.col("_score") + F.coalesce("_far_score", F.lit(0.0))).alias("_score"))
 
 
 def op10_lm_scoring(spark, sf_dir):

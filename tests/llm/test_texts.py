@@ -253,6 +253,27 @@ def test_language_model_predicts_and_sums_to_one():
     assert (10 ** model.log10(context | np.arange(256))).sum() == pytest.approx(1.0)
 
 
+def test_language_model_counts_are_exact(spark, tmp_path, monkeypatch):
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choices("abcdeé", k=r.randint(1, 6))) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    u, n = np.unique(lm.windows_of([t.encode() for t in texts])[0], return_counts=True)
+    low = [[lm.tally(u, n, order, bit)[:3] for bit in range(8)] for order in (1, 2)]
+    shard = (u >> 8 & 0xFFFFFF) % 3 == 0
+    got = lm.counts_of(u[shard], n[shard], low)
+    for bit in range(8):
+        for order in range(1, 6):
+            want = Counter()
+            for w, c in zip(u.tolist(), n.tolist()):
+                want[w >> 8 & (1 << 8 * order) - 1, (w & 255) >> (bit + 1), w >> bit & 1] += c
+            for k, w in enumerate(u[shard].tolist()):
+                at = w >> 8 & (1 << 8 * order) - 1, (w & 255) >> (bit + 1)
+                assert (got[bit][0][k, order - 1], got[bit][1][k, order - 1]) == (want[*at, 0], want[*at, 1])
+    frame(spark, [(k, t, "en", "a", "") for k, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {x["doc_id"]: x["score"] for x in lm.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(lm, "HEAD_WINDOWS", 50)  # most windows go through the join
+    assert {x["doc_id"]: x["score"] for x in lm.op10_lm_scoring(spark, str(tmp_path)).collect()} == pytest.approx(whole)
+
+
 # Operator 7
 
 
