@@ -8,8 +8,9 @@ are exact and come from the whole training text: each task counts its windows of
 six bytes and Spark adds them up.  Windows are dealt into shards by the three
 bytes before the last, so that all counts of orders 3 to 5 meet in one task; those
 of orders 1 and 2 (at most 2^24 strings of three bytes) go to every task.
-Weights and table are learned online, one mini-batch after another, on a bounded
-sample of windows, whose own count is left out, and averaged over the shards.
+Weights and table are learned online in every shard, one mini-batch after another,
+on all its training windows by their counts, less the window's own occurrence, and
+averaged over the shards by what each gate and cell has seen.
 A first pass learns and a second gives every distinct window its log
 probability, also windows that only scored texts hold (their count is zero).
 Scoring uses the model as learned, so a text's score doesn't depend on other
@@ -48,8 +49,8 @@ LOW_ORDERS = 2
 SLOT_BITS = (16, 19, 21, 21, 22)
 #: Bytes of a window: the context of the highest order and the byte itself.
 WIDTH = len(SLOT_BITS) + 1
-#: Windows that weights are learned on, and rows of one online step.
-SAMPLE, STEP = 1 << 18, 1 << 10
+#: Rows of one online step.
+STEP = 1 << 10
 #: Distinct windows that a task gathers before it hands on their counts.
 MAX_DISTINCT = 1 << 20
 _STARTS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])]).astype(np.int64)
@@ -308,12 +309,10 @@ def fit(grams: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
     """(key, p): the log10 probability of every window of settled counts (key, n); and weights and table."""
     sc = grams.sparkSession.sparkContext
     low = sc.broadcast(low_counts(grams))
-    distinct, total = grams.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
+    distinct = grams.where("n > 0").count()
     shards = max(1, -(-distinct // SHARD))
     dealt = grams.select("key", "n", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(shards)).cast("int").alias("shard"))
-    # SAMPLE draws in proportion to the counts: the whole part of each window's share, and the rest by its hash.
-    uniform = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    dealt = dealt.withColumn("times", F.floor(F.col("n") * (SAMPLE / max(total, 1)) + uniform).cast("bigint") * (F.col("n") > 0).cast("bigint"))
+    dealt = dealt.withColumn("times", F.col("n"))
 
     def shuffled(t: pa.Table) -> tuple[np.ndarray, ...]:
         w = t.column("key").to_numpy()

@@ -274,6 +274,17 @@ def test_language_model_counts_are_exact(spark, tmp_path, monkeypatch):
     assert {x["doc_id"]: x["score"] for x in lm.op10_lm_scoring(spark, str(tmp_path)).collect()} == pytest.approx(whole)
 
 
+def test_language_model_learns_from_every_window(spark, monkeypatch):
+    often = [(0x616263646561 + k, 10**9) for k in range(4)]
+    rare = [(0x61626364C861 + k, 1) for k in range(20)]
+    monkeypatch.setattr(lm, "SHARD", 8)
+    _, (weights, table_) = lm.fit(spark.createDataFrame(often + rare, "key bigint, n bigint"))
+    cells = slice(0xC8 * (lm._CELLS + 1), 0xC9 * (lm._CELLS + 1))
+    assert not np.allclose(table_[cells], lm.untrained()[1][cells])
+    gates = slice(0xC8 // 16 * lm.WIDTH, (0xC8 // 16 + 1) * lm.WIDTH)
+    assert not np.allclose(weights[gates], lm.untrained()[0][gates])
+
+
 # Operator 7
 
 
