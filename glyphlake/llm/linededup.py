@@ -10,7 +10,9 @@ MIN_LINES lines, and overlapping ones together are the maximal repeated runs - t
 longest-common-prefix intervals of a suffix array cut at that length.  Later
 copies are deleted; every deleted line keeps an equal one in an earlier place.
 
-Names are 64-bit hashes of lines; a run needs MIN_LINES equal names in a row.
+Names are 64-bit hashes of lines; a run needs MIN_LINES equal names in a row.  With
+``min_words`` a later copy of one line of at least so many words is a run too, in
+the stage with MIN_WORDS; op2_line_dedup keeps to runs of MIN_LINES, as its SQL does.
 Defined cases: a null or empty text has no lines and stays; a repeated row is a
 later copy; a row of a null doc_id comes before the others; other columns pass
 through; an empty table gives an empty one.
@@ -30,20 +32,27 @@ from glyphlake.llm.common import as_bytes, settle, shield, table
 
 #: Least number of lines of a repeated run.
 MIN_LINES = 2
+#: Words of a line that is a repeated run by itself.
+MIN_WORDS = 10
 
 
-def _with_lines(df: DataFrame, text: str) -> DataFrame:
-    """df with _lines: the names of the lines that hold a word."""
-    schema = T.StructType([*df.schema.fields, T.StructField("_lines", T.ArrayType(T.LongType()))])
+def _with_lines(df: DataFrame, text: str, min_words: int | None = None) -> DataFrame:
+    """df with _lines: the names of the lines that hold a word; and _long: which of them have min_words words."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_lines", T.ArrayType(T.LongType())), T.StructField("_long", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, offsets = [], [0]
+            ids, offsets, long_at, long_ends = [], [0], [], [0]
             for t in as_bytes(b.column(b.schema.get_field_index(text))):
-                ids += [xxhash.xxh64_intdigest(x) for x in t.split(b"\n") if x.strip()]
+                full = [x for x in t.split(b"\n") if x.strip()]
+                ids += [xxhash.xxh64_intdigest(x) for x in full]
                 offsets.append(len(ids))
+                if min_words is not None:
+                    long_at += [i for i, x in enumerate(full) if len(x.split()) >= min_words]
+                long_ends.append(len(long_at))
             lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns, lines], names=schema.names)
+            long = pa.ListArray.from_arrays(pa.array(long_ends, pa.int32()), pa.array(long_at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lines, long], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -64,27 +73,41 @@ def later_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         size += step
 
 
-def line_dedup(df: DataFrame, text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def later_long_lines(lines: DataFrame) -> DataFrame:
+    """(_row, pos): where long lines stand that also stand earlier, from rows (_row, doc_id, _lines, _long)."""
+    ranks = lines.select("_row", "doc_id", "_lines", F.explode("_long").alias("pos")).select("_row", "doc_id", "pos", F.get("_lines", F.col("pos")).alias("rank"))
+    first = F.struct("doc_id", "_row", "pos")
+    groups = ranks.groupBy("rank").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n")
+    return ranks.join(groups, "rank").where(~first.eqNullSafe(F.col("first"))).select("_row", "pos")
+
+
+def line_dedup(df: DataFrame, text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """df with _kept_text (null if text is), _n_lines, _n_removed and _n_runs."""
     columns = df.columns
-    rows = settle(_with_lines(df, text).withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
+    rows = settle(_with_lines(df, text, min_words).withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
     starts = later_runs(rows.select("_row", "doc_id", "_lines"), min_lines).groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("_starts"))
-    joined = rows.drop("_lines").join(starts, "_row", "left").drop("_row")
+    joined = rows.drop("_lines", "_long").join(starts, "_row", "left")
+    if min_words is not None:
+        alone = later_long_lines(rows.select("_row", "doc_id", "_lines", "_long")).groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("_single"))
+        joined = joined.join(alone, "_row", "left").drop("_row")
+    else:
+        joined = joined.withColumn("_single", F.lit(None).cast("array<int>")).drop("_row")
     schema = T.StructType([*df.schema.fields, T.StructField("_kept_text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("_n_lines", "_n_removed", "_n_runs")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_lines, removed, runs = [], [], [], []
             column = b.column(b.schema.get_field_index(text))
-            for t, null, starts in zip(as_bytes(column), column.is_null().to_pylist(), b.column(b.schema.get_field_index("_starts"))):
+            for t, null, starts, single in zip(as_bytes(column), column.is_null().to_pylist(), b.column(b.schema.get_field_index("_starts")), b.column(b.schema.get_field_index("_single"))):
                 lines = t.split(b"\n")
                 full = [i for i, x in enumerate(lines) if x.strip()]
                 gone: set[int] = set()
                 count, end = 0, -1
-                for p in starts.as_py() or ():
+                spans = [(p, p + min_lines) for p in starts.as_py() or ()] + [(p, p + 1) for p in single.as_py() or ()]
+                for p, stop in sorted(spans):
                     count += p > end
-                    end = p + min_lines
-                    gone.update(full[p:end])
+                    end = max(end, stop)
+                    gone.update(full[p:stop])
                 texts.append(None if null else b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode("utf-8", "replace") if gone else t.decode("utf-8", "replace"))
                 n_lines.append(len(full))
                 removed.append(len(gone))
@@ -118,7 +141,7 @@ FROM mark LEFT JOIN begun USING (doc_id) GROUP BY doc_id
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with what they have left; those left with no line at all, though they had some, go."""
     safe, back = shield(docs)
-    out = line_dedup(safe).where("_n_removed = 0 or _n_removed < _n_lines")
+    out = line_dedup(safe, min_words=MIN_WORDS).where("_n_removed = 0 or _n_removed < _n_lines")
     new = {"text": F.col("_kept_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_n_removed") > 0, F.char_length("_kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

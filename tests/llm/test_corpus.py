@@ -173,6 +173,14 @@ def test_line_runs_equal_brute_force(spark, least):
     assert {x["doc_id"]: x["_kept_text"] for x in out.collect()} == want
 
 
+def test_long_lines_are_runs_in_the_stage(spark):
+    long, short = prose(random.Random(1), 60), "two words"
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", long, f"e\n{short}\nf", f"g\n{short}\nh"]
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    out = {x["doc_id"]: x["text"] for x in linededup.stage(spark, df, "").collect()}
+    assert out == {0: texts[0], 1: "c\nd", 3: texts[3], 4: texts[4]}
+
+
 # Operator 4
 
 
