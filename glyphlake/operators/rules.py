@@ -156,7 +156,7 @@ def validate(indexed: DataFrame, inflated: str | None = None, families: str = "s
         df = df.withColumn("_trailer", F.expr(last)).withColumn("_adler", adler32(inflated))
         # Where the trailer starts: bytes of the stream that follow each chunk tell.
         after = "aggregate(filter(_idats, d -> d.idx > c.idx), 0L, (s, d) -> s + d.data_length)"
-        df = df.withColumn("_trailer_at", F.expr(f"element_at(transform(filter(_idats, c -> {after} < 4 and c.data_length + {after} >= 4), c -> c.data_offset + c.data_length + {after} - 4), 1)"))
+        df = df.withColumn("_trailer_at", F.expr(f"get(transform(filter(_idats, c -> {after} < 4 and c.data_length + {after} >= 4), c -> c.data_offset + c.data_length + {after} - 4), 0)"))
     parts = {"structure": structure, "integrity": lambda: integrity(inflated), "semantics": semantics, "resources": resources, "decode": decode}
     report = f"concat({', '.join(parts[f]() for f in families.split())})"
     return df.withColumn("report", F.expr(report)).select(*indexed.columns, "report")

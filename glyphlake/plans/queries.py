@@ -158,6 +158,16 @@ def adler_rule(spark, sf):
     return rules.validation_issues(v).select("file_id", "rule_id", "offset")
 
 
+def adler_rule_all(spark, sf):
+    """adler_rule over every file: no inflated bytes where the zlib header or its lack keeps a stream from being decoded."""
+    whole = F.concat(F.lit(b"\0"), F.expr("cast(if(c_custkey % 4 = 0, concat(substr(c_name, 1, length(c_name) - 1), '~'), c_name) as binary)"))
+    undecoded = ("signature_invalid", "signature_truncated", "idat_adler_truncated", "idat_required", "idat_zlib_header_truncated", "idat_zlib_method", "idat_zlib_window", "idat_zlib_fcheck", "idat_zlib_dictionary")
+    fault = F.col("c_custkey") % len(C.FAULTS)
+    names = read(spark, sf, "customer").select(F.col("c_custkey").alias("file_id"), F.when(~fault.isin(*map(C.FAULTS.index, undecoded)), whole).alias("inflated"))
+    v = rules.validate(_broken(spark, sf).join(names, "file_id"), "inflated", "integrity")
+    return rules.validation_issues(v).select("file_id", "rule_id", "offset")
+
+
 def exit_codes(spark, sf):
     return rules.validate(_broken(spark, sf)).select("file_id", rules.exit_code().cast("bigint").alias("code"))
 

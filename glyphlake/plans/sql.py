@@ -87,6 +87,12 @@ SQL: dict[str, str] = {
     "validation_issues": f"WITH {_FAULT}, {_FOUND} SELECT file_id, seq::BIGINT AS seq, rule_id, severity, message, \"offset\", spec_ref FROM found",
     "rule_summary": f"WITH {_FAULT}, {_FOUND} SELECT rule_id, count(*) AS n FROM found GROUP BY 1",
     "adler_rule": f"WITH {_FAULT} SELECT file_id, 'idat_adler_mismatch' AS rule_id, (CASE WHEN f = 8 THEN 72 + l + 8 - 4 ELSE 41 + l + 8 END)::BIGINT AS \"offset\" FROM fault WHERE f IN (0, 8) AND file_id % 4 = 0",
+    "adler_rule_all": f"""WITH {_FAULT}
+SELECT file_id, 'idat_adler_mismatch' AS rule_id, (49 + l + CASE f WHEN {_AT['idat_not_contiguous']} THEN 27 WHEN {_AT['ihdr_required']} THEN -25 WHEN {_AT['ihdr_duplicate']} THEN 25 WHEN {_AT['ihdr_invalid_length']} THEN 1 ELSE 0 END)::BIGINT AS "offset" FROM fault
+  WHERE file_id % 4 = 0 AND f NOT IN ({', '.join(str(_AT[x]) for x in ('signature_invalid', 'signature_truncated', 'idat_adler_truncated', 'idat_required', 'idat_zlib_header_truncated', 'idat_zlib_method', 'idat_zlib_window', 'idat_zlib_fcheck', 'idat_zlib_dictionary'))})
+UNION ALL SELECT file_id, 'chunk_crc_mismatch', (53 + l)::BIGINT FROM fault WHERE f = {_AT['chunk_crc_mismatch']}
+UNION ALL SELECT file_id, 'idat_adler_truncated', 41::BIGINT FROM fault WHERE f IN ({_AT['idat_adler_truncated']}, {_AT['idat_zlib_header_truncated']})
+""",
     "exit_codes": f"WITH {_FAULT} SELECT file_id, (CASE WHEN f = 0 THEN 0 WHEN f IN ({_FORMAT}) THEN 2 ELSE 3 END)::BIGINT AS code FROM fault",
     "validate_json": f"WITH {_FAULT}, {_FOUND}, j AS (SELECT file_id, string_agg('{{\"rule_id\":\"' || rule_id || '\",\"severity\":\"error\",\"message\":\"' || message || '\",\"offset\":' || \"offset\" || ',\"spec_ref\":\"' || spec_ref || '\"}}', ',' ORDER BY seq) AS js FROM found GROUP BY 1) SELECT file_id, '{{\"file\":\"broken/' || file_id || '.png\",\"size\":' || ({_SIZE}) || ',\"valid\":' || (js IS NULL) || ',\"issues\":[' || coalesce(js, '') || ']}}' AS json FROM fault LEFT JOIN j USING (file_id)",
     "inspect_json": f"WITH {_HEX}, {_BYTE}, {_LITERAL}, k AS (SELECT file_id, s, unnest(range(0, ceil(s / 100.0)::BIGINT)) AS i, ceil(s / 100.0)::BIGINT AS c FROM stream), ch AS (SELECT file_id, 0 AS i, 'IHDR' AS type, 8 AS a, 13 AS n FROM stream UNION ALL SELECT file_id, i + 1, 'IDAT', 33 + 112 * i, least(100, s - 100 * i) FROM k UNION ALL SELECT DISTINCT file_id, c + 1, 'IEND', 33 + 12 * c + s, 0 FROM k), j AS (SELECT file_id, max(a) + 12 AS size, string_agg('{{\"type\":\"' || type || '\",\"header_offset\":' || a || ',\"data_offset\":' || (a + 8) || ',\"data_length\":' || n || ',\"crc_offset\":' || (a + 8 + n) || '}}', ',' ORDER BY i) AS js FROM ch GROUP BY 1) SELECT file_id, '{{\"file\":\"literal/' || file_id || '.png\",\"size\":' || size || ',\"signature_valid\":true,\"chunks\":[' || js || '],\"issues\":[]}}' AS json FROM j",
