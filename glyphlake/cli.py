@@ -11,7 +11,7 @@ import glyphlake
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     parser = argparse.ArgumentParser("glyphlake", exit_on_error=False)
-    parser.add_argument("--version", action="version", version=glyphlake.__version__)
+    parser.add_argument("-V", "--version", action="version", version=glyphlake.__version__)
     commands = parser.add_subparsers(dest="command")
     for name in ("inspect", "validate"):
         c = commands.add_parser(name)
@@ -25,8 +25,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(f"glyphlake: {e}", file=sys.stderr)
         return 2
     if args.command is None:
-        parser.print_help()
-        return 0
+        parser.print_usage(sys.stderr)
+        return 2
     from pyspark.sql import SparkSession, functions as F
 
     from glyphlake.operators import rules, structure

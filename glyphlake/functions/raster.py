@@ -115,8 +115,8 @@ def pack(samples: np.ndarray, depth: int) -> bytes:
     return np.packbits(bits.reshape(len(rows), -1).astype(np.uint8), axis=1).tobytes()
 
 
-def analyze(stream: bytes, width: int, height: int, depth: int, color: int, interlace: bool) -> Stages:
-    """Every stage of an image, or the first error."""
+def analyze(stream: bytes, width: int, height: int, depth: int, color: int, interlace: bool, plain: bool = True) -> Stages:
+    """Every stage of an image, or the first error; without ``plain`` scanlines as they are, and no samples."""
     out = Stages()
     if width > MAX_SIDE or height > MAX_SIDE or (passes := layout(width, height, depth, color, interlace)) is None or sum(p["total_bytes"] for p in passes) > MAX_DECODED:
         out.error = "invalid image header"
@@ -130,7 +130,7 @@ def analyze(stream: bytes, width: int, height: int, depth: int, color: int, inte
         out.error = "inflate: inflated size does not match the scanline layout"
         return out
     channels, bpp, at, stream_row = CHANNELS[color], bytes_per_pixel(depth, color), 0, 0
-    target = np.zeros((height, width, channels), np.int32)
+    target = np.zeros((height, width, channels), np.int32) if plain else None
     for p in passes:
         above, rows = bytes(p["row_bytes"]), []
         for k in range(p["height"]):
@@ -139,13 +139,18 @@ def analyze(stream: bytes, width: int, height: int, depth: int, color: int, inte
                 out.error = "invalid filter byte"
                 return out
             row = out.filtered[at + 1 : at + p["filter_row_bytes"]]
-            plain = unfilter(kind, row, above, bpp)
-            out.scanlines.append({"stream_row": stream_row, "pass": p["pass"], "row_in_pass": k, "offset": at, "length": p["filter_row_bytes"], "filter_type": kind, "filtered": row, "unfiltered": plain, "above": above})
-            above, at, stream_row = plain, at + p["filter_row_bytes"], stream_row + 1
-            rows.append(plain)
+            line = {"stream_row": stream_row, "pass": p["pass"], "row_in_pass": k, "offset": at, "length": p["filter_row_bytes"], "filter_type": kind, "filtered": row}
+            out.scanlines.append(line)
+            at, stream_row = at + p["filter_row_bytes"], stream_row + 1
+            if plain:
+                line["above"] = above
+                line["unfiltered"] = above = unfilter(kind, row, above, bpp)
+                rows.append(above)
         if rows:
             target[p["y_start"] :: p["y_step"], p["x_start"] :: p["x_step"]] = unpack(rows, p["width"], channels, depth)
-    out.passes, out.samples, out.unfiltered, out.success = passes, target, pack(target, depth), True
+    out.passes, out.samples, out.success = passes, target, True
+    if plain:
+        out.unfiltered = pack(target, depth)
     return out
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glyphlake.functions import deflate
+from glyphlake.functions import deflate, raster
 from glyphlake.functions.geometry import channels_for, filter_bpp, filter_text, pass_offsets, row_bytes
 from glyphlake.functions.perfile import per_file
+from glyphlake.operators.reconstruct import _analyzed, decode_input
 
 _HEADER = ("width", "height", "bit_depth", "color_type", "interlace")
 
@@ -131,12 +132,39 @@ def nearest_before(points: DataFrame, requests: DataFrame, at: str, wanted: str)
     return requests.join(p, "file_id").where(F.col("anchor") <= F.col(wanted)).groupBy(*requests.columns).agg(F.max("anchor").alias("anchor"))
 
 
-def restore_scanline(scanline_rows: DataFrame, anchors: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (file_id, stream_row) with the row's bytes and the bytes that a replay from its anchor reads."""
-    near = nearest_before(anchors, requests.select("file_id", "stream_row"), "stream_row", "stream_row")
-    rows = scanline_rows.select("file_id", "stream_row", "offset", "length", "unfiltered")
-    begin = anchors.select("file_id", F.col("stream_row").alias("anchor"), F.col("offset").alias("anchor_offset"))
-    return near.join(rows, ["file_id", "stream_row"]).join(begin, ["file_id", "anchor"]).select("file_id", "stream_row", "unfiltered", (F.col("offset") + F.col("length") - F.col("anchor_offset")).alias("replay_bytes"))
+def restore_scanlines(indexed: DataFrame, wanted: str, interval: int) -> DataFrame:
+    """(file_id, stream_row, unfiltered, replay_bytes, error): the rows that ``wanted`` (an array expression over decode_input) names, replayed from anchors.
+
+    An anchor stands at the first row of a pass and at each row that starts
+    ``interval`` bytes after the anchor before; it keeps the row above it. A row is
+    restored by the reverse filters from the last anchor on; replay_bytes are the
+    bytes read for that. Everything happens in one pass over a file.
+    """
+
+    def rows(file_id, valid, stream, head, asked):
+        found = _analyzed(valid, stream, head, plain=False)
+        lines = found.scanlines if found.success else []
+        anchors: list[tuple[int, bytes]] = []
+        done, above, bpp = 0, b"", raster.bytes_per_pixel(head[8], head[9]) if found.success else 1
+        for want in sorted(set(asked or ())):
+            if want < 0 or want >= len(lines):
+                yield file_id, want, None, None, found.error or "scanline out of range"
+                continue
+            # Anchors are laid as far as they are needed.
+            for k in range(done, want + 1):
+                r = lines[k]
+                above = bytes(len(r["filtered"])) if r["row_in_pass"] == 0 else above
+                if r["row_in_pass"] == 0 or r["offset"] - lines[anchors[-1][0]]["offset"] >= interval:
+                    anchors.append((k, above))
+                above = raster.unfilter(r["filter_type"], r["filtered"], above, bpp)
+            done = max(done, want + 1)
+            at, row = anchors[-1]
+            for k in range(at, want + 1):
+                row = raster.unfilter(lines[k]["filter_type"], lines[k]["filtered"], row, bpp)
+            yield file_id, want, row, lines[want]["offset"] + lines[want]["length"] - lines[at]["offset"], ""
+
+    df = decode_input(indexed).withColumn("_wanted", F.expr(wanted))
+    return per_file(df, "file_id bigint, stream_row bigint, unfiltered binary, replay_bytes bigint, error string", rows, "file_id", "signature_valid", "stream", "head", "_wanted")
 
 
 def bits_to_physical(segments: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -320,24 +348,31 @@ def decode_inspector(token_rows: DataFrame) -> DataFrame:
     return t.select("file_id", F.col("idx").alias("token_index"), "kind", symbol.alias("symbol"), "length", *extra("l", "length"), "distance", *extra("d", "distance"))
 
 
-def literal_walk(token_rows: DataFrame, starts: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(file_id, request, status, literal_token, depth): from a token (file_id, request, token_index) along first sources to its literal; one recursive query.
+def literal_walk(token_rows: DataFrame, starts: DataFrame, max_depth: int = 8, max_nodes: int = 64) -> DataFrame:
+    """(file_id, request, status, literal_token, depth, path): from a token (file_id, request, token_index) along first sources to its literal; one recursive query.
 
-    A start's walk is one chain; the recursion ends with the depth, so budgets bound it.
+    Budgets are met before a token is taken: max_depth steps and max_nodes tokens at
+    most. 'error' means a cycle; 'not_found' a token or source that isn't there, or
+    one without a literal behind it.
     """
     spark = token_rows.sparkSession
+    if max_depth <= 0 or max_nodes <= 0:
+        return starts.select("file_id", "request", F.lit("budget_exceeded").alias("status"), F.lit(None).cast("bigint").alias("literal_token"), F.lit(None).cast("int").alias("depth"), F.expr("cast(array() as array<bigint>)").alias("path"))
     t = token_rows.select("file_id", F.col("idx").alias("token_index"), "kind", F.expr("get(sources, 0).token_index").alias("next"))
-    t.createOrReplaceTempView("_walk_tokens")
+    there = t.select("file_id", F.col("token_index").alias("next"), F.lit(True).alias("known"))
+    t.join(there, ["file_id", "next"], "left").createOrReplaceTempView("_walk_tokens")
     starts.select("file_id", "request", "token_index").createOrReplaceTempView("_walk_starts")
     walked = spark.sql(f"""
-      WITH RECURSIVE walk(file_id, request, token_index, kind, onward, depth) AS (
-        SELECT s.file_id, s.request, s.token_index, t.kind, t.next, 0 FROM _walk_starts s JOIN _walk_tokens t ON s.file_id = t.file_id AND s.token_index = t.token_index
+      WITH RECURSIVE walk(file_id, request, token_index, kind, onward, known, path) AS (
+        SELECT s.file_id, s.request, s.token_index, t.kind, t.next, t.known, array(t.token_index) FROM _walk_starts s JOIN _walk_tokens t ON s.file_id = t.file_id AND s.token_index = t.token_index
         UNION ALL
-        SELECT w.file_id, w.request, t.token_index, t.kind, t.next, w.depth + 1 FROM walk w JOIN _walk_tokens t ON w.file_id = t.file_id AND w.onward = t.token_index WHERE w.kind = 'length_distance' AND w.depth < {max_depth}
+        SELECT w.file_id, w.request, t.token_index, t.kind, t.next, t.known, concat(w.path, array(t.token_index)) FROM walk w JOIN _walk_tokens t ON w.file_id = t.file_id AND w.onward = t.token_index
+        WHERE w.kind = 'length_distance' AND size(w.path) < {min(max_depth, max_nodes)} AND NOT array_contains(w.path, w.onward)
       ) SELECT * FROM walk""")
-    last = walked.groupBy("file_id", "request").agg(F.max_by(F.struct("token_index", "kind", "onward"), "depth").alias("w"), F.max("depth").alias("depth"))
-    status = F.when(F.col("w").isNull(), "not_found").when(F.col("w.kind") == "literal", "ready").when(F.col("depth") >= max_depth, "budget_exceeded").otherwise("not_found")
-    return starts.select("file_id", "request").join(last, ["file_id", "request"], "left").select("file_id", "request", status.alias("status"), F.when(F.col("w.kind") == "literal", F.col("w.token_index")).alias("literal_token"), "depth")
+    last = walked.groupBy("file_id", "request").agg(F.max_by(F.struct("token_index", "kind", "known", "path"), F.size("path")).alias("w"))
+    goes_on = (F.col("w.kind") == "length_distance") & F.coalesce("w.known", F.lit(False))
+    status = F.when(F.col("w").isNull(), "not_found").when(F.col("w.kind") == "literal", "ready").when(~goes_on, "not_found").when(F.size("w.path") >= min(max_depth, max_nodes), "budget_exceeded").otherwise("error")
+    return starts.select("file_id", "request").join(last, ["file_id", "request"], "left").select("file_id", "request", status.alias("status"), F.when(F.col("w.kind") == "literal", F.col("w.token_index")).alias("literal_token"), (F.size("w.path") - 1).alias("depth"), F.col("w.path").alias("path"))
 
 
 def navigation(token_rows: DataFrame, space: str) -> DataFrame:

@@ -19,32 +19,39 @@ def decode_input(indexed: DataFrame) -> DataFrame:
     return with_stream(indexed).selectExpr("file_id", "signature_valid", "stream", f"if(octet_length({first('49484452')}) >= 13, substring({first('49484452')}, 1, 13), null) as head", f"{first('504C5445')} as palette", f"{first('74524E53')} as transparency")
 
 
-def _analyzed(valid, stream, head) -> raster.Stages:
+def _analyzed(valid, stream, head, plain: bool = True) -> raster.Stages:
     if not valid:
         return raster.Stages(error="invalid PNG signature")
     if head is None:
         return raster.Stages(error="missing or invalid IHDR")
     width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
-    return raster.analyze(bytes(stream), width, height, head[8], head[9], head[12] == 1)
+    return raster.analyze(bytes(stream), width, height, head[8], head[9], head[12] == 1, plain)
 
 
-def stages(indexed: DataFrame) -> DataFrame:
-    """One row a file: success, error, and the bytes of every stage."""
+def stages(indexed: DataFrame, *more: str) -> DataFrame:
+    """One row a file: success, error, and the bytes of every stage; more: ``stream``, to have what was decoded beside it."""
 
     def rows(file_id, valid, stream, head):
         s = _analyzed(valid, stream, head)
-        yield file_id, s.success, s.error, s.filtered if s.success else None, s.unfiltered if s.success else None, len(s.scanlines)
+        out = (file_id, s.success, s.error, s.filtered if s.success else None, s.unfiltered if s.success else None, len(s.scanlines))
+        yield (*out, stream) if more else out
 
-    return per_file(decode_input(indexed), "file_id bigint, success boolean, error string, filtered binary, unfiltered binary, scanlines bigint", rows, *_INPUT)
+    return per_file(decode_input(indexed), "file_id bigint, success boolean, error string, filtered binary, unfiltered binary, scanlines bigint" + ", stream binary" * bool(more), rows, *_INPUT)
 
 
-def scanlines(indexed: DataFrame) -> DataFrame:
+_SCANLINE = {"stream_row": "bigint", "pass": "int", "row_in_pass": "bigint", "offset": "bigint", "length": "bigint", "filter_type": "int", "filtered": "binary", "unfiltered": "binary"}
+
+
+def scanlines(indexed: DataFrame, *columns: str) -> DataFrame:
+    """file_id and the columns of every scanline (default: all); filters are undone only where the result is asked for."""
+    columns = columns or tuple(_SCANLINE)
+
     def rows(file_id, valid, stream, head):
-        s = _analyzed(valid, stream, head)
+        s = _analyzed(valid, stream, head, "unfiltered" in columns)
         for r in s.scanlines if s.success else ():
-            yield file_id, r["stream_row"], r["pass"], r["row_in_pass"], r["offset"], r["length"], r["filter_type"], r["filtered"], r["unfiltered"]
+            yield (file_id, *[r[c] for c in columns])
 
-    return per_file(decode_input(indexed), "file_id bigint, stream_row bigint, pass int, row_in_pass bigint, offset bigint, length bigint, filter_type int, filtered binary, unfiltered binary", rows, *_INPUT)
+    return per_file(decode_input(indexed), "file_id bigint, " + ", ".join(f"{c} {_SCANLINE[c]}" for c in columns), rows, *_INPUT)
 
 
 def filter_events(indexed: DataFrame, row: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glyphlake.operators.structure import adler32
+from glyphlake.operators.structure import adler32, checksums
 
 ISSUE = "struct<rule_id:string,severity:string,message:string,offset:bigint,spec_ref:string>"
 _NONE = f"cast(array() as array<{ISSUE}>)"
@@ -98,10 +98,7 @@ def structure() -> str:
 
 def integrity(inflated: str | None = None) -> str:
     """inflated: a binary column of the inflated stream, for the rules on its checksum."""
-    stored = "conv(hex(substring(content, cast(c.crc_offset + 1 as int), 4)), 16, 10)"
-    found = "crc32(substring(content, cast(c.header_offset + 5 as int), cast(c.data_length + 4 as int)))"
-    readable = "c.crc_offset + 4 <= octet_length(content)"
-    bad = f"flatten(transform(chunks, c -> if(not ({readable}), array({_issue('chunk_integrity_unreadable', 'c.header_offset')}), if(cast({found} as string) <> {stored}, array({_issue('chunk_crc_mismatch', 'c.crc_offset')}), {_NONE}))))"
+    bad = f"flatten(transform(arrays_zip(chunks, _crcs), z -> if(z._crcs is null, array({_issue('chunk_integrity_unreadable', 'z.chunks.header_offset')}), if(z._crcs.computed <> z._crcs.stored, array({_issue('chunk_crc_mismatch', 'z.chunks.crc_offset')}), {_NONE}))))"
     parts = [bad, _if("_idat_size > 0 and _idat_size < 6", "idat_adler_truncated", "_idat_at")]
     if inflated:
         large = f"octet_length({inflated}) > 4294967295"
@@ -157,6 +154,8 @@ def validate(indexed: DataFrame, inflated: str | None = None, families: str = "s
         # Where the trailer starts: bytes of the stream that follow each chunk tell.
         after = "aggregate(filter(_idats, d -> d.idx > c.idx), 0L, (s, d) -> s + d.data_length)"
         df = df.withColumn("_trailer_at", F.expr(f"get(transform(filter(_idats, c -> {after} < 4 and c.data_length + {after} >= 4), c -> c.data_offset + c.data_length + {after} - 4), 0)"))
+    if "integrity" in families.split():
+        df = df.withColumn("_crcs", checksums("content", "chunks"))
     parts = {"structure": structure, "integrity": lambda: integrity(inflated), "semantics": semantics, "resources": resources, "decode": decode}
     report = f"concat({', '.join(parts[f]() for f in families.split())})"
     return df.withColumn("report", F.expr(report)).select(*indexed.columns, "report")

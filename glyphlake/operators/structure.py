@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from glyphlake.functions.perfile import per_file
 from glyphlake.sources.files import u32
@@ -65,11 +67,30 @@ def chunk_issues(indexed: DataFrame) -> DataFrame:
     return indexed.select("file_id", F.posexplode("issues").alias("seq", "i")).select("file_id", F.col("seq").cast("bigint").alias("seq"), "i.kind", "i.offset")
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("computed", T.LongType()), T.StructField("stored", T.LongType())])))
+def checksums(content: pa.Array, chunks: pa.Array) -> pa.Array:
+    """CRC-32 over type and data of each chunk, and the one in the file; null where that can't be read. One walk over a file: a column's bytes are copied each time an expression reads them."""
+    out = []
+    for data, found in zip(content, chunks):
+        view = memoryview(data.as_buffer() or b"")
+        out.append([{"computed": zlib.crc32(view[c["header_offset"] + 4 : c["data_offset"] + c["data_length"]]), "stored": int.from_bytes(view[c["crc_offset"] : c["crc_offset"] + 4], "big")} if c["crc_offset"] + 4 <= len(view) else None for c in found.as_py() or ()])
+    return pa.array(out, pa.list_(pa.struct([("computed", pa.int64()), ("stored", pa.int64())])))
+
+
+@F.arrow_udf(T.BinaryType())
+def idat_stream(content: pa.Array, chunks: pa.Array) -> pa.Array:
+    """The IDAT data of each file as one, in time linear in its size."""
+    out = []
+    for data, found in zip(content, chunks):
+        view = memoryview(data.as_buffer() or b"")
+        out.append(b"".join(view[c["data_offset"] : c["data_offset"] + c["data_length"]] for c in found.as_py() or () if c["type"] == b"IDAT"))
+    return pa.array(out, pa.binary())
+
+
 def chunk_checksums(indexed: DataFrame) -> DataFrame:
-    """(file_id, idx, type, computed, stored): CRC-32 over type and data, and the one in the file; JVM only."""
-    body = F.expr("substring(content, cast(header_offset + 5 as int), cast(data_length + 4 as int))")
-    stored = u32(F.expr("substring(content, cast(crc_offset + 1 as int), 4)"))
-    return chunks(indexed, "content").select("file_id", "idx", "type", F.crc32(body).alias("computed"), stored.alias("stored"))
+    """(file_id, idx, type, computed, stored): CRC-32 over type and data, and the one in the file."""
+    rows = indexed.select("file_id", F.inline(F.arrays_zip("chunks", checksums("content", "chunks").alias("crc"))))
+    return rows.select("file_id", "chunks.idx", type_text(F.col("chunks.type")).alias("type"), "crc.computed", "crc.stored")
 
 
 def idat_segments(indexed: DataFrame) -> DataFrame:
@@ -82,7 +103,7 @@ def idat_segments(indexed: DataFrame) -> DataFrame:
 
 def with_stream(indexed: DataFrame) -> DataFrame:
     """Files with ``stream``: the IDAT data as one, without a shuffle; empty where there is none."""
-    return indexed.withColumn("stream", F.expr("aggregate(filter(chunks, c -> c.type = X'49444154'), X'', (s, c) -> concat(s, substring(content, cast(c.data_offset + 1 as int), cast(c.data_length as int))))"))
+    return indexed.withColumn("stream", idat_stream("content", "chunks"))
 
 
 def logical_to_physical(segments: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -115,10 +136,10 @@ def ihdr(indexed: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select("file_id", u32(F.substring("b", 1, 4)).alias("width"), u32(F.substring("b", 5, 4)).alias("height"), *[byte(8 + i).alias(n) for i, n in enumerate(("bit_depth", "color_type", "compression", "filter", "interlace"))], F.col("h.header_offset").alias("header_offset"))
 
 
-def wrapper(streams: DataFrame) -> DataFrame:
-    """The zlib wrapper of ``stream``: (file_id, success, error, deflate_data_begin, fields), JVM only."""
+def wrapper(streams: DataFrame, *more: str) -> DataFrame:
+    """The zlib wrapper of ``stream``: (file_id, success, error, deflate_data_begin, fields), and further columns; JVM only."""
     b = [F.conv(F.hex(F.substring("stream", k + 1, 1)), 16, 10).cast("bigint") for k in range(2)]
-    s = streams.select("file_id", "stream", F.octet_length("stream").cast("bigint").alias("n"), b[0].alias("cmf"), b[1].alias("flg"))
+    s = streams.select("file_id", *more, "stream", F.octet_length("stream").cast("bigint").alias("n"), b[0].alias("cmf"), b[1].alias("flg"))
     s = s.selectExpr("*", "cmf & 15 as cm", "shiftright(cmf, 4) as cinfo", "(cmf * 256 + flg) % 31 = 0 as fcheck_ok", "(flg & 32) <> 0 as fdict", "shiftright(flg, 6) as flevel")
     s = s.selectExpr("*", "if(fdict, 6, 2) as cursor").selectExpr(
         "*",
@@ -147,7 +168,7 @@ def wrapper(streams: DataFrame) -> DataFrame:
         field("DICTID", word("2"), f"concat('0x', lower(hex(substring(stream, 3, 4))))", "2", "4", "0", "false", dictid),
         field("ADLER32", word("n - 4"), "concat('0x', lower(hex(substring(stream, cast(n - 4 as int) + 1, 4))))", "n - 4", "4", "0", "false", adler),
     ])
-    return s.selectExpr("file_id", "error = '' as success", "error", "if(n >= 2 and cm = 8 and fcheck_ok and cinfo <= 7 and not (fdict and n < 6), cursor, 0) as deflate_data_begin", f"array_compact(array({fields})) as fields")
+    return s.selectExpr("file_id", *more, "error = '' as success", "error", "if(n >= 2 and cm = 8 and fcheck_ok and cinfo <= 7 and not (fdict and n < 6), cursor, 0) as deflate_data_begin", f"array_compact(array({fields})) as fields")
 
 
 def wrapper_fields(wrapped: DataFrame) -> DataFrame:
@@ -161,6 +182,10 @@ def chunk_spans(indexed: DataFrame) -> DataFrame:
 
 
 def adler32(data: str) -> Column:
-    """Adler-32 of a binary column, without Python: the two running sums over its bytes."""
-    values = f"transform(regexp_extract_all(hex({data}), '(..)', 1), h -> cast(conv(h, 16, 10) as bigint))"
-    return F.expr(f"aggregate({values}, named_struct('a', 1L, 'b', 0L), (s, v) -> named_struct('a', (s.a + v) % 65521, 'b', (s.b + s.a + v) % 65521), s -> s.b * 65536 + s.a)")
+    """Adler-32 of a binary column, a batch at a time; null of null."""
+
+    @F.arrow_udf(T.LongType())
+    def checksum(column: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else zlib.adler32(v) for v in column.to_pylist()], pa.int64())
+
+    return checksum(F.col(data))

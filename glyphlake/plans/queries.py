@@ -115,9 +115,10 @@ def wrapper_errors(spark, sf):
 
 
 def adler_check(spark, sf):
-    s = R.stages(_gray(spark, sf)).select("file_id", structure.adler32("filtered").alias("computed"))
-    w = structure.wrapper_fields(structure.wrapper(_streams(_gray(spark, sf)))).where("name = 'ADLER32'").select("file_id", "value")
-    return s.join(w, "file_id").agg(F.count("*").alias("files"), F.count_if(F.col("computed") != F.col("value")).alias("mismatches"))
+    decoded = R.stages(_gray(spark, sf), "stream").select("file_id", "stream", structure.adler32("filtered").alias("computed"))
+    stored = structure.wrapper(decoded.select("file_id", "stream", "computed"), "computed")
+    value = F.expr("get(filter(fields, f -> f.name = 'ADLER32'), 0).value")
+    return stored.where(value.isNotNull()).agg(F.count("*").alias("files"), F.count_if(F.col("computed") != value).alias("mismatches"))
 
 
 def bounded_reads(spark, sf):
@@ -132,7 +133,7 @@ def hex_dump(spark, sf):
 
 
 def hex_sources(spark, sf):
-    s = R.stages(_gray_items(spark, sf)).join(_streams(_gray_items(spark, sf)), "file_id")
+    s = R.stages(_gray_items(spark, sf))
     out = files.hex_window(s, "filtered", 0, 17, "inflated")
     for c, name in (("unfiltered", "defiltered"),):
         out = out.unionByName(files.hex_window(s, c, 0, 16, name))
@@ -151,15 +152,7 @@ def rule_summary(spark, sf):
 
 
 def adler_rule(spark, sf):
-    """Every fourth customer's inflated bytes are taken from another row: the checksum doesn't fit."""
-    indexed = _broken(spark, sf).where(f"file_id % {len(C.FAULTS)} = 0 or file_id % {len(C.FAULTS)} = 8")
-    names = read(spark, sf, "customer").select(F.col("c_custkey").alias("file_id"), F.expr("concat(X'00', cast(if(c_custkey % 4 = 0, concat(substr(c_name, 1, length(c_name) - 1), '~'), c_name) as binary))").alias("inflated"))
-    v = rules.validate(indexed.join(names, "file_id"), "inflated", "integrity")
-    return rules.validation_issues(v).select("file_id", "rule_id", "offset")
-
-
-def adler_rule_all(spark, sf):
-    """adler_rule over every file: no inflated bytes where the zlib header or its lack keeps a stream from being decoded."""
+    """Every fourth customer's inflated bytes are taken from another row: the checksum doesn't fit; null where the zlib header or its lack keeps a stream from being decoded."""
     whole = F.concat(F.lit(b"\0"), F.expr("cast(if(c_custkey % 4 = 0, concat(substr(c_name, 1, length(c_name) - 1), '~'), c_name) as binary)"))
     undecoded = ("signature_invalid", "signature_truncated", "idat_adler_truncated", "idat_required", "idat_zlib_header_truncated", "idat_zlib_method", "idat_zlib_window", "idat_zlib_fcheck", "idat_zlib_dictionary")
     fault = F.col("c_custkey") % len(C.FAULTS)
@@ -220,15 +213,15 @@ def paeth_values(spark, sf):
 
 
 def scanline_spans(spark, sf):
-    return R.scanlines(_gray(spark, sf)).select("file_id", "stream_row", F.col("pass").cast("bigint").alias("pass"), "row_in_pass", "offset", "length", F.col("filter_type").cast("bigint").alias("filter_type"))
+    return R.scanlines(_gray(spark, sf), "stream_row", "pass", "row_in_pass", "offset", "length", "filter_type").select("file_id", "stream_row", F.col("pass").cast("bigint").alias("pass"), "row_in_pass", "offset", "length", F.col("filter_type").cast("bigint").alias("filter_type"))
 
 
 def filter_stats(spark, sf):
-    return stats.filter_stats(R.scanlines(_gray(spark, sf))).withColumn("filter_type", F.col("filter_type").cast("bigint"))
+    return stats.filter_stats(R.scanlines(_gray(spark, sf), "length", "filter_type")).withColumn("filter_type", F.col("filter_type").cast("bigint"))
 
 
 def unfiltered_rows(spark, sf):
-    return R.scanlines(_gray(spark, sf)).select("file_id", "stream_row", F.md5(F.hex("unfiltered").cast("binary")).alias("digest"))
+    return R.scanlines(_gray(spark, sf), "stream_row", "unfiltered").select("file_id", "stream_row", F.md5(F.hex("unfiltered").cast("binary")).alias("digest"))
 
 
 def stage_sizes(spark, sf):
@@ -352,7 +345,7 @@ def token_overlapping(spark, sf):
 def literal_walk(spark, sf):
     t = tracing.tokens(C.label_runs(spark, sf))
     starts = t.where("kind <> 'end_of_block'").select("file_id", F.col("idx").alias("request"), F.col("idx").alias("token_index"))
-    return Q.literal_walk(t, starts).withColumn("depth", F.col("depth").cast("bigint"))
+    return Q.literal_walk(t, starts).withColumn("depth", F.col("depth").cast("bigint")).drop("path")
 
 
 def decode_arithmetic(spark, sf):
@@ -494,13 +487,12 @@ def pixel_provenance(spark, sf):
 
 
 def anchor_index(spark, sf):
-    return Q.scanline_anchors(R.scanlines(_gray(spark, sf)), 100)
+    return Q.scanline_anchors(R.scanlines(_gray(spark, sf), "stream_row", "offset", "row_in_pass"), 100)
 
 
 def row_restore(spark, sf):
-    rows = R.scanlines(_gray(spark, sf))
-    last = rows.groupBy("file_id").agg(F.max("stream_row").alias("stream_row"))
-    return Q.restore_scanline(rows, Q.scanline_anchors(rows, 100), last).select("file_id", "stream_row", F.md5(F.hex("unfiltered").cast("binary")).alias("digest"), "replay_bytes")
+    last = "array(cast(conv(hex(substring(head, 5, 4)), 16, 10) as bigint) - 1)"
+    return Q.restore_scanlines(_gray(spark, sf), last, 100).select("file_id", "stream_row", F.md5(F.hex("unfiltered").cast("binary")).alias("digest"), "replay_bytes")
 
 
 # Statistics and selections

@@ -86,8 +86,7 @@ SQL: dict[str, str] = {
     "hex_sources": f"WITH {_ITEM}, {_PIXEL}, first_row AS (SELECT file_id, h, substr(hex, 1, 32) AS r FROM hx) SELECT file_id, 'inflated' AS name, 'ready' AS status, (17 * h)::BIGINT AS size, '00' || r AS bytes FROM first_row UNION ALL SELECT file_id, 'defiltered', 'ready', 16 * h, r FROM first_row",
     "validation_issues": f"WITH {_FAULT}, {_FOUND} SELECT file_id, seq::BIGINT AS seq, rule_id, severity, message, \"offset\", spec_ref FROM found",
     "rule_summary": f"WITH {_FAULT}, {_FOUND} SELECT rule_id, count(*) AS n FROM found GROUP BY 1",
-    "adler_rule": f"WITH {_FAULT} SELECT file_id, 'idat_adler_mismatch' AS rule_id, (CASE WHEN f = 8 THEN 72 + l + 8 - 4 ELSE 41 + l + 8 END)::BIGINT AS \"offset\" FROM fault WHERE f IN (0, 8) AND file_id % 4 = 0",
-    "adler_rule_all": f"""WITH {_FAULT}
+    "adler_rule": f"""WITH {_FAULT}
 SELECT file_id, 'idat_adler_mismatch' AS rule_id, (49 + l + CASE f WHEN {_AT['idat_not_contiguous']} THEN 27 WHEN {_AT['ihdr_required']} THEN -25 WHEN {_AT['ihdr_duplicate']} THEN 25 WHEN {_AT['ihdr_invalid_length']} THEN 1 ELSE 0 END)::BIGINT AS "offset" FROM fault
   WHERE file_id % 4 = 0 AND f NOT IN ({', '.join(str(_AT[x]) for x in ('signature_invalid', 'signature_truncated', 'idat_adler_truncated', 'idat_required', 'idat_zlib_header_truncated', 'idat_zlib_method', 'idat_zlib_window', 'idat_zlib_fcheck', 'idat_zlib_dictionary'))})
 UNION ALL SELECT file_id, 'chunk_crc_mismatch', (53 + l)::BIGINT FROM fault WHERE f = {_AT['chunk_crc_mismatch']}

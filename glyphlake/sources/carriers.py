@@ -18,7 +18,9 @@ def _row(file_id: int, kind: str, content: bytes) -> tuple:
 
 
 def _read(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt out over them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def gray_texts(spark, sf_dir: str, table: str = "documents", key: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:

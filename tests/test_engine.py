@@ -214,7 +214,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["inspect", str(good)], spark) == 0 and "IHDR data=13@16" in capsys.readouterr().out
     (tmp_path / "c.png").write_bytes(E.SIGNATURE + b"abc")
     assert cli.main(["validate", str(tmp_path / "c.png")], spark) == 2
-    assert cli.main(["validate", str(tmp_path / "no.png")], spark) == 1 and cli.main(["frobnicate"], spark) == 2 and cli.main(["--version"], spark) == 0
+    assert cli.main(["validate", str(tmp_path / "no.png")], spark) == 1 and cli.main(["frobnicate"], spark) == 2 and cli.main(["--version"], spark) == 0 and cli.main(["-V"], spark) == 0 and cli.main([], spark) == 2
 
 
 def test_stream_of_files(spark, tmp_path):
@@ -231,3 +231,50 @@ def test_limits_say_when_they_cut(spark):
     d = spark.createDataFrame([(1, k) for k in range(5)] + [(2, 0)], "file_id bigint, idx bigint")
     got = Q.limited(d, 3, "idx").collect()
     assert sum(r["file_id"] == 1 for r in got) == 3 and all(r["truncated"] == (r["file_id"] == 1) for r in got)
+
+
+def test_literal_walk_budgets_and_failures(spark):
+    lit, match = "literal", "length_distance"
+    tokens = spark.createDataFrame([(1, 0, lit, []), (1, 1, match, [(0,)]), (1, 2, match, [(1,)]), (1, 3, match, [(4,)]), (1, 4, match, [(3,)]), (1, 5, match, [(99,)]), (1, 6, "end_of_block", [])], "file_id bigint, idx bigint, kind string, sources array<struct<token_index:bigint>>")
+    starts = spark.createDataFrame([(1, k, k) for k in (0, 1, 2, 3, 5, 6, 7)], "file_id bigint, request bigint, token_index bigint")
+
+    def statuses(**budgets):
+        return {r["request"]: (r["status"], r["literal_token"], r["depth"]) for r in Q.literal_walk(tokens, starts, **budgets).collect()}
+
+    assert statuses() == {0: ("ready", 0, 0), 1: ("ready", 0, 1), 2: ("ready", 0, 2), 3: ("error", None, 1), 5: ("not_found", None, 0), 6: ("not_found", None, 0), 7: ("not_found", None, None)}
+    one = statuses(max_depth=1)
+    assert one[0][0] == "ready" and one[1][0] == "budget_exceeded" and one[5][0] == "not_found"
+    assert statuses(max_nodes=2)[2][0] == "budget_exceeded" and statuses(max_nodes=2)[1][0] == "ready"
+    assert {x[0] for x in statuses(max_depth=0).values()} == {"budget_exceeded"}
+
+
+def test_rows_are_restored_from_anchors(spark):
+    content, samples = E.image(9, 23, 8, 2, True)
+    indexed = structure.index_files(spark.createDataFrame([(1, "a", len(content), bytearray(content))], "file_id bigint, path string, length bigint, content binary"))
+    want = {r["stream_row"]: bytes(r["unfiltered"]) for r in R.scanlines(indexed).collect()}
+    got = {r["stream_row"]: r for r in Q.restore_scanlines(indexed, f"sequence(-1L, {len(want)}L)", 60).collect()}
+    assert all(bytes(got[k]["unfiltered"]) == v for k, v in want.items())
+    assert got[-1]["error"] == got[len(want)]["error"] == "scanline out of range" and max(r["replay_bytes"] or 0 for r in got.values()) < 60 + 2 * 28
+
+
+def test_streams_of_many_chunks_are_joined_in_linear_time(spark):
+    import hashlib
+    import time
+
+    from glyphlake.operators.structure import with_stream
+
+    data = bytes(range(256)) * (1 << 14)
+    content = E.png(E.ihdr(1, 1, 8, 0), data, 512)
+    df = structure.index_files(spark.createDataFrame([(1, "a", len(content), bytearray(content))], "file_id bigint, path string, length bigint, content binary"))
+    with_stream(df).select(F.md5("stream")).collect()
+    began = time.perf_counter()
+    assert with_stream(df).select(F.md5("stream")).first()[0] == hashlib.md5(data).hexdigest()
+    assert time.perf_counter() - began < 3
+    assert structure.chunk_checksums(df).where("computed <> stored").count() == 0
+    assert time.perf_counter() - began < 6
+
+
+def test_nearest_before_is_an_as_of_join(spark):
+    points = spark.createDataFrame([(1, 0), (1, 10), (2, 5)], "file_id bigint, at bigint")
+    asked = spark.createDataFrame([(1, 9), (1, 10), (2, 4), (2, 50)], "file_id bigint, wanted bigint")
+    assert {(r["file_id"], r["wanted"], r["anchor"]) for r in Q.nearest_before(points, asked, "at", "wanted").collect()} == {(1, 9, 0), (1, 10, 10), (2, 50, 5)}
