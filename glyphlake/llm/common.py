@@ -6,6 +6,9 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D.  All functions take
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text handled at once by the numpy kernels (a longer text is one chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bits of a bitmap; what is collected and broadcast is bounded by it (16 MB).
+BITMAP_BITS = 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +44,98 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def settle_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """settle() in buckets of ``column``, so that a join on it moves the other side only."""
+    spark = df.sparkSession
+    name = f"{name}-{uuid.uuid4().hex}"
+    path, called = f"{shared_dir(spark)}/{name}", name.replace("-", "_")
+    # Rows that come from an exchange by the column lie in its buckets as they are.
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(called)
+    out = spark.table(called)
+    out._settled_at, out._settled_as = path, called
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            if called := getattr(df, "_settled_as", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {called}")
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the bit of every value of a bigint column set."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    words = values.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by their first ``keys`` bigint columns, as batches of whole groups and the groups' bounds."""
+
+    def starts(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(max(b.num_rows - 1, 0), bool)
+        for k in range(keys):
+            c = b.column(k).to_numpy()
+            new |= c[1:] != c[:-1]
+        return np.r_[0, np.flatnonzero(new) + 1]
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[0].column(k)[0].as_py() != b.column(k)[0].as_py() for k in range(keys)):
+            whole = pa.concat_batches(held)
+            yield whole, np.array([0, whole.num_rows])
+            held = []
+        at = starts(b)
+        if len(at) == 1:  # the last group may go on in the next batch
+            held.append(b)
+            continue
+        whole = pa.concat_batches([*held, b.slice(0, at[-1])])
+        shift = whole.num_rows - int(at[-1])
+        yield whole, np.r_[0, at[1:] + shift]
+        held = [b.slice(at[-1])]
+    if held:
+        whole = pa.concat_batches(held)
+        yield whole, np.array([0, whole.num_rows])
+
+
+def release() -> None:
+    """Give back to the system what a task's arrays took of a worker that other tasks will use again."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run``, a function of Arrow batches, with release() at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -75,7 +171,7 @@ def powers(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
         p[0] = 1
         np.cumprod(p, out=p)
-        if n > 4 * CHUNK_BYTES:
+        if n > 2 * CHUNK_BYTES:
             return p
         _powers[base] = p
     return _powers[base]

@@ -2,25 +2,31 @@
 
 A document's set is that of its distinct five-word shingles (A-Z lower-cased; with
 fewer words the whole sequence).  Documents of equal sets form a class.  Each class
-has a b-bit MinHash signature: the low 8 bits of ``VALUES`` minima.  The first
-``INDEXED`` minima are cut into chunks; by the pigeonhole principle two signatures
-that differ in fewer than ``2 * chunks`` of them have a chunk with at most one
-difference, and a class is entered under each of a chunk's ways to leave one value
-out, so every such pair meets under a key.  Pairs whose whole signatures differ in
-more than ``MAX_DISTANCE`` values are left; the others are confirmed on full sets
-(100 * intersection >= 75 * union).  At the threshold the chance that a pair is
-missed is below 1 in 30,000.
-
-A key's classes are not paired with one another.  First each is tried against the
-class that leads most of its keys, and confirmed links are joined into components;
-then, for some rounds, the best linked class of a key leads those of other
-components.  Only classes of one key that are still in different components are
-then compared, in blocks of bounded size, by signature.  No partner is dropped:
-what a block finds is confirmed and joined like the rest.
+has a signature of ``SIGNATURE`` minima of 16 bits, cut into chunks of ``CHUNK``
+values.  By the pigeonhole principle two signatures that differ in ``RADIUS`` values
+at most have a chunk with at most one difference; a class is entered under each of
+a chunk's ways to leave one value out, so every such pair meets under a key.  At
+the threshold the chance that a pair shares no key is below 1 in 30,000.  Links are
+confirmed on full sets (100 * intersection >= 75 * union).
+
+A key's classes are not paired with one another.  Each is tried against the class
+that leads most of its keys; then, for some rounds, each class of a key that still
+has several components is tried against the one nearest by signature in another
+component, found in blocks of bounded size.  ``SIEVE`` minima beside the signature
+only spare these trials pairs that are far beyond the threshold.  Confirmed links
+join components.  What is then still open is searched without loss.  Keys of up to
+``CROWD`` classes give every pair of different components that the sieve leaves.
+In larger keys two sets that are similar enough share one of their rarest shingles
+(a prefix filter with sizes and places): their classes are dealt out by those, and
+every pair of different components that these bounds leave is confirmed.  No
+partner is dropped.
 
 Defined cases: a text without words has an empty set, links with nothing and is
-kept; repeated rows are copies of each other and each returns; rows of a null
-doc_id belong to no component and are kept; an empty table gives an empty one.
+kept; a text may be of any length (its set takes 8 bytes a shingle); equally near
+partners are tried in the order of their sets' names; repeated rows are copies of
+each other and each returns; rows of a null doc_id belong to no component and are
+kept; other columns pass through the stage whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,22 +34,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glyphlake.llm.common import Words, as_bytes, chunks, mix, settle, shield, signed, table, word_sequence_hash
+from glyphlake.llm.common import Words, as_bytes, bitmap, chunks, discard, in_bitmap, mix, settle, settle_by, shield, signed, sorted_groups, table, tidy, word_sequence_hash
 from glyphlake.llm.graph import components
 
 SHINGLE, PER_CENT = 5, 75
-#: Minima of a signature, those that are indexed, and how many make a chunk.
-VALUES, INDEXED, CHUNK = 128, 32, 4
-#: Differing values of two signatures beyond which a pair is left: over five standard deviations above the mean at the threshold.
-MAX_DISTANCE = 58
-#: Rounds in which each key's best linked class is tried against those of other components, before all are compared.
-HUB_ROUNDS = 2
-#: Classes of a block in the comparison of large keys.
-BLOCK = 1024
+#: Minima of a signature, how many make a chunk, and the distance up to which every pair meets.
+SIGNATURE, CHUNK = 32, 4
+RADIUS = 2 * (SIGNATURE // CHUNK) - 1
+#: Further minima of the sieve; and the number of differing minima, of both together, beyond which a pair is not tried: over five standard deviations above the mean at the threshold.
+SIEVE, MAX_DISTANCE = 96, 58
+VALUES = SIGNATURE + SIEVE
+#: Rounds in which classes are tried against the nearest one of another component.
+ROUNDS = 4
+#: Classes of a block in the comparison of large keys; classes up to which a key's pairs are all compared in the end.
+BLOCK, CROWD = 1024, 128
+#: Shingles that the order of prefixes knows to be frequent, and what the sketch that finds them tracks.
+FREQUENT, TRACKED = 100_000, 1 << 18
 _RNG = np.random.default_rng(6)
 _MULTIPLY = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64)
@@ -69,30 +78,31 @@ def set_key(s: np.ndarray) -> bytes:
     return np.array([s.sum() + np.uint64(len(s)), mix(s ^ _SUM_2).sum()], np.uint64).tobytes() if len(s) else b""
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """VALUES minima of each non-empty set."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """The 16-bit minima of each non-empty set: SIGNATURE of the signature, then those of the sieve."""
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), VALUES), np.uint64)
+    out = np.empty((len(sets), VALUES), np.uint16)
     for k in range(VALUES):
-        out[:, k] = np.minimum.reduceat((flat ^ _ADD[k]) * _MULTIPLY[k], starts)
+        out[:, k] = np.minimum.reduceat((flat ^ _ADD[k]) * _MULTIPLY[k], starts) >> np.uint64(32)
     return out
 
 
-def index_keys(m: np.ndarray) -> np.ndarray:
-    """Keys of each row of minima: for every chunk, the values but one, for each one."""
+def index_keys(sig: np.ndarray) -> np.ndarray:
+    """Keys of each signature: for every chunk, its values but one, for each one, with their place above them."""
+    v = sig.astype(np.uint64)
     out = []
-    for c in range(0, INDEXED, CHUNK):
+    for c in range(0, SIGNATURE, CHUNK):
         for left_out in range(CHUNK):
-            h = np.full(len(m), c * CHUNK + left_out + 1, np.uint64)
+            h = np.full(len(v), c + left_out, np.uint64)
             for k in range(CHUNK):
                 if k != left_out:
-                    h = mix(h ^ m[:, c + k])
+                    h = h << np.uint64(16) | v[:, c + k]
             out.append(h)
     return np.stack(out, 1)
 
 
 def _prepared(docs: DataFrame, text: str) -> DataFrame:
-    """One row per document: doc_id, its set's key and size, and the signature and index keys."""
+    """One row per document: doc_id, its set's size and key, its minima and index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,30 +116,37 @@ def _prepared(docs: DataFrame, text: str) -> DataFrame:
                 sigs: list = [None] * len(sets)
                 many: list = [None] * len(sets)
                 if full:
-                    m = minima([sets[k] for k in full])
-                    low = (m >> np.uint64(32)).astype(np.uint8)
-                    for k, row, index in zip(full, low, signed(index_keys(m))):
+                    m = signatures([sets[k] for k in full])
+                    for k, row, index in zip(full, m, signed(index_keys(m))):
                         sigs[k], many[k] = row.tobytes(), index
                 sig += sigs
                 keys += many
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "set", "sig", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n bigint, set binary, sig binary, keys array<bigint>")
+    return docs.select("doc_id", text).mapInArrow(tidy(run), f"doc_id {kind}, n bigint, set binary, sig binary, keys array<bigint>")
 
 
 def _sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(set, items): the sorted hashes of the wanted classes (doc_id, set), each from the text of its least document."""
+    """(set, items): the sorted hashes of the wanted classes (doc_id, set), each from the text of its least document.
+
+    A bitmap of fixed size spares the texts that the join would drop.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, want = as_bytes(b.column(0)), b.column(1).to_pylist()
+            b = b.filter(pa.array(in_bitmap(bits.value, b.column(2).to_numpy())))
+            texts = as_bytes(b.column(1))
             for i, j in chunks(texts):
-                got = [(k, s) for k, s in zip(want[i:j], shingle_sets(texts[i:j])) if set_key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], names=["set", "items"])
+                sets = shingle_sets(texts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set", "items"])
 
-    found = docs.select("doc_id", F.col(text).alias("_text")).join(wanted, "doc_id").select("_text", "set")
-    return found.mapInArrow(run, "set binary, items binary").dropDuplicates(["set"])
+    found = docs.where("doc_id is not null").select("doc_id", text, F.xxhash64("doc_id").alias("k")).mapInArrow(tidy(run), f"doc_id {kind}, set binary, items binary")
+    # Joined by set alone, for that is how the sets are kept.
+    same = ~((F.col("doc_id") < F.col("least")) | (F.col("doc_id") > F.col("least")))
+    return found.join(wanted.select("set", F.col("doc_id").alias("least")), "set").where(same).select("set", "items").dropDuplicates(["set"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,107 +170,205 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _by_signature(pairs: DataFrame) -> DataFrame:
-    """The rows of pairs (.., x, y) whose signatures x and y differ in MAX_DISTANCE values at most."""
+    """The rows of pairs (.., x, y) whose minima x and y differ in MAX_DISTANCE places at most."""
     schema = pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(b.schema.get_field_index("x")).to_pylist()), np.uint8).reshape(-1, VALUES)
-            y = np.frombuffer(b"".join(b.column(b.schema.get_field_index("y")).to_pylist()), np.uint8).reshape(-1, VALUES)
+            x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, VALUES) for c in "xy")
             yield b.filter(pa.array((x != y).sum(1) <= MAX_DISTANCE))
 
     return pairs.mapInArrow(run, schema)
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) near by signature and of different labels, from rows (key, set, label, sig, keys, blocks), block by block.
+def _in_blocks(rows: DataFrame, group: str, size: str, columns: list[str]) -> DataFrame:
+    """Rows (group, low, high, own, ..) sorted by group, low and high: each pair of blocks of a group together in one task."""
+    blocks = F.ceil(F.col(size) / BLOCK)
+    own = F.pmod(F.xxhash64("set"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select(F.col(group).alias("group"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *columns)
+    return dealt.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "set").select("group", "low", "high", "own", *columns)
 
-    Of the keys that two classes share, only the first gives the pair.
-    """
-    own = F.pmod(F.xxhash64("set"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set", "label", "sig", "keys")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, low, high = pdf["key"].iat[0], pdf["low"].iat[0], pdf["high"].iat[0]
-        left, right = pdf[pdf["own"] == low], pdf[pdf["own"] == high]
-        a, b = [], []
-        if len(left) and len(right):
-            x = np.frombuffer(b"".join(left["sig"]), np.uint8).reshape(-1, VALUES)
-            y = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, VALUES)
-            kx, ky = np.stack(left["keys"].to_list()), np.stack(right["keys"].to_list())
-            ids = {v: k for k, v in enumerate(pd.unique(pdf["label"]))}
-            lx, ly = left["label"].map(ids).to_numpy(), right["label"].map(ids).to_numpy()
-            sx, sy = left["set"].to_numpy(), right["set"].to_numpy()
-            for k in range(len(x)):
-                may = np.flatnonzero(ly != lx[k])
-                if low == high:
-                    may = may[may > k]
-                may = may[(y[may] != x[k]).sum(1) <= MAX_DISTANCE]
-                if len(may):
-                    # Both hold this key, so there is a first place where their keys agree.
-                    first = (ky[may] == kx[k]).argmax(1)
-                    for j in may[kx[k][first] == key]:
-                        a.append(min(sx[k], sy[j]))
-                        b.append(max(sx[k], sy[j]))
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-    return dealt.groupBy("key", "low", "high").applyInPandas(run, "a binary, b binary").distinct()
+
+def _near(rows: DataFrame, every: bool = False) -> DataFrame:
+    """(set, partner, distance) of classes of rows (key, set, label, sig, size) that share a key but no label: the nearest of each in each block, or every one that the sieve leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in sorted_groups(batches, 3):
+            low, high, own, label = (b.column(k).to_numpy() for k in (1, 2, 3, 5))
+            sig = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint16).reshape(-1, VALUES)
+            who, partner, away = [], [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if j - i < 2 or (label[i:j] == label[i]).all():
+                    continue
+                if low[i] == high[i]:
+                    left = right = np.arange(i, j)
+                else:
+                    left, right = i + np.flatnonzero(own[i:j] == low[i]), i + np.flatnonzero(own[i:j] == high[i])
+                    if not len(left) or not len(right):
+                        continue
+                far = np.empty((len(left), len(right)), np.int16)
+                for k, row in enumerate(left):
+                    far[k] = np.where(label[right] == label[row], VALUES + 1, (sig[right] != sig[row]).sum(1))
+                if every:
+                    x, y = np.nonzero(far <= MAX_DISTANCE)
+                    x, y = (x[x < y], y[x < y]) if left is right else (x, y)
+                    who.append(left[x])
+                    partner.append(right[y])
+                    away.append(far[x, y])
+                    continue
+                for mine, theirs, best in ((left, right, far.argmin(1)), (right, left, far.argmin(0))):
+                    least = far[np.arange(len(left)), best] if mine is left else far[best, np.arange(len(right))]
+                    ok = least <= MAX_DISTANCE
+                    who.append(mine[ok])
+                    partner.append(theirs[best[ok]])
+                    away.append(least[ok])
+                    if left is right:
+                        break
+            if who:
+                yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(np.concatenate(x))) for x in (who, partner)] + [pa.array(np.concatenate(away).astype(np.int32))], names=["set", "partner", "distance"])
+
+    return _in_blocks(rows, "key", "size", ["set", "label", "sig"]).mapInArrow(tidy(run), "set binary, partner binary, distance int")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of some sets, sorted, and their counts, by a mergeable sketch: FREQUENT of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["s"])
+
+    top = sets.select("items").mapInArrow(run, "s bigint").agg(F.expr(f"approx_top_k(s, {FREQUENT}, {TRACKED})").alias("x")).select(F.inline("x")).toArrow()
+    key, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def prefix(items: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, in one order for all sets: a similar set has one of them among its own."""
+    key, n = frequent
+    times = np.zeros(len(items), np.int64)
+    if len(key):
+        at = np.minimum(np.searchsorted(key, items), len(key) - 1)
+        times = np.where(key[at] == items, n[at], 0)
+    return items[np.lexsort((items, times))[: len(items) - (PER_CENT * len(items) + 99) // 100 + 1]]
+
+
+def may_reach(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common one stands at ``place`` and ``other`` can be similar enough."""
+    least = PER_CENT * (n + m)
+    return ((100 + PER_CENT) * np.minimum(n - place, m - other) >= least) & (100 * np.minimum(n, m) >= PER_CENT * np.maximum(n, m))
+
+
+def _prefix_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every pair (a, b) of classes (set, label) of different labels that the prefix filter leaves."""
+    mine = sets.join(open_, "set")
+    sent = open_.sparkSession.sparkContext.broadcast(_frequent(mine))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            first = [prefix(s, sent.value) for s in sets]
+            if not first:
+                continue
+            sizes = np.array([len(x) for x in first])
+            at = np.repeat(np.arange(len(first)), sizes)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(first))), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.array([len(s) for s in sets], np.int32)[at]), pa.array(place.astype(np.int32))], names=["shingle", "set", "label", "n", "place"])
+
+    rows = settle(mine.select("set", "label", "items").mapInArrow(entries, "shingle bigint, set binary, label bigint, n int, place int"), "near-prefixes")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.min("label").alias("low_label"), F.max("label").alias("high_label")).where("low_label <> high_label")
+    dealt = _in_blocks(rows.join(shared.select("shingle", "size"), "shingle"), "shingle", "size", ["set", "label", "n", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in sorted_groups(batches, 3):
+            low, high, own, label, n, place = (b.column(k).to_numpy() for k in (1, 2, 3, 5, 6, 7))
+            left, right = [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if j - i < 2 or (label[i:j] == label[i]).all():
+                    continue
+                if low[i] == high[i]:
+                    for k in range(i, j - 1):
+                        may = np.flatnonzero((label[k + 1 : j] != label[k]) & may_reach(n[k], place[k], n[k + 1 : j], place[k + 1 : j])) + k + 1
+                        left.append(np.full(len(may), k))
+                        right.append(may)
+                else:
+                    others = i + np.flatnonzero(own[i:j] == high[i])
+                    for k in (i + np.flatnonzero(own[i:j] == low[i])).tolist():
+                        may = others[(label[others] != label[k]) & may_reach(n[k], place[k], n[others], place[others])]
+                        left.append(np.full(len(may), k))
+                        right.append(may)
+            if left:
+                yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(np.concatenate(x))) for x in (left, right)], names=["x", "y"])
+
+    return dealt.mapInArrow(run, "x binary, y binary").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes_and_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled rows (doc_id, n, set), classes (set, doc_id, label) and confirmed links (a, b) that join every component."""
     prepared = settle(_prepared(docs, text), "near-prepared")
     rows = prepared.select("doc_id", "n", "set")
-    classes = settle(prepared.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "near-classes")
+    classes = settle_by(prepared.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "near-classes", "set")
     entries = classes.select("set", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("set").alias("lead"), F.max("set").alias("last"), F.count("*").alias("size")).where("lead <> last").drop("last")
+    shared = settle(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
     members = settle(entries.join(shared, "key"), "near-members")
+    discard(shared)
     sig = classes.select("set", "sig")
-    labels = classes.select(F.col("set").alias("node"), F.col("set").alias("label"))
-    sets = links = tried = None
-
-    def best(leads: DataFrame) -> DataFrame:
-        """For each class the lead that leads most of its keys, as pairs near by signature."""
-        pairs = leads.where("set <> lead").groupBy("set", "lead").agg(F.count("*").alias("n")).groupBy("set").agg(F.max(F.struct("n", "lead")).alias("m"))
-        pairs = pairs.select(F.least("set", "m.lead").alias("a"), F.greatest("set", "m.lead").alias("b")).distinct()
-        j = pairs.join(sig.select(F.col("set").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("set").alias("b"), F.col("sig").alias("y")), "b")
-        return _by_signature(j.select("a", "b", "x", "y")).select("a", "b")
-
-    def confirmed(pairs: DataFrame) -> None:
-        """Confirm settled pairs and join their components."""
-        nonlocal sets, links, labels, tried
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("set"), "set", "left_anti")
-        more = settle(_sets_of(docs, text, wanted.join(classes.select("set", "doc_id"), "set")), "near-sets")
-        sets = more if sets is None else sets.unionByName(more)
-        found = _confirm(pairs, sets)
-        links = settle(found if links is None else links.unionByName(found), "near-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        got = components(links, "near-round")
-        labels = settle(classes.select(F.col("set").alias("node")).join(got, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-labels")
-
-    now = settle(best(members.select("key", "set", "lead")), "near-now")
-    for _ in range(HUB_ROUNDS + 1):
-        if not now.limit(1).count():
+    sets = settle_by(_sets_of(docs, text, members.select("set").distinct().join(classes.select("set", "doc_id"), "set")), "near-sets", "set")
+
+    def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Labels of all classes once further links are known."""
+        if labels is None:
+            labels = classes.select("set", F.col("set").alias("label"))
+        ends = links.join(labels.select(F.col("set").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("set").alias("b"), F.col("label").alias("y")), "b")
+        got = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "near-round")
+        out = settle(labels.join(got.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("set", F.coalesce("to", "label").alias("label")), "near-labels")
+        discard(got)
+        return out
+
+    def open_rows(labels: DataFrame) -> DataFrame:
+        """Members, with numbers for labels, of the keys that hold several components."""
+        labelled = members.select("key", "set", "size").join(labels.select("set", F.xxhash64("label").alias("label")), "set")
+        still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        return labelled.join(still, "key")
+
+    # First every class is tried against the one that leads most of its keys.
+    leads = members.join(members.groupBy("key").agg(F.min("set").alias("lead")), "key").where("set <> lead")
+    leads = leads.groupBy("set", "lead").agg(F.count("*").alias("n")).groupBy("set").agg(F.max(F.struct("n", "lead")).alias("m"))
+    leads = leads.select(F.least("set", "m.lead").alias("a"), F.greatest("set", "m.lead").alias("b")).distinct()
+    leads = leads.join(sig.select(F.col("set").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("set").alias("b"), F.col("sig").alias("y")), "b")
+    now = settle(_by_signature(leads.select("a", "b", "x", "y")).select("a", "b"), "near-now")
+    links = settle(_confirm(now, sets), "near-links")
+    labels, tried = joined(None, links), now
+    # Then against the nearest one of another component, as long as that finds links.
+    open_ = settle(open_rows(labels), "near-open")
+    for _ in range(ROUNDS):
+        found = _near(open_.join(sig, "set").select("key", "set", "label", "sig", "size"))
+        found = found.groupBy("set").agg(F.min(F.struct("distance", "partner")).alias("m")).select(F.least("set", "m.partner").alias("a"), F.greatest("set", "m.partner").alias("b")).distinct()
+        now = settle(found.join(tried, ["a", "b"], "left_anti"), "near-now")
+        more = settle(_confirm(now, sets), "near-links")
+        tried = tried.unionByName(now)
+        if not more.limit(1).count():
             break
-        confirmed(now)
-        # Next, of each key that is still open, the class with most links leads.
-        degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("degree"))
-        labelled = members.select("key", "set").join(labels.withColumnRenamed("node", "set"), "set").join(degree, "set", "left")
-        hub = labelled.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "set", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        leads = labelled.join(hub.select("key", F.col("hub.set").alias("lead"), F.col("hub.label").alias("lead_label")), "key").where("label <> lead_label").select("key", "set", "lead")
-        now = settle(best(leads).join(tried, ["a", "b"], "left_anti"), "near-now")
-    # Classes of one key in different components: by signature, block by block.
-    labelled = members.select("key", "set", "size").join(labels.withColumnRenamed("node", "set"), "set")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    crowd = labelled.join(open_keys, "key").join(classes.select("set", "sig", "keys"), "set").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    rest = _block_pairs(crowd)
-    rest = settle(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    if rest.limit(1).count():
-        confirmed(rest)
-    return rows, classes.select("set", "doc_id").join(labels.withColumnRenamed("node", "set"), "set"), links
+        links = links.unionByName(more)
+        old, was_open = labels, open_
+        labels = joined(old, more)
+        open_ = settle(open_rows(labels), "near-open")
+        discard(old, was_open)
+    # What is open still: every pair that the sieve or, in large keys, the prefix filter leaves.
+    rest = _near(open_.where(F.col("size") <= CROWD).join(sig, "set").select("key", "set", "label", "sig", "size"), every=True)
+    rest = rest.select(F.least("set", "partner").alias("a"), F.greatest("set", "partner").alias("b"))
+    rest = rest.unionByName(_prefix_pairs(open_.where(F.col("size") > CROWD).select("set", "label").distinct(), sets))
+    rest = settle(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
+    more = settle(_confirm(rest, sets), "near-links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        old = labels
+        labels = joined(old, more)
+        discard(old)
+    discard(members, open_, rest, sets)
+    return rows, classes.select("set", "doc_id").join(labels, "set"), links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -64,7 +64,7 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("largest", [2048, 1])
+@pytest.mark.parametrize("largest", [repeats.MAX_GROUP, 1])
 def test_repeats_equal_brute_force(spark, tmp_path, monkeypatch, largest):
     monkeypatch.setattr(repeats, "MAX_GROUP", largest)
     r = random.Random(3)
@@ -122,8 +122,10 @@ def near_texts(r):
     return texts
 
 
-def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("crowd", [neardup.CROWD, 3])
+def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, crowd):
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     texts = near_texts(random.Random(6))
     got = {x["doc_id"]: x for x in neardup.op6_minhash_near_dedup(spark, write(spark, tmp_path, texts)).collect()}
     for k, (n, c) in enumerate(brute_components(texts)):
@@ -132,15 +134,46 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch):
 
 def test_index_meets_every_pair_within_its_radius():
     r = np.random.default_rng(1)
-    m = r.integers(0, 1 << 62, (1, neardup.VALUES), dtype=np.uint64).repeat(200, 0)
-    for k in range(1, 200):
-        at = r.choice(neardup.INDEXED, r.integers(0, 2 * (neardup.INDEXED // neardup.CHUNK)), replace=False)
-        m[k, at] = r.integers(0, 1 << 62, len(at), dtype=np.uint64)
-    keys = neardup.index_keys(m)
+    sig = r.integers(0, 1 << 16, (1, neardup.VALUES), dtype=np.uint16).repeat(400, 0)
+    for k in range(1, 400):
+        at = r.choice(neardup.SIGNATURE, r.integers(0, neardup.RADIUS + 1), replace=False)
+        sig[k, at] = r.integers(0, 1 << 16, len(at), dtype=np.uint16)
+    keys = neardup.index_keys(sig)
     first = set(keys[0].tolist())
-    for k in range(1, 200):
-        if (m[k, : neardup.INDEXED] != m[0, : neardup.INDEXED]).sum() < 2 * (neardup.INDEXED // neardup.CHUNK):
-            assert first & set(keys[k].tolist())
+    assert all(first & set(keys[k].tolist()) for k in range(1, 400))
+
+
+def test_similar_sets_meet_under_a_key():
+    r = np.random.default_rng(2)
+    met = total = 0
+    for _ in range(400):
+        n = int(r.integers(20, 400))
+        both = -(-75 * 2 * n // 175)  # two sets of n with just this many in common reach the threshold
+        common, x, y = (r.integers(0, 1 << 62, k, dtype=np.uint64) for k in (both, n - both, n - both))
+        sets = [np.unique(np.concatenate([common, z])) for z in (x, y)]
+        a, b = neardup.index_keys(neardup.signatures(sets))
+        met += bool(set(a.tolist()) & set(b.tolist()))
+        total += 1
+    assert met >= total - 1
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = random.Random(5)
+    known = sorted(r.sample(range(200), 60))
+    frequent = np.array(known, np.uint64), np.array([r.randint(2, 9) for _ in known])
+    met = 0
+    for _ in range(3000):
+        a = set(r.sample(range(200), r.randint(1, 40)))
+        b = set(r.sample(sorted(a), r.randint(len(a) * 2 // 3, len(a)))) | set(r.sample(range(200), r.randint(0, 6)))
+        if not b:
+            continue
+        x, y = (neardup.prefix(np.array(sorted(s), np.uint64), frequent).tolist() for s in (a, b))
+        first = [(i, y.index(v)) for i, v in enumerate(x) if v in y][:1]
+        may = first and neardup.may_reach(*(np.array([v]) for v in (len(a), first[0][0], len(b), first[0][1])))[0]
+        if 100 * len(a & b) >= 75 * len(a | b):
+            met += 1
+            assert may
+    assert met > 300
 
 
 # Operator 2
@@ -223,6 +256,17 @@ def test_benchmark_texts_are_found_in_a_table(spark):
     assert any(whole.values()) and all(whole[k] <= got[k] for k in whole)
 
 
+def test_pieces_of_long_texts_find_what_whole_texts_do():
+    r = random.Random(8)
+    items = [(k, prose(r, r.choice([3, 5, 20, 60]), 10**6).encode()) for k in range(60)]
+    text = " ".join(prose(r, r.randint(20, 400), 10**6) + " " + t.decode() for _, t in items).encode()
+    index = contamination.Items(items)
+    parts = list(contamination.pieces(text, 4000, index.reach))
+    assert len(parts) > 5 and max(map(len, parts)) < 20_000
+    assert set().union(*index.hits(parts)) == index.hits([text])[0] == {k for k, _ in items}
+    assert list(contamination.pieces(b"x" * 50_000, 1000, 10)) == [b"x" * 50_000] and list(contamination.pieces(b"", 10, 10)) == [b""]
+
+
 # The pipeline
 
 
