@@ -31,33 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from glyphlake.llm.common import _M, _M_INV, _VALUES, as_bytes, chunks, mix, powers, settle, signed, table
+from glyphlake.llm.common import _M, _M_INV, _VALUES, CHUNK_BYTES, as_bytes, bitmap, chunks, discard, in_bitmap, mix, powers, settle, signed, sorted_groups, table, tidy
 
 LENGTH, GRAM = 200, 32
 _WINDOW = LENGTH - GRAM + 1
-#: Bits of a bitmap; what is collected and broadcast is bounded by it (16 MB).
-BITMAP_BITS = 27
 #: Stretches that a task remembers to have handed on.
 REMEMBERED = 1 << 20
-#: Different stretches of one anchor up to which one task compares them; the strings of larger groups are dealt out one by one.
-MAX_GROUP = 2048
-
-
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap with the bit of every value of a bigint column set."""
-    slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = values.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+#: Different stretches of one anchor up to which one task compares them (some 100 MB of arrays); the strings of larger groups are dealt out one by one.
+MAX_GROUP = 1 << 14
 
 
 class Stretches:
@@ -139,7 +124,7 @@ def _documents(docs: DataFrame, text: str) -> DataFrame:
                 row += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, _row bigint, _key binary, n_bytes bigint, _whole string, anchor array<bigint>, stretch array<bigint>, first array<int>, last array<int>")
+    return docs.select("doc_id", text).mapInArrow(tidy(run), f"doc_id {kind}, _row bigint, _key binary, n_bytes bigint, _whole string, anchor array<bigint>, stretch array<bigint>, first array<int>, last array<int>")
 
 
 def _undecided(docs: DataFrame, text: str, bits) -> DataFrame:
@@ -162,41 +147,45 @@ def _undecided(docs: DataFrame, text: str, bits) -> DataFrame:
                 bodies = [s.body(k) for k in new]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(s.anchor[new])), pa.array(signed(s.stretch[new])), pa.array([p for _, p in bodies], pa.int32()), pa.array([t for t, _ in bodies], pa.binary())], names=["anchor", "stretch", "place", "body"])
 
-    return docs.select(text).mapInArrow(run, "anchor bigint, stretch bigint, place int, body binary")
+    return docs.select(text).mapInArrow(tidy(run), "anchor bigint, stretch bigint, place int, body binary")
+
+
+_RANGES = "anchor bigint, stretch bigint, first array<int>, last array<int>"
+
+
+def _ranges(anchor: np.ndarray, stretch: np.ndarray, which: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+    """One row for each of the stretches ``which`` (in order) with the runs of its offsets."""
+    begin = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
+    end = np.r_[begin[1:] - 1, len(which) - 1] if len(begin) else begin
+    own, at = np.unique(which[begin], return_index=True)
+    bounds = pa.array(np.r_[at, len(begin)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(offset[x].astype(np.int32))) for x in (begin, end)]
+    return pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(stretch[own]), *lists], names=["anchor", "stretch", "first", "last"])
 
 
 def _shared_in_groups(stretches: DataFrame) -> DataFrame:
-    """(anchor, stretch, first, last): the starts whose strings also occur in another stretch of the anchor; groups lie whole in one task."""
+    """(anchor, stretch, first, last) of single stretches: the runs of starts whose strings also occur in another stretch of the anchor; groups lie whole in one task."""
 
-    def shared(anchor: np.ndarray, stretch: np.ndarray, places: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
+    def shared(anchor: np.ndarray, stretch: np.ndarray, places: np.ndarray, single: np.ndarray, bodies: list[bytes]) -> pa.RecordBatch:
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])]) if len(anchor) else np.zeros(0, np.int64)
         which, offset, name = strings_of([bodies[k] for k in new], places[new])
         _, at, count = np.unique(mix(name ^ mix(anchor[new].view(np.uint64)[which])), return_inverse=True, return_counts=True)
-        twice = count[at] > 1
-        which, offset = which[twice], offset[twice]
-        begin = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
-        end = np.r_[begin[1:] - 1, len(which) - 1] if len(begin) else begin
-        own = new[which[begin]]
-        return pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(stretch[own]), pa.array(offset[begin].astype(np.int32)), pa.array(offset[end].astype(np.int32))], names=["anchor", "stretch", "first", "last"])
+        twice = (count[at] > 1) & single[new][which]
+        return _ranges(anchor[new], stretch[new], which[twice], offset[twice])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            parts = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(3).to_pylist()]
-            if held is not None:
-                parts = [np.concatenate([x, y]) for x, y in zip(held[:3], parts[:3])] + [held[3] + parts[3]]
-            # The last anchor's group may go on in the next batch.
-            cut = int(np.searchsorted(parts[0], parts[0][-1]))
-            if cut:
-                yield shared(*[p[:cut] for p in parts])
-            held = [p[cut:] for p in parts]
-        if held is not None:
-            yield shared(*held)
+        for b, at in sorted_groups(batches, 1):
+            # Some groups at a time, about CHUNK_BYTES of them.
+            ends = np.cumsum(np.r_[0, pc.binary_length(b.column(4)).to_numpy()])[at]
+            i = 0
+            while i < len(at) - 1:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK_BYTES, side="right")) - 1)
+                part = b.slice(int(at[i]), int(at[j] - at[i]))
+                yield shared(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_pylist())
+                i = j
 
     dealt = stretches.repartition("anchor").sortWithinPartitions("anchor", "stretch")
-    return dealt.select("anchor", "stretch", "place", "body").mapInArrow(run, "anchor bigint, stretch bigint, first int, last int")
+    return dealt.select("anchor", "stretch", "place", "single", "body").mapInArrow(tidy(run), _RANGES)
 
 
 def _shared_by_string(stretches: DataFrame) -> DataFrame:
@@ -204,15 +193,22 @@ def _shared_by_string(stretches: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bodies = b.column(3).to_pylist()
+            bodies = b.column(4).to_pylist()
             for i, j in chunks(bodies, 1 << 18):
                 which, offset, name = strings_of(bodies[i:j], b.column(2).to_numpy()[i:j].astype(np.int64))
-                anchor, stretch = b.column(0).to_numpy()[i:j], b.column(1).to_numpy()[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(stretch[which]), pa.array(offset.astype(np.int32)), pa.array(signed(name))], names=["anchor", "stretch", "first", "name"])
+                anchor, stretch, single = b.column(0).to_numpy()[i:j], b.column(1).to_numpy()[i:j], b.column(3).to_numpy(zero_copy_only=False)[i:j]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[which]), pa.array(stretch[which]), pa.array(single[which]), pa.array(offset.astype(np.int32)), pa.array(signed(name))], names=["anchor", "stretch", "single", "first", "name"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = b.column(2)
+            yield _ranges(b.column(0).to_numpy(), b.column(1).to_numpy(), np.repeat(np.arange(b.num_rows), pc.list_value_length(starts).to_numpy()), starts.flatten().to_numpy())
 
-    strings = stretches.select("anchor", "stretch", "place", "body").mapInArrow(run, "anchor bigint, stretch bigint, first int, name bigint")
-    twice = strings.groupBy("anchor", "name").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low <> high").select("anchor", "name")
-    return strings.join(twice, ["anchor", "name"]).select("anchor", "stretch", "first", F.col("first").alias("last")).distinct()
+    strings = stretches.select("anchor", "stretch", "place", "single", "body").mapInArrow(run, "anchor bigint, stretch bigint, single boolean, first int, name bigint")
+    strings = settle(strings, "repeats-strings")
+    twice = settle(strings.groupBy("anchor", "name").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low <> high").select("anchor", "name"), "repeats-twice")
+    starts = strings.where("single").join(twice, ["anchor", "name"]).groupBy("anchor", "stretch").agg(F.sort_array(F.collect_set("first")).alias("first"))
+    return starts.mapInArrow(merge, _RANGES)
 
 
 def repeated_starts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -220,25 +216,29 @@ def repeated_starts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     rows = settle(_documents(docs, text), "repeats-documents")
     runs = rows.select("_row", F.expr("inline(arrays_zip(anchor, stretch, first, last))"))
-    # Round 1: anchors that occur again.
+    # Round 1: anchors that occur again.  They are settled, so that a join can split the rows of a frequent one.
     again = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
-    met = settle(runs.join(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "repeats-met")
+    again = settle(again.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "repeats-again")
+    met = settle(runs.join(again, "anchor"), "repeats-met")
     # Round 2: stretches that occur again.
     mixed = met.where("mixed")
     sizes = settle(mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n")), "repeats-sizes")
     whole = met.where("not mixed").select("_row", "first", "last").unionByName(mixed.join(sizes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("_row", "first", "last"))
-    # Round 3: strings of the stretches that differ although their anchors are equal.
-    single = sizes.where("n = 1").select("anchor", "stretch")
-    groups = sizes.groupBy("anchor").agg(F.count("*").alias("stretches"), F.min("n").alias("least")).where("least = 1")
-    groups = settle(groups.select("anchor", (F.col("stretches") > MAX_GROUP).alias("large")), "repeats-groups")
+    # Round 3: strings of the single stretches, which differ from others although their anchors are equal.
+    groups = sizes.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum("n").alias("copies"), F.min("n").alias("least")).where("least = 1")
+    groups = settle(groups.select("anchor", (F.col("stretches") > MAX_GROUP).alias("large"), ((F.col("copies") > MAX_GROUP) & (F.col("stretches") <= MAX_GROUP)).alias("copied")), "repeats-groups")
     bits = spark.sparkContext.broadcast(bitmap(groups, "anchor"))
-    open_ = settle(_undecided(docs, text, bits).join(groups, "anchor"), "repeats-stretches")
-    hits = _shared_in_groups(open_.where("not large"))
+    known = sizes.join(groups, "anchor").select("anchor", "stretch", (F.col("n") == 1).alias("single"), "large", "copied")
+    open_ = settle(_undecided(docs, text, bits).join(known, ["anchor", "stretch"]), "repeats-stretches")
+    # Each task hands a stretch on about once; of one with many copies one is enough.
+    hits = _shared_in_groups(open_.where("not copied and not large").unionByName(open_.where("copied").dropDuplicates(["anchor", "stretch"])))
     if groups.where("large").limit(1).count():
         hits = hits.unionByName(_shared_by_string(open_.where("large").dropDuplicates(["anchor", "stretch"])))
-    edges = mixed.select("_row", "anchor", "stretch", F.col("first").alias("start")).join(hits.join(single, ["anchor", "stretch"], "left_semi"), ["anchor", "stretch"])
-    edges = edges.select("_row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
-    return rows, settle(whole.unionByName(edges), "repeats-starts")
+    edges = mixed.select("_row", "anchor", "stretch", F.col("first").alias("start")).join(hits, ["anchor", "stretch"])
+    edges = edges.select("_row", "start", F.expr("inline(arrays_zip(first, last))")).select("_row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    out = settle(whole.unionByName(edges), "repeats-starts")
+    discard(again, met, sizes, groups, open_)
+    return rows, out
 
 
 def kept_bytes(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int, int]:
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     # Texts that lose something: one row a text, for copies need it once.
     keyed = docs.select(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("h"), F.col(text).alias("t"))
     keyed = keyed.select(F.unhex("h").alias("_key"), "t").withColumn("k", mark)
-    texts = keyed.mapInArrow(some, "_key binary, t string, k bigint").drop("k").dropDuplicates(["_key"])
+    texts = keyed.mapInArrow(tidy(some), "_key binary, t string, k bigint").drop("k").dropDuplicates(["_key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 spans.append(m)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(out, pa.binary())], names=["_key", "n_removed", "n_spans", "kept_text"])
 
-    done = texts.join(per_text, "_key").mapInArrow(cut, "_key binary, n_removed bigint, n_spans bigint, kept_text binary")
+    done = texts.join(per_text, "_key").mapInArrow(tidy(cut), "_key binary, n_removed bigint, n_spans bigint, kept_text binary")
     return rows.select("doc_id", "_key", "n_bytes", "_whole").join(done, "_key", "left")
 
 
