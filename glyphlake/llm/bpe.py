@@ -8,7 +8,8 @@ logarithmic time.  Ids are packed as little-endian unsigned 32-bit integers.
 
 Defined cases: a null or empty text has no tokens; repeated rows give repeated
 results; any other column passes through; an empty table gives an empty one.
-Memory: one Arrow batch, plus at most ``CACHE_PIECES`` cached pieces a worker.
+Memory: one Arrow batch, plus at most about ``CACHE_PIECES`` cached pieces (some
+100 MB) a worker, which the pipeline's stage drops at the end of each task.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import as_bytes, chunks, table
+from glyphlake.llm.common import as_bytes, chunks, table, tidy
 
 #: Encoded pieces that a worker keeps; the cache starts anew when it is full.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 250_000
 #: Pieces up to this size advance together as rows of arrays; longer ones one by one.
 LOCKSTEP_BYTES = 64
 #: Largest vocabulary file that is sent to the executors.
@@ -322,8 +323,11 @@ def _codec(digest: str, vocabulary, pattern: str) -> Codec:
     return _codecs[digest, pattern]
 
 
-def _apply(df: DataFrame, path: str, pattern: str, source: str, makes: dict[str, str]) -> DataFrame:
-    """Add binary columns; makes: name -> 'ids' (of the source) or 'bytes' (of the ids, made here or in the source)."""
+def _apply(df: DataFrame, path: str, pattern: str, source: str, makes: dict[str, str], keep: bool = True) -> DataFrame:
+    """Add binary columns; makes: name -> 'ids' (of the source) or 'bytes' (of the ids, made here or in the source).
+
+    keep: whether a worker keeps what it has met for its next task.
+    """
     data = Path(path).read_bytes()
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to be sent to executors")
@@ -334,18 +338,23 @@ def _apply(df: DataFrame, path: str, pattern: str, source: str, makes: dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(digest, vocabulary, pattern)
         gc.disable()  # millions of strings and no cycles
-        for b in batches:
-            ids = as_bytes(b.column(b.schema.get_field_index(source)))
-            made = {}
-            for name, what in makes.items():
-                if what == "ids":
-                    ids = [x for i, j in chunks(ids) for x in codec.encode(ids[i:j])]
-                    made[name] = ids
-                else:
-                    made[name] = [codec.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(x, pa.binary()) for x in made.values()], names=[*rest, *made])
-
-    return df.mapInArrow(run, schema)
+        try:
+            for b in batches:
+                ids = as_bytes(b.column(b.schema.get_field_index(source)))
+                made = {}
+                for name, what in makes.items():
+                    if what == "ids":
+                        ids = [x for i, j in chunks(ids) for x in codec.encode(ids[i:j])]
+                        made[name] = ids
+                    else:
+                        made[name] = [codec.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(x, pa.binary()) for x in made.values()], names=[*rest, *made])
+        finally:
+            gc.enable()
+            if not keep:
+                _codecs.clear()
+
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -358,9 +367,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str =
     return _apply(df, path, pattern, ids, {into: "bytes"})
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: bool = True) -> DataFrame:
     """encode() and decode() of what it made, in one pass over the rows."""
-    return _apply(df, path, pattern, text, {ids: "ids", decoded: "bytes"})
+    return _apply(df, path, pattern, text, {ids: "ids", decoded: "bytes"}, keep)
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -385,5 +394,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the digest of what they decode to."""
     import public_tokenizers as P
 
-    made = round_trip(docs.select("doc_id", "text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ids="_ids", decoded="_decoded")
+    made = round_trip(docs.select("doc_id", "text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ids="_ids", decoded="_decoded", keep=False)
     return made.select("doc_id", F.expr("cast(octet_length(_ids) div 4 as bigint)").alias("n_tokens"), F.col("_ids").alias("ids"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"))

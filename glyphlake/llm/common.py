@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text handled at once by the numpy kernels (a longer text is one chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -23,8 +23,28 @@ CHUNK_BYTES = 1 << 20
 BITMAP_BITS = 27
 
 
+#: Bounds of an Arrow batch, where the session leaves Spark's own: texts may be long, and a task holds some batches at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_defaults: dict[str, str] = {}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for key, value in BATCH.items():
+        now = spark.conf.get(key)
+        if now == _defaults.setdefault(key, now) and key not in dict(spark.sparkContext.getConf().getAll()):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt out over them."""
+    bound_batches(spark)
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def alike(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, so that small inputs run and cost as large ones do."""
+    return df.hint("merge")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +106,19 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def without(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """df without the rows whose ``column`` has a value of ``gone``; a bitmap of fixed size spares the others the exact join."""
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64(column).alias("k")), "k"))
+
+    @F.arrow_udf(T.BooleanType())
+    def may(k: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, k.to_numpy()))
+
+    maybe = may(F.xxhash64(column))
+    some = df.where(maybe).join(alike(gone.select(column)), column, "left_anti")
+    return df.where(~maybe).unionByName(some.select(*df.columns))
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Rows sorted by their first ``keys`` bigint columns, as batches of whole groups and the groups' bounds."""
 
@@ -244,5 +277,6 @@ def signed(h: np.ndarray) -> np.ndarray:
 def shield(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")):
     """docs with every column that isn't used under a name that clashes with nothing, and a function that gives the names back."""
     safe = {c: c if c in used else f"__kept_{i}" for i, c in enumerate(docs.columns)}
+    bound_batches(docs.sparkSession)
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in safe.items()])
     return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in safe.items()])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import as_bytes, settle, shield, table
+from glyphlake.llm.common import as_bytes, settle, shield, table, tidy
 
 #: Least number of lines of a repeated run.
 MIN_LINES = 2
@@ -54,7 +54,7 @@ def _with_lines(df: DataFrame, text: str, min_words: int | None = None) -> DataF
             long = pa.ListArray.from_arrays(pa.array(long_ends, pa.int32()), pa.array(long_at, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lines, long], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def later_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -114,7 +114,7 @@ def line_dedup(df: DataFrame, text: str = "text", min_lines: int = MIN_LINES, mi
                 runs.append(count)
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in columns], pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in (n_lines, removed, runs)]], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op2_line_dedup(spark, sf_dir):

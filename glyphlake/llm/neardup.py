@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glyphlake.llm.common import Words, as_bytes, bitmap, chunks, discard, in_bitmap, mix, settle, settle_by, shield, signed, sorted_groups, table, tidy, word_sequence_hash
+from glyphlake.llm.common import Words, alike, as_bytes, bitmap, chunks, discard, in_bitmap, mix, settle, settle_by, shield, signed, sorted_groups, table, tidy, without, word_sequence_hash
 from glyphlake.llm.graph import components
 
 SHINGLE, PER_CENT = 5, 75
@@ -56,6 +56,7 @@ FREQUENT, TRACKED = 100_000, 1 << 18
 _RNG = np.random.default_rng(6)
 _MULTIPLY = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64)
+_ALIKE_IN_SIZE = f"100 * least(m, n) >= {PER_CENT} * greatest(m, n)"
 _SUM_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -146,7 +147,7 @@ def _sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     found = docs.where("doc_id is not null").select("doc_id", text, F.xxhash64("doc_id").alias("k")).mapInArrow(tidy(run), f"doc_id {kind}, set binary, items binary")
     # Joined by set alone, for that is how the sets are kept.
     same = ~((F.col("doc_id") < F.col("least")) | (F.col("doc_id") > F.col("least")))
-    return found.join(wanted.select("set", F.col("doc_id").alias("least")), "set").where(same).select("set", "items").dropDuplicates(["set"])
+    return found.join(alike(wanted.select("set", F.col("doc_id").alias("least"))), "set").where(same).select("set", "items").dropDuplicates(["set"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
     left, right = sets.select(F.col("set").alias("a"), F.col("items").alias("x")), sets.select(F.col("set").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(alike(left), "a").join(alike(right), "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _by_signature(pairs: DataFrame) -> DataFrame:
@@ -192,12 +193,13 @@ def _in_blocks(rows: DataFrame, group: str, size: str, columns: list[str]) -> Da
 
 
 def _near(rows: DataFrame, every: bool = False) -> DataFrame:
-    """(set, partner, distance) of classes of rows (key, set, label, sig, size) that share a key but no label: the nearest of each in each block, or every one that the sieve leaves."""
+    """(set, partner, distance) of classes of rows (key, set, label, sig, n, size) that share a key but no label and are alike in size: the nearest of each in each block, or every one that the sieve leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in sorted_groups(batches, 3):
             low, high, own, label = (b.column(k).to_numpy() for k in (1, 2, 3, 5))
             sig = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint16).reshape(-1, VALUES)
+            n = b.column(7).to_numpy()
             who, partner, away = [], [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 if j - i < 2 or (label[i:j] == label[i]).all():
@@ -210,7 +212,8 @@ def _near(rows: DataFrame, every: bool = False) -> DataFrame:
                         continue
                 far = np.empty((len(left), len(right)), np.int16)
                 for k, row in enumerate(left):
-                    far[k] = np.where(label[right] == label[row], VALUES + 1, (sig[right] != sig[row]).sum(1))
+                    never = (label[right] == label[row]) | (100 * np.minimum(n[right], n[row]) < PER_CENT * np.maximum(n[right], n[row]))
+                    far[k] = np.where(never, VALUES + 1, (sig[right] != sig[row]).sum(1))
                 if every:
                     x, y = np.nonzero(far <= MAX_DISTANCE)
                     x, y = (x[x < y], y[x < y]) if left is right else (x, y)
@@ -229,7 +232,7 @@ def _near(rows: DataFrame, every: bool = False) -> DataFrame:
             if who:
                 yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(np.concatenate(x))) for x in (who, partner)] + [pa.array(np.concatenate(away).astype(np.int32))], names=["set", "partner", "distance"])
 
-    return _in_blocks(rows, "key", "size", ["set", "label", "sig"]).mapInArrow(tidy(run), "set binary, partner binary, distance int")
+    return _in_blocks(rows, "key", "size", ["set", "label", "sig", "n"]).mapInArrow(tidy(run), "set binary, partner binary, distance int")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -309,13 +312,13 @@ def classes_and_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, D
     """Settled rows (doc_id, n, set), classes (set, doc_id, label) and confirmed links (a, b) that join every component."""
     prepared = settle(_prepared(docs, text), "near-prepared")
     rows = prepared.select("doc_id", "n", "set")
-    classes = settle_by(prepared.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "near-classes", "set")
+    classes = settle_by(prepared.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "near-classes", "set")
     entries = classes.select("set", F.explode("keys").alias("key"))
     shared = settle(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
-    members = settle(entries.join(shared, "key"), "near-members")
+    members = settle(entries.join(alike(shared), "key"), "near-members")
     discard(shared)
-    sig = classes.select("set", "sig")
-    sets = settle_by(_sets_of(docs, text, members.select("set").distinct().join(classes.select("set", "doc_id"), "set")), "near-sets", "set")
+    sig = classes.select("set", "sig", "n")
+    sets = settle_by(_sets_of(docs, text, members.select("set").distinct().join(alike(classes.select("set", "doc_id")), "set")), "near-sets", "set")
 
     def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """Labels of all classes once further links are known."""
@@ -337,14 +340,14 @@ def classes_and_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, D
     leads = members.join(members.groupBy("key").agg(F.min("set").alias("lead")), "key").where("set <> lead")
     leads = leads.groupBy("set", "lead").agg(F.count("*").alias("n")).groupBy("set").agg(F.max(F.struct("n", "lead")).alias("m"))
     leads = leads.select(F.least("set", "m.lead").alias("a"), F.greatest("set", "m.lead").alias("b")).distinct()
-    leads = leads.join(sig.select(F.col("set").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("set").alias("b"), F.col("sig").alias("y")), "b")
+    leads = leads.join(alike(sig.select(F.col("set").alias("a"), F.col("sig").alias("x"), F.col("n").alias("m"))), "a").join(alike(sig.select(F.col("set").alias("b"), F.col("sig").alias("y"), "n")), "b").where(_ALIKE_IN_SIZE)
     now = settle(_by_signature(leads.select("a", "b", "x", "y")).select("a", "b"), "near-now")
     links = settle(_confirm(now, sets), "near-links")
     labels, tried = joined(None, links), now
     # Then against the nearest one of another component, as long as that finds links.
     open_ = settle(open_rows(labels), "near-open")
     for _ in range(ROUNDS):
-        found = _near(open_.join(sig, "set").select("key", "set", "label", "sig", "size"))
+        found = _near(open_.join(alike(sig), "set").select("key", "set", "label", "sig", "n", "size"))
         found = found.groupBy("set").agg(F.min(F.struct("distance", "partner")).alias("m")).select(F.least("set", "m.partner").alias("a"), F.greatest("set", "m.partner").alias("b")).distinct()
         now = settle(found.join(tried, ["a", "b"], "left_anti"), "near-now")
         more = settle(_confirm(now, sets), "near-links")
@@ -357,7 +360,7 @@ def classes_and_links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, D
         open_ = settle(open_rows(labels), "near-open")
         discard(old, was_open)
     # What is open still: every pair that the sieve or, in large keys, the prefix filter leaves.
-    rest = _near(open_.where(F.col("size") <= CROWD).join(sig, "set").select("key", "set", "label", "sig", "size"), every=True)
+    rest = _near(open_.where(F.col("size") <= CROWD).join(alike(sig), "set").select("key", "set", "label", "sig", "n", "size"), every=True)
     rest = rest.select(F.least("set", "partner").alias("a"), F.greatest("set", "partner").alias("b"))
     rest = rest.unionByName(_prefix_pairs(open_.where(F.col("size") > CROWD).select("set", "label").distinct(), sets))
     rest = settle(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
@@ -391,7 +394,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe, back = shield(docs)
     found = settle(near_duplicates(safe.select("doc_id", "text")), "near-found")
     copies = found.where("not kept").select("doc_id").distinct()
-    kept = safe.join(copies, "doc_id", "left_anti").select(*safe.columns)
+    kept = without(safe, copies, "doc_id")
     again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.limit(1).count():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id").dropDuplicates(["doc_id", "text"]).select(*safe.columns))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import Words, as_bytes, chunks, settle, shield, table
+from glyphlake.llm.common import Words, as_bytes, chunks, settle, shield, table, tidy
 
 #: Fixed rules of the contract: at least so many words; at most so many per cent of repeated words.
 MIN_WORDS, MAX_REPEAT_PER_CENT, REPEAT_WINDOW = 20, 30, 8
@@ -103,7 +103,7 @@ def counts(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
             made = [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + made, names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 def _share(part: str, whole: str):
