@@ -1,12 +1,12 @@
 """Language-model scoring by logistic context mixing over bits (operator 10).
 
 Every byte of a text, and one zero byte that ends it, is predicted bit by bit.
-Predictors of orders 1 to 5 (the bytes before, and the bits of this byte so far)
+Predictors of orders 1 to 6 (the bytes before, and the bits of this byte so far)
 hold counts of zeros and ones; a gated set of weights mixes their log odds, and a
 table indexed by the previous byte and the mixed odds refines the result.  Counts
 are exact and come from the whole training text: each task counts its windows of
-six bytes and Spark adds them up.  Windows are dealt into shards by the three
-bytes before the last, so that all counts of orders 3 to 5 meet in one task; those
+seven bytes and Spark adds them up.  Windows are dealt into shards by the three
+bytes before the last, so that all counts of orders 3 to 6 meet in one task; those
 of orders 1 and 2 (at most 2^24 strings of three bytes) go to every task.
 Weights and table are learned online in every shard, one mini-batch after another,
 on all its training windows by their counts, less the window's own occurrence, and
@@ -21,9 +21,13 @@ The base score is that of the contract: add-one unigrams.  Counts of the
 ``HEAD_TOKENS`` most frequent tokens go to every task (bounded); the others meet
 the texts in a join by token.
 
-Defined cases: a null or empty text has the end token alone; repeated rows count
+Defined cases: a null or empty text has the end token alone; a text may be of any
+length (its windows take 8 bytes a byte, its rare ones 12 each in its row); windows
+and tokens of equal counts are sent to every task all or none; repeated rows count
 and return once each; without training rows every count is zero; a null doc_id is
-held out; an empty table gives an empty one.  Tokens are told apart by 64-bit hashes.
+held out; lm_scores() returns the columns asked for beside its own, which start
+with an underscore; an empty table gives an empty one.  Tokens are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,8 +49,8 @@ HEAD_WINDOWS = 1 << 23
 SHARD = 1 << 18
 #: Orders whose counts go to every task.
 LOW_ORDERS = 2
-#: Log2 of the slots of orders 1 to 5 in a small model held in one table (Model).
-SLOT_BITS = (16, 19, 21, 21, 22)
+#: Log2 of the slots of orders 1 to 6 in a small model held in one table (Model).
+SLOT_BITS = (16, 19, 21, 21, 22, 22)
 #: Bytes of a window: the context of the highest order and the byte itself.
 WIDTH = len(SLOT_BITS) + 1
 #: Rows of one online step.
@@ -338,6 +342,21 @@ def fit(grams: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
     return settle(dealt.groupBy("shard").applyInArrow(scored, "key bigint, n bigint, p double"), "lm-windows"), (weights, table_)
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows (.., n) with the greatest n: ``most`` of them at most, all of an equal n or none.
+
+    The least n comes from a histogram of a few thousand bins, so that nothing is
+    sorted and no task gathers the rows.
+    """
+    bin_ = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(4096 + 256 * F.log2(F.col("n") / 4096))).cast("bigint")
+    room, least = most, None
+    for r in sorted(counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if r["rows"] > room:
+            break
+        room, least = room - r["rows"], r["bin"]
+    return counts.where(F.lit(False)) if least is None else counts.where(bin_ >= least)
+
+
 def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: str = "held_out") -> DataFrame:
     """``keep`` of docs with _n_tokens, _n_known, _train_tokens, _base, _score and _n_bytes."""
     spark = docs.sparkSession
@@ -347,11 +366,10 @@ def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: st
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = n + texts, v + (texts > 0)
     windows, _ = fit(counts.where(F.col("kind") == _GRAM).select("key", "n"))
-    most = windows if windows.count() <= HEAD_WINDOWS else windows.orderBy(F.desc("n"), "key").limit(HEAD_WINDOWS)
-    near = most.select("key", F.col("p").cast("float")).toArrow()
+    near = most_frequent(windows, HEAD_WINDOWS).select("key", F.col("p").cast("float")).toArrow()
     near_key = near.column("key").to_numpy()
     by_key = np.argsort(near_key)
-    head = tokens.orderBy(F.desc("n"), "key").limit(HEAD_TOKENS).select("key", "n").toArrow().sort_by("key")
+    head = most_frequent(tokens, HEAD_TOKENS).select("key", "n").toArrow().sort_by("key")
     sent = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("n").to_numpy(), near_key[by_key], near.column("p").to_numpy()[by_key]))
     del near, near_key, by_key
     fixed = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
