@@ -7,13 +7,17 @@ A text's features are the weights found, plain and normalised by length; a
 logistic curve turns them into a score.
 
 The lexicon, the exceptions and the curve are learned from labelled training rows:
-a sample of at most ``MAX_TRAINING_ROWS`` (the least hashes of doc_id), of which
-two thirds give the lexicon and the rest the curve.  Labels, language, source
-and doc_id are never inputs of a score.
-
-Defined cases: a null or empty text scores like a text without matches; repeated
-rows return once each; without any labelled row the lexicon is empty and every
-score is PRIOR; an empty table gives an empty one.
+a sample of at most ``MAX_TRAINING_ROWS`` (the least hashes of doc_id).  The curve is
+fitted on a third of it with a lexicon of the rest, the lexicon then learned from
+all of it.  Labels, language, source and doc_id are never inputs of a score.
+
+Defined cases: a null or empty text scores like a text without matches; a text may
+be of any length (it is folded and matched in one pass, in a few times its size);
+entries of equal weight at one place count once; repeated rows return once each; a
+repeated doc_id counts once in training, toxic if any of its labels says so;
+without labelled rows of both kinds the lexicon is empty and every score is PRIOR;
+other columns pass through score() whatever their names, but for the new one; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -112,8 +116,13 @@ def design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), x[:, 1], np.log1p(x[:, 2]), np.log1p(x[:, 3]), x[:, 0] > 0])
 
 
+def _loss(d: np.ndarray, y: np.ndarray, b: np.ndarray, penalty: np.ndarray) -> float:
+    x = d @ b
+    return float((np.logaddexp(0, x) - y * x).sum() + 0.5 * (penalty * b * b).sum())
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+    """Ridge logistic regression by Newton steps, each halved until the penalised loss falls."""
     d = design(x)
     b = np.zeros(d.shape[1])
     b[0] = np.log(PRIOR / (1 - PRIOR))
@@ -121,12 +130,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         return b
     penalty = np.full(len(b), ridge)
     penalty[0] = 1e-3
-    for _ in range(30):
+    now = _loss(d, y, b, penalty)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(d @ b, -30, 30)))
         step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + np.diag(penalty), d.T @ (y - p) - penalty * b)
-        b += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-9 and not (new := _loss(d, y, b + size * step, penalty)) < now:
+            size /= 2
+        if size <= 1e-9 or np.abs(size * step).max() < 1e-8:
             break
+        b, now = b + size * step, new
     return b
 
 
@@ -135,55 +148,72 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (held != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING_ROWS)  # of bounded size, so broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # One row a doc_id, of the least text, so that repeated ones keep the bound.
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     return settle(rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("first")), "toxic-sample")
 
 
+_COUNTERS = ("toxic_first", "clean_first", "toxic_all", "clean_all")
+
+
 def _counts(sample: DataFrame, entries) -> DataFrame:
-    """(entry, toxic, clean): texts of each class with the entry; '' counts all. entries: folded text -> set."""
+    """(entry, and COUNTERS: texts of each class with it, among the first part and among all); '' counts all. entries: folded text -> set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = {0: Counter(), 1: Counter()}
-            for t, y in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
-                c = counts[y]
+            counts = {(part, y): Counter() for part in (False, True) for y in (0, 1)}
+            for t, y, first in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                c = counts[first, y]
                 c[""] += 1
                 c.update(entries(fold(t)))
-            keys = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["entry", "toxic", "clean"])
+            keys = list(set().union(*counts.values()))
+            of = [[counts[True, y][k] for k in keys] for y in (1, 0)]
+            of += [[n + counts[False, y][k] for k, n in zip(keys, x)] for y, x in zip((1, 0), of)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [pa.array(x, pa.int64()) for x in of], names=["entry", *_COUNTERS])
 
-    return sample.select("text", "toxic").mapInArrow(run, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    made = sample.select("text", "toxic", "first").mapInArrow(run, "entry string, " + ", ".join(f"{c} bigint" for c in _COUNTERS))
+    return made.groupBy("entry").agg(*[F.sum(c).alias(c) for c in _COUNTERS])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str], np.ndarray]:
-    """Weights, exception phrases and curve."""
+    """Weights, exception phrases and curve.
+
+    The curve is fitted on the second part of the sample with a lexicon of the first;
+    the lexicon that is returned is learned in the same way from the whole sample.
+    """
     sample = _sample(docs, labels)
-    first, second = sample.where("first"), sample.where("not first")
-    found = settle(_counts(first, entries_of), "toxic-entries")
+    found = settle(_counts(sample, entries_of), "toxic-entries")
     totals = found.where("entry = ''").collect()
-    if not totals or not totals[0]["toxic"] or not totals[0]["clean"]:
+    if not totals or not totals[0]["toxic_first"] or not totals[0]["clean_first"]:
         return {}, set(), fit_curve(np.zeros((0, 4)), np.zeros(0))
-    t, c = totals[0]["toxic"], totals[0]["clean"]
-    rate = (F.col("toxic") + F.col("clean") + 1) / F.lit(t + c + 2)
-    scored = found.where((F.col("entry") != "") & (F.col("toxic") >= MIN_TOXIC)).select(
-        "entry",
-        F.log(((F.col("toxic") + 0.3) / (t + 0.6)) / ((F.col("clean") + 0.3) / (c + 0.6))).alias("w"),
-        ((F.col("toxic") / t - F.col("clean") / c) / F.sqrt(rate * (1 - rate) * (1 / t + 1 / c))).alias("z"),
-    )
-    rows = scored.where((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_WEIGHT)).orderBy(F.desc("z"), "entry").limit(MAX_LEXICON).collect()
-    weights = {r["entry"]: float(r["w"]) for r in rows}
-    words = sorted({e.strip() for e in weights}, key=len)
+    size = totals[0].asDict()
+
+    def weighted(part: str) -> dict[str, float]:
+        t, c, toxic, clean = size[f"toxic_{part}"], size[f"clean_{part}"], F.col(f"toxic_{part}"), F.col(f"clean_{part}")
+        rate = (toxic + clean + 1) / F.lit(t + c + 2)
+        scored = found.where((F.col("entry") != "") & (toxic >= MIN_TOXIC)).select(
+            "entry",
+            F.log(((toxic + 0.3) / (t + 0.6)) / ((clean + 0.3) / (c + 0.6))).alias("w"),
+            ((toxic / t - clean / c) / F.sqrt(rate * (1 - rate) * (1 / t + 1 / c))).alias("z"),
+        )
+        rows = scored.where((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_WEIGHT)).orderBy(F.desc("z"), "entry").limit(MAX_LEXICON).collect()
+        return {r["entry"]: float(r["w"]) for r in rows}
+
+    weights = {part: weighted(part) for part in ("first", "all")}
+    starts = tuple(sorted({e.strip() for w in weights.values() for e in w}, key=len))
 
     def phrases(folded: str) -> set[str]:
         w = folded.split()
         return {f" {w[i]} {w[i + 1]} " for i in range(len(w) - 1) if w[i].startswith(starts) or w[i + 1].startswith(starts)}
 
-    starts = tuple(words)
-    exceptions: set[str] = set()
-    if weights:
-        benign = _counts(first, phrases).where((F.col("entry") != "") & (F.col("clean") >= 3) & (F.col("clean") / c > 3 * F.col("toxic") / t))
-        exceptions = {r["entry"] for r in benign.orderBy(F.desc("clean"), "entry").limit(MAX_EXCEPTIONS).collect()}
-    lexicon = (weights, exceptions)
+    exceptions: dict[str, set[str]] = {part: set() for part in weights}
+    if starts:
+        met = settle(_counts(sample, phrases), "toxic-phrases")
+        for part in weights:
+            clean = F.col(f"clean_{part}")
+            benign = met.where((F.col("entry") != "") & (clean >= 3) & (clean / size[f"clean_{part}"] > 3 * F.col(f"toxic_{part}") / size[f"toxic_{part}"]))
+            exceptions[part] = {r["entry"] for r in benign.orderBy(F.desc(f"clean_{part}"), "entry").limit(MAX_EXCEPTIONS).collect()}
+    lexicon = (weights["first"], exceptions["first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*lexicon)
@@ -191,9 +221,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], set[str
             x = np.array([lex.features(fold(t)) for t in as_bytes(b.column(0))], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)] + [b.column(1)], names=["a", "b", "c", "d", "toxic"])
 
-    got = second.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "a double, b double, c double, d double, toxic int").toPandas()
+    got = sample.where("not first").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "a double, b double, c double, d double, toxic int").toPandas()
     got = got.sort_values(list(got.columns))  # the order of the rows must not matter
-    return weights, exceptions, fit_curve(got[["a", "b", "c", "d"]].to_numpy(), got["toxic"].to_numpy(float))
+    return weights["all"], exceptions["all"], fit_curve(got[["a", "b", "c", "d"]].to_numpy(), got["toxic"].to_numpy(float))
 
 
 def score(df: DataFrame, weights: dict[str, float], exceptions: set[str], curve: np.ndarray, text: str = "text", into: str = "_score") -> DataFrame:
