@@ -12,8 +12,12 @@ names and lengths vary and whose main text is known.
 
 Defined cases: a null or empty page has the empty text; unclosed and stray tags
 are mended as browsers do for paragraphs, list items, cells and options; scripts,
-styles and comments are no text; repeated rows return once each; an empty table
-gives an empty one.
+styles, templates, frames, form values and comments are no text, that of formulas,
+drawings and fallbacks (math, svg, noscript, object) is; a page of any length or
+depth is read in one pass that is linear in it; nodes of equal log odds are treated
+alike and a sum of zero keeps nothing; repeated rows return once each; extract()
+passes other columns through whatever their names, but for the new one; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from glyphlake.llm.boosting import BoostedTrees, fit
-from glyphlake.llm.common import as_bytes, chunks, table
+from glyphlake.llm.common import as_bytes, chunks, table, tidy
 
 #: Generated pages that the trees are fitted on.
 TRAINING_PAGES = 700
 
 # Tags by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title head".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style template iframe textarea select title".split())
+_INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow ms msqrt mstyle msub msup mtext noscript object q rp rt ruby s samp small span strike strong sub sup svg time tt u var video wbr".split())
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _CLOSES_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 _SCOPE = frozenset("article aside body div footer form header html main nav section table td ul ol".split())
@@ -47,12 +52,54 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words of class, id and role that speak against and for main text.
 _AGAINST = frozenset("nav navbar navigation menu header masthead banner footer foot contentinfo sidebar side aside complementary rail widget ad ads advert advertisement adslot sponsor sponsored promo promotion cookie cookies consent notice alert gdpr popup modal overlay comment comments reply replies discussion disqus respond share sharing social related recommended trending newsletter subscribe signup login search form breadcrumb breadcrumbs pagination pager toolbar tags meta byline legal copyright skip hidden".split())
 _FOR = frozenset("article content main post entry story text body page copy".split())
-_TAG_RE = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*(?:>|$)""", re.S)
+_NAME_RE = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP_RE = re.compile(r"""=\s*["']|>""")
 _ATTR_RE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD_RE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _COMMON = ("class", "id", "role", "hidden", "aria-hidden", "style")
 
 
+#: Elements that may be open at once; what is nested deeper counts as a child of the last.
+MAX_DEPTH = 512
+
+
+def tags(source: str) -> Iterator[tuple[int, int]]:
+    """Spans of tags, comments and declarations, in one pass that never goes back; what runs off the end ends there.
+
+    A quote protects ``>`` only where a value begins, and only if it is closed.
+    """
+    end, at, unclosed = len(source), 0, set()
+    while (begin := source.find("<", at)) >= 0:
+        if source.startswith("<!--", begin):
+            stop = source.find("-->", begin + 4)
+            at = end if stop < 0 else stop + 3
+        elif source.startswith("<![CDATA[", begin):
+            stop = source.find("]]>", begin + 9)
+            at = end if stop < 0 else stop + 3
+        elif source.startswith(("<!", "<?"), begin):
+            stop = source.find(">", begin)
+            at = end if stop < 0 else stop + 1
+        elif m := _NAME_RE.match(source, begin):
+            at = m.end()
+            while stop := _STOP_RE.search(source, at):
+                at = stop.end()
+                quote = source[at - 1]
+                if quote == ">":
+                    break
+                if quote not in unclosed:
+                    closed = source.find(quote, at)
+                    if closed < 0:
+                        unclosed.add(quote)  # nor is there one further on
+                    else:
+                        at = closed + 1
+            else:
+                at = end
+        else:
+            at = begin + 1
+            continue
+        yield begin, at
+
+
 class Page:
     """Nodes in page order: parent, tag, depth, attribute words, own text; text blocks are nodes with the tag #text."""
 
@@ -62,33 +109,35 @@ class Page:
         self.words: list[tuple[int, int, int]] = [(0, 0, 0)]
         self.text: list[str] = [""]
         self.linked: list[int] = [0]
-        self.size: list[int] = [0]
         self._open: list[int] = [0]
-        self._inline: list[str] = []
+        #: Open elements beyond MAX_DEPTH, and open inline elements, by name.
+        self._deeper: Counter[str] = Counter()
+        self._inline: Counter[str] = Counter()
         self._run: list[str] = []
         self._run_linked = 0
         at, end = 0, len(source)
-        for m in _TAG_RE.finditer(source):
-            if m.start() < at:
+        for begin, stop in tags(source):
+            if begin < at:  # inside an element that is left out
                 continue
-            if m.start() > at:
-                self._chars(source[at : m.start()])
-            at = m.end()
-            raw = m.group()
+            if begin > at:
+                self._chars(source[at:begin])
+            at = stop
+            raw = source[begin:stop]
             if raw[1] in "!?":
                 if raw.startswith("<![CDATA["):
                     self._chars(raw[9:].removesuffix("]]>"))
                 continue
-            close = raw[1] == "/"
-            name = re.match(r"</?([a-zA-Z][^\s/>]*)", raw).group(1).lower()
-            if close:
+            name = _NAME_RE.match(raw).group(1).lower()
+            if raw[1] == "/":
                 self._end(name)
-                continue
-            if name in _RAW and name != "head" and not raw.endswith("/>"):
-                found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = found.end() if found else end
-                continue
-            self._begin(name, raw)
+            elif name in _RAW and not raw.endswith("/>"):
+                found = re.compile(rf"</{name}(?![^\s/>])", re.I).search(source, at)
+                stop = source.find(">", found.end()) if found else -1
+                at = end if stop < 0 else stop + 1
+                if at == end:
+                    break
+            else:
+                self._begin(name, raw)
         if at < end:
             self._chars(source[at:])
         self._flush()
@@ -96,7 +145,7 @@ class Page:
     def _chars(self, s: str) -> None:
         s = entities.unescape(s)
         self._run.append(s)
-        if "a" in self._inline:
+        if self._inline["a"]:
             self._run_linked += len(s.strip())
 
     def _flush(self) -> None:
@@ -120,14 +169,14 @@ class Page:
             if name == "br":
                 self._run.append(" ")
             elif name not in _VOID:
-                self._inline.append(name)
+                self._inline[name] += 1
             return
         self._flush()
         self._inline.clear()
         if name in _VOID:
             return
-        opened = [self.tag[i] for i in self._open]
-        if opened[-1] in _CLOSED_BY_BLOCK or opened[-1] in _HEADINGS and name in _HEADINGS:
+        last = self.tag[self._open[-1]]
+        if last in _CLOSED_BY_BLOCK or last in _HEADINGS and name in _HEADINGS:
             self._open.pop()
         if name in _CLOSES_SELF:
             for k in range(len(self._open) - 1, 0, -1):
@@ -147,16 +196,23 @@ class Page:
         style = attributes.get("style", "").replace(" ", "").lower()
         hidden = int("hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style)
         self._add(name, self._open[-1], (against, favour, hidden))
-        if not raw.endswith("/>"):
+        if raw.endswith("/>"):
+            return
+        if len(self._open) < MAX_DEPTH:
             self._open.append(len(self.tag) - 1)
+        else:
+            self._deeper[name] += 1
 
     def _end(self, name: str) -> None:
         if name in _INLINE:
-            if name in self._inline:
-                del self._inline[len(self._inline) - 1 - self._inline[::-1].index(name)]
+            if self._inline[name]:
+                self._inline[name] -= 1
             return
         self._flush()
         self._inline.clear()
+        if self._deeper[name]:
+            self._deeper[name] -= 1
+            return
         for k in range(len(self._open) - 1, 0, -1):
             t = self.tag[self._open[k]]
             if t == name:
@@ -381,7 +437,7 @@ def extract(df: DataFrame, html: str = "html", into: str = "_text") -> DataFrame
             texts = [t for i, j in chunks(pages, 1 << 20) for t in extract_texts([p.decode("utf-8", "replace") for p in pages[i:j]], trees)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def op7_html_extraction(spark, sf_dir):
