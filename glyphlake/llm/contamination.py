@@ -15,13 +15,17 @@ shingle and match exact word sequences.
 The benchmark is a stated query set against all rows; up to ``MAX_ITEMS`` items
 are sent to every task, more of them go in several passes.
 
-Defined cases: a null or empty text has no windows; null items and items without
-words are left out; repeated rows return once each; other columns pass through;
-an empty table gives an empty one, an empty benchmark no hits.
+Defined cases: a null or empty text has no windows; a text of any length is searched
+in overlapping pieces of bounded size; every item that is found counts, so ties need
+no order; null items and items without words are left out, equal rows of the
+benchmark count once; repeated rows return once each; other columns pass through
+whatever their names, but for the new one; an empty table gives an empty one, an
+empty benchmark no hits.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.common import Words, as_bytes, chunks, combine, mix, shield, table, word_sequence_hash
+from glyphlake.llm.common import Words, as_bytes, chunks, combine, mix, shield, table, tidy, word_sequence_hash
 
 SHINGLE, PER_CENT = 5, 75
 #: Fingerprint blocks of 16 bits, and the radius: an alignment half a stride off and a similarity at the threshold stay within it.
@@ -38,6 +42,28 @@ BLOCKS, RADIUS = 4, 20
 STRIDES, SIZE_STEP = 8, 1.15
 #: Items of one pass (each a few hundred bytes in the tables that tasks get).
 MAX_ITEMS = 4096
+#: Bytes of text handled at once (some 60 bytes of arrays each); longer texts are cut into pieces that share as many words as an item's windows may reach.
+PIECE_BYTES = 1 << 19
+_BLANK_RE, _WORD_RE = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def pieces(text: bytes, most: int, overlap: int) -> Iterator[bytes]:
+    """A text in pieces of about ``most`` bytes, cut at white space; each has the last ``overlap`` words of the one before."""
+    begin = 0
+    while len(text) - begin > 2 * most:
+        end = begin + most
+        while True:
+            m = _BLANK_RE.search(text, end)
+            end = m.start() if m else len(text)
+            words = [x.start() for x in _WORD_RE.finditer(text, begin, end)]
+            if end == len(text) or len(words) > 2 * overlap:
+                break
+            end += most
+        if end == len(text):
+            break
+        yield text[begin:end]
+        begin = words[-overlap]
+    yield text[begin:] if begin else text
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -85,6 +111,8 @@ class Items:
             elif len(h):
                 self.short.setdefault(len(h), {}).setdefault(int(word_sequence_hash(h)), []).append(item)
         full.sort(key=lambda x: (x[0], x[1]))
+        #: Words around an item's place that a search for it may look at.
+        self.reach = max(16, 2 * max([x[0] for x in full] + list(self.short), default=0))
         self.known = np.array(sorted(known), np.uint64)
         values = np.arange(1 << 16, dtype=np.uint16)
         while full:
@@ -180,14 +208,17 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", into:
             index = Items(sent.value)
             for b in batches:
                 texts = as_bytes(b.column(b.schema.get_field_index(text)))
-                hits = []
-                for i, j in chunks(texts, 1 << 19):
-                    hits += index.hits(texts[i:j])
+                parts = [(k, p) for k, t in enumerate(texts) for p in pieces(t, PIECE_BYTES, index.reach)]
+                bodies = [p for _, p in parts]
+                hits = [set() for _ in texts]
+                for i, j in chunks(bodies, PIECE_BYTES):
+                    for (k, _), found_here in zip(parts[i:j], index.hits(bodies[i:j])):
+                        hits[k] |= found_here
                 if add:
                     hits = [h.union(old) for h, old in zip(hits, b.column(b.schema.get_field_index(into)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array([sorted(h) for h in hits], pa.list_(pa.int64()))], names=schema.names)
 
-        out = (df if out is None else out).mapInArrow(run, schema)
+        out = (df if out is None else out).mapInArrow(tidy(run), schema)
     return out
 
 

@@ -212,6 +212,32 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
+@pytest.mark.parametrize("n", [50, 100, 1000])
+def test_the_curve_fits_small_and_separable_samples(n):
+    r = np.random.default_rng(n)
+    y = (r.random(n) < 0.15).astype(float)
+    y[:2] = 1, 0
+    x = np.zeros((n, 4))
+    found = (y > 0) & (r.random(n) < 0.9)
+    x[found] = r.uniform(4, 30, (found.sum(), 4))
+    curve = toxicity.fit_curve(x, y)
+    p = 1 / (1 + np.exp(-toxicity.design(x) @ curve))
+    assert toxicity.design(np.array([[9.0, 6, 12, 6]])) @ curve > toxicity.design(np.zeros((1, 4))) @ curve
+    assert p[found].min() > p[~found].max() and p[found].mean() > 0.5
+
+
+def test_toxicity_takes_repeated_ids_and_clashing_names(spark, tmp_path):
+    rows = [(k % 200, "you vile fiend go away" if k % 4 == 0 else "a quiet walk by the river", "en", "a", "") for k in range(400)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k % 200, 1, int(k % 4 == 0)) for k in range(400)] + [(1, 0, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(out) == 400
+    mean = lambda k: np.mean([x["score"] for x in out if (x["doc_id"] % 4 == 0) == k])
+    assert mean(True) > mean(False)
+    df = frame(spark, rows[:3]).withColumnRenamed("n_words", "_score").withColumn("toxic", F.lit("x"))
+    assert toxicity.score(df, {" fiend ": 3.0}, set(), np.ones(6)).columns == ["doc_id", "text", "lang", "source", "toxic", "_score"]
+
+
 # Operator 10
 
 
@@ -261,7 +287,7 @@ def test_language_model_counts_are_exact(spark, tmp_path, monkeypatch):
     shard = (u >> 8 & 0xFFFFFF) % 3 == 0
     got = lm.counts_of(u[shard], n[shard], low)
     for bit in range(8):
-        for order in range(1, 6):
+        for order in range(1, lm.WIDTH):
             want = Counter()
             for w, c in zip(u.tolist(), n.tolist()):
                 want[w >> 8 & (1 << 8 * order) - 1, (w & 255) >> (bit + 1), w >> bit & 1] += c
@@ -274,6 +300,19 @@ def test_language_model_counts_are_exact(spark, tmp_path, monkeypatch):
     assert {x["doc_id"]: x["score"] for x in lm.op10_lm_scoring(spark, str(tmp_path)).collect()} == pytest.approx(whole)
 
 
+def test_most_frequent_takes_equal_counts_all_or_none(spark):
+    df = spark.createDataFrame([(k, n) for k, n in enumerate([5, 5, 5, 9, 70_000, 1, 1])], "key bigint, n bigint")
+    got = lambda most: sorted(r["n"] for r in lm.most_frequent(df, most).collect())
+    assert got(0) == [] and got(1) == [70_000] and got(4) == [9, 70_000] and got(5) == [5, 5, 5, 9, 70_000] and len(got(7)) == 7
+
+
+def test_language_model_beats_unigrams_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.octet_length("text").alias("n"))
+    both = lm.op10_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base")).first()
+    # The base knows whole words; on so few rows the mixed bytes come level with it.
+    assert both["model"] > 1.01 * both["base"]
+
+
 def test_language_model_learns_from_every_window(spark, monkeypatch):
     often = [(0x616263646561 + k, 10**9) for k in range(4)]
     rare = [(0x61626364C861 + k, 1) for k in range(20)]
@@ -322,3 +361,20 @@ def test_digest_columns(spark, odd):
     assert r[3]["n_tokens"] == 0 and r[3]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     assert r[1]["decoded_sha256"] == hashlib.sha256(b"one two three four five six").hexdigest()
     assert {x["kept"] for x in quality.op8_quality_rules(spark, odd).where(F.col("doc_id") == 2).collect()} == {False}
+
+
+def test_pages_keep_formulas_drawings_and_fallbacks():
+    words = "This paragraph goes on for a while, as the text of an article does, and then it ends."
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{words}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold. {words}</p><svg><text>Label</text></svg><noscript><p>{words} Plain.</p></noscript><p>{words} <object>Fallback</object></p><p title='a > b' data-x=\"it's\">{words} don't</p></article></body>"
+    got = html.extract_texts([page], html.trained())[0]
+    assert all(x in got for x in ("Let x=2 hold.", "Label", f"{words} Plain.", f"{words} Fallback", f"{words} don't")) and "Menu" not in got
+
+
+@pytest.mark.parametrize("page", ["<b " * 350_000 + '"', "<p a='x " * 120_000, "<div>" * 100_000 + "x", "<div>" * 100_000 + "<li>x" * 50_000, "<b>" * 100_000 + "x</b>" * 100_000, "<script></script " * 60_000, "<!-- " * 200_000, "< a " * 200_000, "<svg><x " * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    trees = html.trained()
+    began = time.perf_counter()
+    html.extract_texts([page], trees)
+    assert time.perf_counter() - began < 10
