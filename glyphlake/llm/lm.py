@@ -1,12 +1,12 @@
 """Language-model scoring by logistic context mixing over bits (operator 10).
 
 Every byte of a text, and one zero byte that ends it, is predicted bit by bit.
-Predictors of orders 1 to 6 (the bytes before, and the bits of this byte so far)
+Predictors of orders 1 to 5 (the bytes before, and the bits of this byte so far)
 hold counts of zeros and ones; a gated set of weights mixes their log odds, and a
 table indexed by the previous byte and the mixed odds refines the result.  Counts
 are exact and come from the whole training text: each task counts its windows of
-seven bytes and Spark adds them up.  Windows are dealt into shards by the three
-bytes before the last, so that all counts of orders 3 to 6 meet in one task; those
+six bytes and Spark adds them up.  Windows are dealt into shards by the three
+bytes before the last, so that all counts of orders 3 to 5 meet in one task; those
 of orders 1 and 2 (at most 2^24 strings of three bytes) go to every task.
 Weights and table are learned online in every shard, one mini-batch after another,
 on all its training windows by their counts, less the window's own occurrence, and
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from glyphlake.llm.common import Words, as_bytes, chunks, settle, signed, table
+from glyphlake.llm.common import Words, as_bytes, chunks, settle, signed, table, tidy
 
 #: Tokens whose counts are sent to every task (16 bytes each).
 HEAD_TOKENS = 1 << 18
@@ -49,8 +49,8 @@ HEAD_WINDOWS = 1 << 23
 SHARD = 1 << 18
 #: Orders whose counts go to every task.
 LOW_ORDERS = 2
-#: Log2 of the slots of orders 1 to 6 in a small model held in one table (Model).
-SLOT_BITS = (16, 19, 21, 21, 22, 22)
+#: Log2 of the slots of orders 1 to 5 in a small model held in one table (Model).
+SLOT_BITS = (16, 19, 21, 21, 22)
 #: Bytes of a window: the context of the highest order and the byte itself.
 WIDTH = len(SLOT_BITS) + 1
 #: Rows of one online step.
@@ -139,7 +139,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         if n_texts:
             yield from flush(2, [(np.zeros(1, np.int64), np.array([n_texts], np.int64))])
 
-    return docs.select("text", "held_out").mapInArrow(run, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(tidy(run), "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def node(w: np.ndarray, order: int, bit: int) -> np.ndarray:
@@ -424,7 +424,7 @@ def lm_scores(docs: DataFrame, keep: list[str], text: str = "text", held_out: st
             row += m
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + made, names=[*keep, "_row", "_n_tokens", "_n_bytes", "_known", "_logs", "_score", "_rare", "_far"])
 
-    rows = settle(docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema), "lm-rows")
+    rows = settle(docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema), "lm-rows")
     found = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.key", F.col("r.n").alias("times"))
     rare = found.join(tokens.select("key", "n"), "key").groupBy("_row").agg(F.sum("times").alias("_rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_rare_logs"))
     away = rows.select("_row", F.explode("_far").alias("r")).select("_row", "r.key", F.col("r.n").alias("times"))
