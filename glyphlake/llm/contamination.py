@@ -42,7 +42,7 @@ BLOCKS, RADIUS = 4, 20
 STRIDES, SIZE_STEP = 8, 1.15
 #: Items of one pass (each a few hundred bytes in the tables that tasks get).
 MAX_ITEMS = 4096
-#: Bytes of text handled at once (some 60 bytes of arrays each); longer texts are cut into pieces that share as many words as an item's windows may reach.
+#: Bytes of text handled at once (about 110 bytes of arrays each); longer texts are cut into pieces that share as many words as an item's windows may reach.
 PIECE_BYTES = 1 << 19
 _BLANK_RE, _WORD_RE = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 
