@@ -10,11 +10,11 @@ MIN_LINES lines, and overlapping ones together are the maximal repeated runs - t
 longest-common-prefix intervals of a suffix array cut at that length.  Later
 copies are deleted; every deleted line keeps an equal one in an earlier place.
 
-Names are 64-bit hashes of lines; a run needs MIN_LINES equal names in a row.  With
-``min_words`` a later copy of one line of at least so many words is a run too, in
-the stage with MIN_WORDS; op2_line_dedup keeps to runs of MIN_LINES, as its SQL does.
+Names are 64-bit hashes of lines; a run needs MIN_LINES equal names in a row, or
+one line of MIN_WORDS words: a passage that is a single long line is a run by itself.
 Defined cases: a null or empty text has no lines and stays; a repeated row is a
-later copy; a row of a null doc_id comes before the others; other columns pass
+later copy; ties (equal doc_id) go by row; a row of a null doc_id comes before the
+others; a very long text is one row of its batch, read whole; other columns pass
 through; an empty table gives an empty one.
 """
 
@@ -81,7 +81,7 @@ def later_long_lines(lines: DataFrame) -> DataFrame:
     return ranks.join(groups, "rank").where(~first.eqNullSafe(F.col("first"))).select("_row", "pos")
 
 
-def line_dedup(df: DataFrame, text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+def line_dedup(df: DataFrame, text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """df with _kept_text (null if text is), _n_lines, _n_removed and _n_runs."""
     columns = df.columns
     rows = settle(_with_lines(df, text, min_words).withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
@@ -122,15 +122,15 @@ def op2_line_dedup(spark, sf_dir):
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("_kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-SQL = r"""
+SQL = rf"""
 WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-full_line AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM line WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
-pair AS (SELECT doc_id, pos, i, body, lead(body) OVER w AS onward FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+full_line AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS n_words FROM line WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
+pair AS (SELECT doc_id, pos, body, lead(body) OVER w AS onward FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY body, onward ORDER BY doc_id, pos) AS k FROM pair WHERE onward IS NOT NULL),
-starts AS (SELECT doc_id, pos FROM ranked WHERE k > 1),
-gone AS (SELECT doc_id, pos FROM starts UNION SELECT doc_id, pos + 1 FROM starts),
+long_ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM full_line WHERE n_words >= {MIN_WORDS}),
+gone AS (SELECT doc_id, pos FROM ranked WHERE k > 1 UNION SELECT doc_id, pos + 1 FROM ranked WHERE k > 1 UNION SELECT doc_id, pos FROM long_ranked WHERE k > 1),
 opened AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone),
-begun AS (SELECT s.doc_id, count(*) AS n_runs FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM starts) s WHERE before IS NULL OR pos > before + 2 GROUP BY 1),
+begun AS (SELECT doc_id, count(*) AS n_runs FROM opened WHERE before IS NULL OR pos > before + 1 GROUP BY 1),
 mark AS (SELECT l.doc_id, l.i, l.body, f.pos IS NOT NULL AS has_word, g.pos IS NOT NULL AS is_gone FROM line l LEFT JOIN full_line f USING (doc_id, i) LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos)
 SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (is_gone) AS n_removed, coalesce(max(n_runs), 0)::BIGINT AS n_runs,
   sha256(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (NOT is_gone), '')) AS kept_sha256
@@ -141,7 +141,7 @@ FROM mark LEFT JOIN begun USING (doc_id) GROUP BY doc_id
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with what they have left; those left with no line at all, though they had some, go."""
     safe, back = shield(docs)
-    out = line_dedup(safe, min_words=MIN_WORDS).where("_n_removed = 0 or _n_removed < _n_lines")
+    out = line_dedup(safe).where("_n_removed = 0 or _n_removed < _n_lines")
     new = {"text": F.col("_kept_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_n_removed") > 0, F.char_length("_kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
