@@ -177,6 +177,40 @@ def test_licence_scores_equal_brute_force(spark):
         assert {h["licence"]: pytest.approx(h["score"]) for h in r["_hits"]} == want[r["doc_id"]]
 
 
+def test_wrapped_licences_are_passages(spark):
+    import textwrap
+
+    r = random.Random(3)
+    other = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    texts = []
+    for v in licences.TEMPLATES.values():
+        words = v.split()
+        for _ in range(r.randrange(len(words) // 12 + 1)):
+            words[r.randrange(len(words))] = "x"
+        texts.append(f"{other(40)} {textwrap.fill(' '.join(words), 60)} {other(50)}")
+    texts += [other(30), "", None, texts[0], "the software " * 3000, list(licences.TEMPLATES.values())[0] + "\n" + list(licences.TEMPLATES.values())[1]]
+    got = {x["doc_id"]: x["_passages"] for x in licences.licence_hits(frame(spark, [(k, t, "", "", "") for k, t in enumerate(texts)])).collect()}
+    for k, t in enumerate(texts):
+        words, want = licences.normal_words(t or ""), {}
+        for name, body in licences.TEMPLATES.items():
+            b = set(licences.bigrams(licences.normal_words(body)))
+            n = len(licences.normal_words(body))
+            windows = [set(licences.bigrams(words[p : p + n])) for p in range(max(1, len(words) - 1)) if " ".join(words[p : p + 2]) in b]
+            score = max((2 * len(a & b) / (len(a) + len(b)) for a in windows), default=0)
+            if score >= licences.THRESHOLD:
+                want[name] = pytest.approx(score)
+        assert {h["licence"]: h["score"] for h in got[k]} == want
+    assert all(name in [h["licence"] for h in got[k]] for k, name in enumerate(licences.TEMPLATES))
+
+
+def test_licence_scan_refuses_clashing_columns(spark):
+    df = frame(spark, [(1, licences.TEMPLATES["mit"], "", "", "")])
+    with pytest.raises(ValueError):
+        licences.licence_hits(df.withColumnRenamed("source", "_hits"))
+    row = licences.licence_hits(df.withColumnRenamed("source", "_words0")).first()
+    assert row["_words0"] == "" and [h["licence"] for h in row["_hits"]] == ["mit"]
+
+
 # Operator 9
 
 
