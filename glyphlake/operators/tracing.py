@@ -10,7 +10,7 @@ from glyphlake.functions.perfile import per_file
 #: Output bytes that a trace may have, unless a caller says otherwise.
 MAX_OUTPUT = 1 << 30
 TOKEN = "idx bigint, kind string, input_bit_begin bigint, input_bit_end bigint, output_begin bigint, output_end bigint, literal int, length int, distance int, match_source_begin bigint, match_source_end bigint, sources array<struct<begin:bigint,end:bigint,token_index:bigint>>, block_idx bigint, stream_bit_begin bigint, stream_bit_end bigint"
-POINTS = "file_id bigint, idx bigint, input_byte bigint, prime_bits int, prime_value int, output_offset bigint, dictionary binary"
+POINTS = "file_id bigint, idx bigint, input_byte bigint, prime_bits int, prime_value int, output_offset bigint, dictionary binary, zlib_header binary, total_output bigint"
 
 
 def traces(streams: DataFrame, max_output: int = MAX_OUTPUT) -> DataFrame:
@@ -101,22 +101,42 @@ def access_points(streams: DataFrame, min_interval: int, max_output: int = MAX_O
             if last is None or at - last >= min_interval:
                 byte, bit = divmod(b["input_bit_begin"], 8)
                 prime = (8 - bit) % 8
-                yield file_id, n, byte + (bit > 0), prime, stream[byte] >> bit if prime else 0, at, bytes(t.data[max(0, at - deflate.WINDOW) : at])
+                yield file_id, n, byte + (bit > 0), prime, stream[byte] >> bit if prime else 0, at, bytes(t.data[max(0, at - deflate.WINDOW) : at]), stream[:2], len(t.data)
                 last, n = at, n + 1
 
     return per_file(streams, POINTS, rows, "file_id", "stream")
 
 
 def extract_output(points: DataFrame, streams: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(file_id, request, success, error, data) for output ranges (file_id, request, offset, length): resumed from the nearest point at or before."""
+    """(file_id, request, success, error, data) for output ranges (file_id, request, offset, length): resumed from the nearest point at or before.
+
+    A range must lie within the output that was indexed; a stream whose zlib header or
+    primed bits aren't those of the index isn't the one that was indexed.
+    """
     from glyphlake.functions.replay import replay
 
-    near = ranges.join(points, "file_id").where("output_offset <= offset").groupBy("file_id", "request", "offset", "length").agg(F.max_by(F.struct("input_byte", "prime_bits", "output_offset", "dictionary"), "output_offset").alias("p"))
+    point = F.struct("input_byte", "prime_bits", "prime_value", "output_offset", "dictionary", "zlib_header", "total_output")
+    near = ranges.join(points, "file_id").where("output_offset <= greatest(offset, 0)").groupBy("file_id", "request", "offset", "length").agg(F.max_by(point, "output_offset").alias("p"))
     found = ranges.join(near, ["file_id", "request", "offset", "length"], "left").join(streams, "file_id", "left")
 
+    def refused(offset, length, point, stream) -> str:
+        if point is None:
+            return "no access index"
+        if offset < 0 or length < 0 or offset + length > point["total_output"]:
+            return "output range out of bounds"
+        if stream is None or len(stream) < 2:
+            return "source too short for the indexed stream"
+        if stream[:2] != point["zlib_header"]:
+            return "source changed since indexing"
+        if point["input_byte"] >= len(stream):
+            return "source too short for the access point"
+        bits = point["prime_bits"]
+        return "source changed at the access point" if bits and stream[point["input_byte"] - 1] >> (8 - bits) != point["prime_value"] else ""
+
     def rows(file_id, request, offset, length, point, stream):
-        if point is None or stream is None:
-            yield file_id, request, False, "no access index", None
+        error = refused(offset, length, point, stream)
+        if error:
+            yield file_id, request, False, error, None
             return
         data, error = replay(bytes(stream), point["input_byte"] * 8 - point["prime_bits"], bytes(point["dictionary"]), offset - point["output_offset"] + length)
         data = data[offset - point["output_offset"] :]

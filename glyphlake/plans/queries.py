@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from glyphlake.functions import geometry as G
 from glyphlake.operators import queries as Q, reconstruct as R, rules, selection as S, stats, structure, tracing
@@ -300,6 +302,20 @@ def extract_output(spark, sf):
     return same.agg(F.count("*").alias("files"), F.count_if(F.col("success") & (F.col("data") == F.col("want"))).alias("equal"))
 
 
+def extract_checks(spark, sf):
+    """Extraction from each document's stream as indexed, beyond its output, from a changed stream, a short one and a cut one."""
+    streams = _streams(_gray(spark, sf))
+    points = tracing.access_points(streams, 20000)
+    cases = [("stream", "offset"), ("stream", "beyond"), ("unhex('0000') || substring(stream, 3)", "offset"), ("substring(stream, 1, 1)", "offset"), ("substring(stream, 1, 2)", "offset")]
+    given = [streams.selectExpr(f"file_id * {len(cases)} + {k} as file_id", f"{source} as stream") for k, (source, _) in enumerate(cases)]
+    indexed = points.withColumn("case", F.explode(F.sequence(F.lit(0), F.lit(len(cases) - 1)))).withColumn("file_id", F.col("file_id") * len(cases) + F.col("case")).drop("case")
+    at = F.element_at(F.array(*[F.lit(1 << 40 if where == "beyond" else 0) for _, where in cases]), (F.pmod("file_id", F.lit(len(cases))) + 1).cast("int"))
+    changed = reduce(DataFrame.unionAll, given)
+    ranges = changed.select("file_id", F.lit(0).cast("bigint").alias("request"), at.alias("offset"), F.lit(1).cast("bigint").alias("length"))
+    out = tracing.extract_output(indexed, changed, ranges)
+    return out.select(F.expr(f"file_id div {len(cases)}").alias("file_id"), F.pmod("file_id", F.lit(len(cases))).alias("request"), "success", "error")
+
+
 def tokens(spark, sf):
     t = tracing.tokens(_streams(_literal(spark, sf)))
     return t.select("file_id", "idx", "kind", "input_bit_begin", "input_bit_end", "stream_bit_begin", "output_begin", "output_end", F.col("literal").cast("bigint").alias("literal"))

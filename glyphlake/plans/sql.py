@@ -120,6 +120,7 @@ UNION ALL SELECT file_id, 'idat_adler_truncated', 41::BIGINT FROM fault WHERE f
     "block_for_output": f"WITH {_DOC}, {_STORED} SELECT file_id, request, o::BIGINT AS \"offset\", (CASE WHEN o < t THEN o // 65535 END)::BIGINT AS block_idx FROM st, (VALUES (0, 5), (1, 65535)) v(request, o)",
     "access_points": f"WITH {_DOC}, {_STORED}, k AS (SELECT file_id, unnest(range(0, nb)) AS k FROM st) SELECT file_id, k AS idx, 2 + 65540 * k AS input_byte, 0::BIGINT AS prime_bits, 65535 * k AS output_offset, least(32768, 65535 * k) AS history FROM k",
     "extract_output": "SELECT count(*) AS files, count(*) AS equal FROM documents",
+    "extract_checks": "SELECT doc_id AS file_id, request, error = '' AS success, error FROM documents, (VALUES (0::BIGINT, ''), (1, 'output range out of bounds'), (2, 'source changed since indexing'), (3, 'source too short for the indexed stream'), (4, 'source too short for the access point')) v(request, error)",
     "tokens": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT file_id, idx::BIGINT AS idx, 'literal' AS kind, a AS input_bit_begin, a + bits AS input_bit_end, a + 16 AS stream_bit_begin, idx::BIGINT AS output_begin, idx::BIGINT + 1 AS output_end, v::BIGINT AS literal FROM tok UNION ALL SELECT file_id, n, 'end_of_block', a, a + 7, a + 16, n, n, 0 FROM fin",
     "token_stats": f"WITH {_HEX}, {_BYTE}, {_LITERAL} SELECT 'literal' AS kind, count(*) AS tokens, sum(bits)::BIGINT AS input_bits, count(*) AS output_bytes FROM tok UNION ALL SELECT 'end_of_block', count(*), 7 * count(*), 0 FROM fin UNION ALL SELECT 'length_distance', 0, 0, 0",
     "run_token_stats": "SELECT 'literal' AS kind, 2 * count(*) AS tokens, 16 * count(*) AS input_bits, 2 * count(*) AS output_bytes FROM labels UNION ALL SELECT 'length_distance', 2 * count(*), (8 + 5 + 7 + 3 + 5) * count(*), 298 * count(*) FROM labels UNION ALL SELECT 'end_of_block', count(*), 7 * count(*), 0 FROM labels",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FILE_COLUMNS = ("file_id", "path", "length", "content")
@@ -63,7 +65,8 @@ def hex_dump(df: DataFrame, column: str) -> DataFrame:
 
 
 INDEX_VERSION = 1
-_MAX_KEY, _MAX_ENTRIES = 4096, 10**6
+# Characters of a part of a key, entries and bytes of a file's index.
+_MAX_KEY, _MAX_ENTRIES, _MAX_BYTES = 4096, 10**6, 64 << 20
 
 
 def cache_key(*parts: str) -> str:
@@ -76,9 +79,26 @@ def cache_key(*parts: str) -> str:
 
 
 def store_index(index: DataFrame, root: str, key: str) -> None:
-    """Write an index (blocks or access points) under its key; each file's entries are bounded."""
-    index.groupBy("file_id").count().select(F.assert_true(F.col("count") <= _MAX_ENTRIES, "too many index entries")).write.format("noop").mode("overwrite").save()
-    index.withColumn("cache_key", F.lit(key)).write.mode("overwrite").parquet(f"{root}/{key}")
+    """Write an index (blocks or access points) under its key; each file's entries and their bytes are bounded.
+
+    The rows go to a folder beside the target, are checked there and renamed: a
+    writer that is lost leaves the former index, and a reader never meets half of one.
+    """
+    spark = index.sparkSession
+    fresh = f"{root}/.{key}-{uuid.uuid4().hex}"
+    index.withColumn("cache_key", F.lit(key)).write.parquet(fresh)
+    written = spark.read.parquet(fresh)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = path(f"{root}/{key}"), path(fresh)
+    fs = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("binary", "string") else F.lit(8) for c, t in index.dtypes]
+    sizes = written.groupBy("file_id").agg(F.count("*").alias("entries"), F.sum(sum(width[1:], width[0])).alias("bytes"))
+    if sizes.where((F.col("entries") > _MAX_ENTRIES) | (F.col("bytes") > _MAX_BYTES)).limit(1).count():
+        fs.delete(new, True)
+        raise ValueError("an index has too many entries or bytes")
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"can't rename {fresh}")
 
 
 def load_index(spark: SparkSession, root: str, key: str, schema: str) -> tuple[str, DataFrame | None]:

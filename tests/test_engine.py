@@ -1,6 +1,8 @@
 """Sources, sinks, selections, services, the command line and streaming."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +113,19 @@ def test_extract_in_the_middle(spark):
     got = {r["request"]: r for r in tracing.extract_output(points, streams, ranges).collect()}
     for k, o, n in ((0, 0, 10), (1, 100_000, 5000), (2, len(raw) - 3, 3)):
         assert got[k]["success"] and got[k]["data"] == raw[o : o + n]
-    assert not got[3]["success"]
+    assert got[3]["error"] == "output range out of bounds"
+
+
+def test_extract_refuses_other_sources(spark):
+    # Skewed letters make several dynamic blocks, whose borders lie inside bytes.
+    r = random.Random(1)
+    stream = E.zlib_stream(bytes(r.choices(b"abcdefgh", [30, 20, 10, 5, 3, 2, 1, 1], k=400_000)), 6)
+    points = tracing.access_points(spark.createDataFrame([(1, bytearray(stream))], "file_id bigint, stream binary"), 1000)
+    primed = next(p for p in points.collect() if p["prime_bits"])
+    at = primed["input_byte"] - 1
+    for other, error in ((stream[:at] + bytes([stream[at] ^ 0x80]) + stream[at + 1 :], "source changed at the access point"), (stream[: primed["input_byte"]], "source too short for the access point"), (b"\0\0" + stream[2:], "source changed since indexing"), (b"x", "source too short for the indexed stream")):
+        one = spark.createDataFrame([(1, 0, primed["output_offset"], 1)], "file_id bigint, request bigint, offset bigint, length bigint")
+        assert tracing.extract_output(points, spark.createDataFrame([(1, bytearray(other))], "file_id bigint, stream binary"), one).first()["error"] == error
 
 
 def test_inspector_texts(spark, indexed):
@@ -141,6 +155,11 @@ def test_cache_hit_miss_invalid(spark, tmp_path):
     status, back = files.load_index(spark, str(tmp_path), key, schema)
     assert status == "hit" and back.collect() == rows.collect()
     assert files.load_index(spark, str(tmp_path), key, "file_id bigint, missing string")[0] == "invalid"
+    files.store_index(rows.withColumn("idx", F.lit(7).cast("bigint")), str(tmp_path), key)
+    assert [r["idx"] for r in files.load_index(spark, str(tmp_path), key, schema)[1].collect()] == [7]
+    with pytest.raises(ValueError):
+        files.store_index(rows.withColumn("dictionary", F.expr("cast(repeat('x', 65 << 20) as binary)")), str(tmp_path), key)
+    assert [r["idx"] for r in files.load_index(spark, str(tmp_path), key, schema)[1].collect()] == [7] and len(os.listdir(tmp_path)) == 1
     with pytest.raises(ValueError):
         files.cache_key("x" * 5000)
 
