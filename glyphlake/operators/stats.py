@@ -71,6 +71,36 @@ def checked_sum_status(rows: DataFrame, column: str) -> DataFrame:
     return g.select("file_id", F.when(F.col("least") < 0, "invalid_input").when(F.col("total").isNull(), "overflow").otherwise("ready").alias("status"), "total")
 
 
+def build_status(parts: list[tuple[str, DataFrame]], max_samples: int = MAX_SAMPLES, max_keys: int = MAX_TYPES) -> DataFrame:
+    """(file_id, status, failed, total): the outcome of statistics over families of rows (file_id, key, amount), in their order.
+
+    The first family that fails decides: 'invalid_input' for a negative amount,
+    'budget_exceeded' for too many rows or keys, 'overflow' where its amounts, or the
+    total with those before, leave 64 bits; total is that of the families before it.
+    A file with no rows in a family has nothing to fail there.  Distinct keys are
+    counted in two steps of partial sums, so one hot file needs no set in memory.
+    """
+    counted = []
+    for k, (name, rows) in enumerate(parts):
+        by_key = rows.groupBy("file_id", "key").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(38,0)")).alias("sum"), F.min("amount").alias("least"))
+        g = by_key.groupBy("file_id").agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.sum("sum").alias("sum"), F.min("least").alias("least"))
+        status = F.when(F.col("least") < 0, "invalid_input").when((F.col("n") > max_samples) | (F.col("keys") > max_keys), "budget_exceeded").otherwise("ready")
+        counted.append(g.select("file_id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("family"), status.alias("status"), "sum").alias("f")))
+    every = counted[0]
+    for c in counted[1:]:
+        every = every.unionAll(c)
+    start = F.struct(F.lit("ready").alias("status"), F.lit(None).cast("string").alias("failed"), F.lit(0).cast("bigint").alias("total"))
+
+    def step(state: Column, f: Column) -> Column:
+        total = (state["total"].cast("decimal(38,0)") + f["sum"]).try_cast("bigint")
+        now = F.when(f["status"] != "ready", f["status"]).when(total.isNull(), "overflow").otherwise("ready")
+        after = F.struct(now.alias("status"), F.when(now != "ready", f["family"]).alias("failed"), F.when(now == "ready", total).otherwise(state["total"]).alias("total"))
+        return F.when(state["status"] == "ready", after).otherwise(state)
+
+    folded = every.groupBy("file_id").agg(F.sort_array(F.collect_list("f")).alias("f"))
+    return folded.select("file_id", F.aggregate("f", start, step).alias("s")).select("file_id", "s.*")
+
+
 def collect(indexed: DataFrame) -> DataFrame:
     """(family, key, n, input, output): statistics of chunks, filters, blocks and tokens in one table."""
     from glyphlake.operators import reconstruct, structure, tracing

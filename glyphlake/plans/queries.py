@@ -534,6 +534,13 @@ def budget_status(spark, sf):
     return stats.budget_status(rows, "k", 5, 4)
 
 
+def statistics_status(spark, sf):
+    """Two families a file, some with too many rows or keys, negative amounts or too large ones."""
+    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("key"), F.when(F.col("l_orderkey") % 11 == 0, (1 << 63) - 1).otherwise(F.col("l_suppkey")).cast("bigint").alias("amount"))
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(F.col("o_custkey")).cast("bigint").alias("amount"))
+    return stats.build_status([("lines", lines), ("orders", orders)], 5, 4)
+
+
 def checked_sums(spark, sf):
     big = F.when(F.col("c_custkey") % 10 == 0, F.lit((1 << 63) - 1)).otherwise(F.col("c_custkey") - 5)
     rows = read(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("file_id"), big.alias("v"))

@@ -156,6 +156,7 @@ UNION ALL SELECT file_id, 'idat_adler_truncated', 41::BIGINT FROM fault WHERE f
     "percentile_rank": "SELECT l_returnflag, l_linestatus, quantile_disc(l_quantity, 0.95) AS value FROM lineitem GROUP BY ALL",
     "threshold_gate": "WITH m AS (SELECT n_regionkey AS scenario, n_name AS metric, n_nationkey * 10 + CASE WHEN n_nationkey % 7 = 0 THEN 0.5 ELSE 0 END AS value FROM nation WHERE n_nationkey % 5 <> 0), c AS (SELECT n_regionkey AS scenario, n_name AS metric FROM nation WHERE n_nationkey % 4 <> 0) SELECT scenario, metric, CASE WHEN c.metric IS NULL THEN 'missing config' WHEN m.value IS NULL THEN 'missing scenario' WHEN m.value <> floor(m.value) THEN 'not an integer' WHEN m.value > 120 THEN 'over maximum' ELSE 'ok' END AS verdict FROM m FULL JOIN (SELECT scenario, metric, true AS there FROM c) c USING (scenario, metric)".replace("c.metric IS NULL", "c.there IS NULL"),
     "budget_status": "SELECT l_orderkey AS file_id, CASE WHEN count(*) > 5 OR count(DISTINCT l_partkey) > 4 THEN 'budget_exceeded' ELSE 'ready' END AS status FROM lineitem GROUP BY 1",
+    "statistics_status": "WITH a AS (SELECT l_orderkey AS file_id, count(*) AS n, count(DISTINCT l_partkey) AS keys, sum(CASE WHEN l_orderkey % 11 = 0 THEN 9223372036854775807 ELSE l_suppkey END::HUGEINT) AS t FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS file_id, sum(CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_custkey END::HUGEINT) AS t FROM orders GROUP BY 1), j AS (SELECT file_id, CASE WHEN n > 5 OR keys > 4 THEN 'budget_exceeded' WHEN a.t > 9223372036854775807 THEN 'overflow' END AS x, CASE WHEN file_id % 7 = 0 AND b.t IS NOT NULL THEN 'invalid_input' WHEN coalesce(a.t, 0) + coalesce(b.t, 0) > 9223372036854775807 THEN 'overflow' END AS y, coalesce(a.t, 0) AS ta, coalesce(b.t, 0) AS tb FROM a FULL JOIN b USING (file_id)) SELECT file_id, coalesce(x, y, 'ready') AS status, CASE WHEN x IS NOT NULL THEN 'lines' WHEN y IS NOT NULL THEN 'orders' END AS failed, CASE WHEN x IS NOT NULL THEN 0 WHEN y IS NOT NULL THEN ta ELSE ta + tb END::BIGINT AS total FROM j",
     "checked_sums": "WITH v AS (SELECT c_nationkey::BIGINT AS file_id, CASE WHEN c_custkey % 10 = 0 THEN 9223372036854775807 ELSE c_custkey - 5 END::HUGEINT AS v FROM customer), g AS (SELECT file_id, sum(v) AS t, min(v) AS least FROM v GROUP BY 1) SELECT file_id, CASE WHEN least < 0 THEN 'invalid_input' WHEN t > 9223372036854775807 THEN 'overflow' ELSE 'ready' END AS status, CASE WHEN t <= 9223372036854775807 THEN t::BIGINT END AS total FROM g",
     "selection_text": "SELECT o_orderkey AS id, concat_ws(';', CASE WHEN o_orderkey % 2 = 1 THEN 'node:' || o_custkey END, CASE WHEN o_orderkey % 10 = 0 THEN 'physical_bit:' || o_custkey || ',8,3' WHEN o_orderkey % 5 = 0 THEN 'physical:' || o_custkey || ',8' END, CASE WHEN o_orderkey % 7 = 0 THEN 'logical:1,2' END, CASE WHEN o_orderkey % 3 = 0 THEN 'image:0,0,1,' || (o_orderkey % 50) || ',1' END, CASE WHEN o_orderkey % 6 = 0 THEN 'channel:1' END, CASE WHEN o_orderstatus = 'O' THEN 'stage:native' END) AS text FROM orders",
     "selection_round_trip": "SELECT count(*) AS n, count(*) AS parsed, count(*) AS equal FROM orders",
