@@ -81,8 +81,9 @@ def cache_key(*parts: str) -> str:
 def store_index(index: DataFrame, root: str, key: str) -> None:
     """Write an index (blocks or access points) under its key; each file's entries and their bytes are bounded.
 
-    The rows go to a folder beside the target, are checked there and renamed: a
-    writer that is lost leaves the former index, and a reader never meets half of one.
+    The rows go to a folder beside the target, are checked there and renamed, so a
+    reader never meets half an index; a writer lost between removing the former one
+    and renaming leaves none, which is a miss.
     """
     spark = index.sparkSession
     fresh = f"{root}/.{key}-{uuid.uuid4().hex}"
