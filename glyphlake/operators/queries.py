@@ -349,30 +349,37 @@ def decode_inspector(token_rows: DataFrame) -> DataFrame:
 
 
 def literal_walk(token_rows: DataFrame, starts: DataFrame, max_depth: int = 8, max_nodes: int = 64) -> DataFrame:
-    """(file_id, request, status, literal_token, depth, path): from a token (file_id, request, token_index) along first sources to its literal; one recursive query.
+    """(file_id, request, status, literal_token, depth, path): from a token (file_id, request, token_index) along first sources to its literal; file by file, over tokens and requests gathered by file.
 
     Budgets are met before a token is taken: max_depth steps and max_nodes tokens at
     most. 'error' means a cycle; 'not_found' a token or source that isn't there, or
     one without a literal behind it.
     """
-    spark = token_rows.sparkSession
-    if max_depth <= 0 or max_nodes <= 0:
+    limit = min(max_depth, max_nodes)
+    if limit <= 0:
         return starts.select("file_id", "request", F.lit("budget_exceeded").alias("status"), F.lit(None).cast("bigint").alias("literal_token"), F.lit(None).cast("int").alias("depth"), F.expr("cast(array() as array<bigint>)").alias("path"))
-    t = token_rows.select("file_id", F.col("idx").alias("token_index"), "kind", F.expr("get(sources, 0).token_index").alias("next"))
-    there = t.select("file_id", F.col("token_index").alias("next"), F.lit(True).alias("known"))
-    t.join(there, ["file_id", "next"], "left").createOrReplaceTempView("_walk_tokens")
-    starts.select("file_id", "request", "token_index").createOrReplaceTempView("_walk_starts")
-    walked = spark.sql(f"""
-      WITH RECURSIVE walk(file_id, request, token_index, kind, onward, known, path) AS (
-        SELECT s.file_id, s.request, s.token_index, t.kind, t.next, t.known, array(t.token_index) FROM _walk_starts s JOIN _walk_tokens t ON s.file_id = t.file_id AND s.token_index = t.token_index
-        UNION ALL
-        SELECT w.file_id, w.request, t.token_index, t.kind, t.next, t.known, concat(w.path, array(t.token_index)) FROM walk w JOIN _walk_tokens t ON w.file_id = t.file_id AND w.onward = t.token_index
-        WHERE w.kind = 'length_distance' AND size(w.path) < {min(max_depth, max_nodes)} AND NOT array_contains(w.path, w.onward)
-      ) SELECT * FROM walk""")
-    last = walked.groupBy("file_id", "request").agg(F.max_by(F.struct("token_index", "kind", "known", "path"), F.size("path")).alias("w"))
-    goes_on = (F.col("w.kind") == "length_distance") & F.coalesce("w.known", F.lit(False))
-    status = F.when(F.col("w").isNull(), "not_found").when(F.col("w.kind") == "literal", "ready").when(~goes_on, "not_found").when(F.size("w.path") >= min(max_depth, max_nodes), "budget_exceeded").otherwise("error")
-    return starts.select("file_id", "request").join(last, ["file_id", "request"], "left").select("file_id", "request", status.alias("status"), F.when(F.col("w.kind") == "literal", F.col("w.token_index")).alias("literal_token"), (F.size("w.path") - 1).alias("depth"), F.col("w.path").alias("path"))
+    nodes = token_rows.select("file_id", F.struct(F.col("idx").alias("token_index"), "kind", F.expr("get(sources, 0).token_index").alias("next")).alias("n")).groupBy("file_id").agg(F.collect_list("n").alias("nodes"))
+    asked = starts.select("file_id", F.struct("request", "token_index").alias("s")).groupBy("file_id").agg(F.collect_list("s").alias("starts"))
+
+    def rows(file_id, starts, nodes):
+        at = {n["token_index"]: (n["kind"], n["next"]) for n in nodes or ()}
+        for s in starts:
+            index, path = s["token_index"], []
+            while index in at and index not in path and len(path) < limit:
+                path.append(index)
+                kind, onward = at[index]
+                if kind != "length_distance":
+                    break
+                index = onward
+            if not path:
+                yield file_id, s["request"], "not_found", None, None, None
+                continue
+            ready = kind == "literal"
+            status = "ready" if ready else "not_found" if kind != "length_distance" or onward not in at else "budget_exceeded" if len(path) >= limit else "error"
+            yield file_id, s["request"], status, path[-1] if ready else None, len(path) - 1, path
+
+    types = {c: starts.schema[c].dataType.simpleString() for c in ("file_id", "request")}
+    return per_file(asked.join(nodes, "file_id", "left"), f"file_id {types['file_id']}, request {types['request']}, status string, literal_token bigint, depth int, path array<bigint>", rows, "file_id", "starts", "nodes")
 
 
 def navigation(token_rows: DataFrame, space: str) -> DataFrame:

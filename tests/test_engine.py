@@ -297,3 +297,15 @@ def test_nearest_before_is_an_as_of_join(spark):
     points = spark.createDataFrame([(1, 0), (1, 10), (2, 5)], "file_id bigint, at bigint")
     asked = spark.createDataFrame([(1, 9), (1, 10), (2, 4), (2, 50)], "file_id bigint, wanted bigint")
     assert {(r["file_id"], r["wanted"], r["anchor"]) for r in Q.nearest_before(points, asked, "at", "wanted").collect()} == {(1, 9, 0), (1, 10, 10), (2, 50, 5)}
+
+
+def test_literal_walk_has_no_limit_of_rows(spark):
+    tokens = spark.createDataFrame([(f, k, "length_distance" if k else "literal", [(k - 1,)] if k else []) for f in range(5) for k in range(4)], "file_id bigint, idx bigint, kind string, sources array<struct<token_index:bigint>>")
+    starts = tokens.selectExpr("file_id", "idx as request", "idx as token_index")
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        got = Q.literal_walk(tokens, starts).collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    assert len(got) == 20 and all((r["status"], r["literal_token"], r["depth"], list(r["path"])) == ("ready", 0, r["request"], list(range(r["request"], -1, -1))) for r in got)
