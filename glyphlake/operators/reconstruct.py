@@ -19,13 +19,30 @@ def decode_input(indexed: DataFrame) -> DataFrame:
     return with_stream(indexed).selectExpr("file_id", "signature_valid", "stream", f"if(octet_length({first('49484452')}) >= 13, substring({first('49484452')}, 1, 13), null) as head", f"{first('504C5445')} as palette", f"{first('74524E53')} as transparency")
 
 
+def _unreadable(valid, head) -> str:
+    return "invalid PNG signature" if not valid else "missing or invalid IHDR" if head is None else ""
+
+
+def _sizes(head) -> tuple:
+    return int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12] == 1
+
+
 def _analyzed(valid, stream, head, plain: bool = True) -> raster.Stages:
-    if not valid:
-        return raster.Stages(error="invalid PNG signature")
-    if head is None:
-        return raster.Stages(error="missing or invalid IHDR")
-    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
-    return raster.analyze(bytes(stream), width, height, head[8], head[9], head[12] == 1, plain)
+    if error := _unreadable(valid, head):
+        return raster.Stages(error=error)
+    return raster.analyze(bytes(stream), *_sizes(head), plain)
+
+
+def inflated(indexed: DataFrame) -> DataFrame:
+    """(file_id, success, error, filtered, stream): stages() as far as the inflated bytes, beside what was decoded."""
+
+    def rows(file_id, valid, stream, head):
+        data, error = b"", _unreadable(valid, head)
+        if not error:
+            _, data, error = raster.filtered(bytes(stream), *_sizes(head))
+        yield file_id, not error, error, None if error else data, stream
+
+    return per_file(decode_input(indexed), "file_id bigint, success boolean, error string, filtered binary, stream binary", rows, *_INPUT)
 
 
 def stages(indexed: DataFrame, *more: str) -> DataFrame:

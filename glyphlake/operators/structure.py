@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from glyphlake.functions.perfile import per_file
@@ -80,10 +82,16 @@ def checksums(content: pa.Array, chunks: pa.Array) -> pa.Array:
 @F.arrow_udf(T.BinaryType())
 def idat_stream(content: pa.Array, chunks: pa.Array) -> pa.Array:
     """The IDAT data of each file as one, in time linear in its size."""
-    out = []
-    for data, found in zip(content, chunks):
+    flat = chunks.flatten()
+    kinds = flat.field("type")
+    idat = np.flatnonzero(pc.equal(kinds, pa.scalar(b"IDAT", kinds.type)).to_numpy(zero_copy_only=False))
+    begins, sizes = (flat.field(c).to_numpy()[idat] for c in ("data_offset", "data_length"))
+    ends = (begins + sizes).tolist()
+    bounds = np.searchsorted(idat, np.cumsum([0, *chunks.value_lengths().fill_null(0).to_pylist()])).tolist()
+    begins, out = begins.tolist(), []
+    for data, first, end in zip(content, bounds, bounds[1:]):
         view = memoryview(data.as_buffer() or b"")
-        out.append(b"".join(view[c["data_offset"] : c["data_offset"] + c["data_length"]] for c in found.as_py() or () if c["type"] == b"IDAT"))
+        out.append(b"".join([view[a:z] for a, z in zip(begins[first:end], ends[first:end])]))
     return pa.array(out, pa.binary())
 
 

@@ -85,6 +85,23 @@ def overlapping(token_rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return _overlap(token_rows, ranges).select("file_id", "request", F.col("idx").alias("token_index"), "output_begin", "output_end")
 
 
+def _points(stream: bytes, min_interval: int, max_output: int) -> list[tuple]:
+    """Access points of a sound stream; zlib finds the blocks, the decoder those of streams it refuses."""
+    if found := deflate.borders(stream, max_output):
+        begins, data = found
+    else:
+        t = deflate.trace(stream, max_output, False)
+        begins, data = [(b["input_bit_begin"], b["output_begin"]) for b in t.blocks if t.success], t.data
+    out, last = [], None
+    for begin, at in begins:
+        if last is None or at - last >= min_interval:
+            byte, bit = divmod(begin, 8)
+            prime = (8 - bit) % 8
+            out.append((len(out), byte + (bit > 0), prime, stream[byte] >> bit if prime else 0, at, bytes(data[max(0, at - deflate.WINDOW) : at]), stream[:2], len(data)))
+            last = at
+    return out
+
+
 def access_points(streams: DataFrame, min_interval: int, max_output: int = MAX_OUTPUT) -> DataFrame:
     """Points to resume from: the first at 0, then block boundaries min_interval output bytes apart at least.
 
@@ -92,57 +109,74 @@ def access_points(streams: DataFrame, min_interval: int, max_output: int = MAX_O
     """
 
     def rows(file_id, stream):
-        stream = bytes(stream or b"")
-        t = deflate.trace(stream, max_output, False)
-        last = None
-        n = 0
-        for b in t.blocks if t.success else ():
-            at = b["output_begin"]
-            if last is None or at - last >= min_interval:
-                byte, bit = divmod(b["input_bit_begin"], 8)
-                prime = (8 - bit) % 8
-                yield file_id, n, byte + (bit > 0), prime, stream[byte] >> bit if prime else 0, at, bytes(t.data[max(0, at - deflate.WINDOW) : at]), stream[:2], len(t.data)
-                last, n = at, n + 1
+        for p in _points(bytes(stream or b""), min_interval, max_output):
+            yield file_id, *p
 
     return per_file(streams, POINTS, rows, "file_id", "stream")
 
 
+_POINT = ("input_byte", "prime_bits", "prime_value", "output_offset", "dictionary", "zlib_header", "total_output")
+
+
+def _refused(offset, length, point, stream) -> str:
+    if point is None or offset is None or length is None:
+        return "no access index"
+    if offset < 0 or length < 0 or offset + length > point["total_output"]:
+        return "output range out of bounds"
+    if stream is None or len(stream) < 2:
+        return "source too short for the indexed stream"
+    if stream[:2] != point["zlib_header"]:
+        return "source changed since indexing"
+    if point["input_byte"] >= len(stream):
+        return "source too short for the access point"
+    bits = point["prime_bits"]
+    return "source changed at the access point" if bits and stream[point["input_byte"] - 1] >> (8 - bits) != point["prime_value"] else ""
+
+
+def _extracted(offset, length, point, stream) -> tuple:
+    """(success, error, data) of an output range, resumed from a point."""
+    from glyphlake.functions.replay import replay
+
+    if error := _refused(offset, length, point, stream):
+        return False, error, None
+    data, error = replay(bytes(stream), point["input_byte"] * 8 - point["prime_bits"], bytes(point["dictionary"]), offset - point["output_offset"] + length)
+    data = data[offset - point["output_offset"] :]
+    if error or len(data) != length:
+        return False, error or "requested output not fully produced", None
+    return True, "", data
+
+
+_EXTRACTED = "file_id bigint, request bigint, success boolean, error string, data binary"
+
+
 def extract_output(points: DataFrame, streams: DataFrame, ranges: DataFrame) -> DataFrame:
     """(file_id, request, success, error, data) for output ranges (file_id, request, offset, length): resumed from the nearest point at or before.
 
     A range must lie within the output that was indexed; a stream whose zlib header or
     primed bits aren't those of the index isn't the one that was indexed.
     """
-    from glyphlake.functions.replay import replay
-
-    point = F.struct("input_byte", "prime_bits", "prime_value", "output_offset", "dictionary", "zlib_header", "total_output")
-    near = ranges.join(points, "file_id").where("output_offset <= greatest(offset, 0)").groupBy("file_id", "request", "offset", "length").agg(F.max_by(point, "output_offset").alias("p"))
+    near = ranges.join(points, "file_id").where("output_offset <= greatest(offset, 0)").groupBy("file_id", "request", "offset", "length").agg(F.max_by(F.struct(*_POINT), "output_offset").alias("p"))
     found = ranges.join(near, ["file_id", "request", "offset", "length"], "left").join(streams, "file_id", "left")
 
-    def refused(offset, length, point, stream) -> str:
-        if point is None:
-            return "no access index"
-        if offset < 0 or length < 0 or offset + length > point["total_output"]:
-            return "output range out of bounds"
-        if stream is None or len(stream) < 2:
-            return "source too short for the indexed stream"
-        if stream[:2] != point["zlib_header"]:
-            return "source changed since indexing"
-        if point["input_byte"] >= len(stream):
-            return "source too short for the access point"
-        bits = point["prime_bits"]
-        return "source changed at the access point" if bits and stream[point["input_byte"] - 1] >> (8 - bits) != point["prime_value"] else ""
-
     def rows(file_id, request, offset, length, point, stream):
-        error = refused(offset, length, point, stream)
-        if error:
-            yield file_id, request, False, error, None
-            return
-        data, error = replay(bytes(stream), point["input_byte"] * 8 - point["prime_bits"], bytes(point["dictionary"]), offset - point["output_offset"] + length)
-        data = data[offset - point["output_offset"] :]
-        if error or len(data) != length:
-            yield file_id, request, False, error or "requested output not fully produced", None
-        else:
-            yield file_id, request, True, "", data
-
-    return per_file(found, "file_id bigint, request bigint, success boolean, error string, data binary", rows, "file_id", "request", "offset", "length", "p", "stream")
+        yield file_id, request, *_extracted(offset, length, point, stream)
+
+    return per_file(found, _EXTRACTED, rows, "file_id", "request", "offset", "length", "p", "stream")
+
+
+def index_and_extract(files: DataFrame, min_interval: int, max_output: int = MAX_OUTPUT, kept: str | None = None) -> DataFrame:
+    """extract_output() from the points of access_points(), without a join: files (file_id, stream, requests) have what is asked of them beside what is indexed.
+
+    requests: array<struct<request, offset, length, source>>, source being the stream that is read; kept: a binary column that every row gets.
+    """
+
+    def rows(file_id, stream, requests, *more):
+        points = [dict(zip(_POINT, p[1:])) for p in _points(bytes(stream or b""), min_interval, max_output)]
+        for r in requests or ():
+            near = None
+            if r["offset"] is not None:
+                near = max((p for p in points if p["output_offset"] <= max(r["offset"], 0)), key=lambda p: p["output_offset"], default=None)
+            yield file_id, r["request"], *_extracted(r["offset"], r["length"], near, r["source"]), *more
+
+    more = (kept,) if kept else ()
+    return per_file(files, _EXTRACTED + "".join(f", {c} binary" for c in more), rows, "file_id", "stream", "requests", *more)

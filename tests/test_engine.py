@@ -309,3 +309,38 @@ def test_literal_walk_has_no_limit_of_rows(spark):
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
     assert len(got) == 20 and all((r["status"], r["literal_token"], r["depth"], list(r["path"])) == ("ready", 0, r["request"], list(range(r["request"], -1, -1))) for r in got)
+
+
+def test_blocks_are_found_as_the_decoder_finds_them():
+    import zlib
+
+    from glyphlake.functions import deflate, replay
+
+    r = random.Random(4)
+    for level, strategy in ((0, 0), (1, 0), (6, 0), (6, zlib.Z_HUFFMAN_ONLY), (6, zlib.Z_RLE), (6, zlib.Z_FIXED)):
+        c = zlib.compressobj(level, zlib.DEFLATED, 15, 1, strategy)
+        stream = b"".join(c.compress(bytes(r.choices(b"abcdefgh", [30, 20, 10, 5, 3, 2, 1, 1], k=9000))) + c.flush(zlib.Z_PARTIAL_FLUSH) for _ in range(6)) + c.flush()
+        t = deflate.trace(stream, 1 << 20, False)
+        begins, data = deflate.borders(stream, 1 << 20)
+        assert t.success and data == t.data and begins == [(b["input_bit_begin"], b["output_begin"]) for b in t.blocks]
+        for b in t.blocks[1::3]:
+            at = b["output_begin"]
+            assert replay.replay(stream, b["input_bit_begin"], bytes(data[max(0, at - 32768) : at]), 7000) == (bytes(data[at : at + 7000]), "")
+        assert deflate.borders(stream[:-5], 1 << 20) is None and deflate.borders(stream, len(data) - 1) is None
+
+
+def test_indexing_and_extracting_a_large_file_takes_seconds(spark):
+    import time
+
+    raw = bytes(random.Random(2).choices(b"abcdefghijklmnop", range(1, 17), k=1_000_000)) * 8
+    files = spark.createDataFrame([(1, bytearray(E.zlib_stream(raw, 1)))], "file_id bigint, stream binary")
+    wanted = ", ".join(f"named_struct('request', {k}L, 'offset', {o}L, 'length', 5000L, 'source', stream)" for k, o in enumerate((0, 7_000_001, len(raw) - 5000, len(raw) - 4999)))
+    files = files.selectExpr("*", f"array({wanted}) as requests")
+    began = time.perf_counter()
+    got = {r["request"]: r for r in tracing.index_and_extract(files, 1 << 20).collect()}
+    assert time.perf_counter() - began < 8
+    assert [bytes(got[k]["data"]) == raw[o : o + 5000] for k, o in enumerate((0, 7_000_001, len(raw) - 5000))] == [True] * 3
+    assert got[3]["error"] == "output range out of bounds"
+    points = tracing.access_points(files, 1 << 20)
+    ranges = files.selectExpr("file_id", "inline(requests)").drop("source")
+    assert {r["request"]: r for r in tracing.extract_output(points, files.drop("requests"), ranges).collect()} == got

@@ -126,3 +126,20 @@ def test_chunk_walk_cases():
     assert walk(clean[:20])[2] == [{"kind": "truncated_data", "offset": 16}]
     assert walk(clean[:33]) [2] == []
     assert np.frombuffer(chunks[0]["type"], np.uint8).tolist() == [73, 72, 68, 82]
+
+
+def test_steps_file_by_file_share_a_worker_and_bound_batches(spark):
+    from glyphlake.functions import perfile
+
+    def parts(k, n):
+        for i in range(n):
+            yield k, i, bytes(300_000)
+
+    def sizes(i, data):
+        yield i, len(data), [i] * 3
+
+    once = perfile.per_file(spark.createDataFrame([(1, 40), (2, 3)], "k bigint, n bigint"), "k bigint, i bigint, data binary", parts, "k", "n")
+    twice = perfile.per_file(once, "i bigint, size bigint, l array<bigint>", sizes, "i", "data")
+    assert twice._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["i"], r["size"], r["l"]) for r in twice.collect()) == sorted((i, 300_000, [i] * 3) for n in (40, 3) for i in range(n))
+    assert sorted(map(tuple, once.selectExpr("k", "i", "octet_length(data)").collect())) == sorted((k, i, 300_000) for k, n in ((1, 40), (2, 3)) for i in range(n))
