@@ -344,3 +344,13 @@ def test_indexing_and_extracting_a_large_file_takes_seconds(spark):
     points = tracing.access_points(files, 1 << 20)
     ranges = files.selectExpr("file_id", "inline(requests)").drop("source")
     assert {r["request"]: r for r in tracing.extract_output(points, files.drop("requests"), ranges).collect()} == got
+
+
+def test_extract_checks_moves_no_stream(spark):
+    from glyphlake.plans import queries
+
+    df = queries.extract_checks(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    errors = {(r["request"], r["success"], r["error"]) for r in df.collect()}
+    assert errors == {(0, True, ""), (1, False, "output range out of bounds"), (2, False, "source changed since indexing"), (3, False, "source too short for the indexed stream"), (4, False, "source too short for the access point")}
