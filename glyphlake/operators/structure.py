@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +19,40 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 KINDS = ("bad_signature", "truncated_signature", "truncated_header", "truncated_data", "truncated_crc", "trailing_bytes_after_iend")
 
 
-def walk(data: bytes) -> tuple[bool, list[dict], list[dict]]:
-    """Signature, whole chunks and issues; the walk ends at the first malformed chunk or after IEND."""
+def _spans(data: bytes, issues: list[dict]) -> Iterator[tuple[int, int, bytes]]:
+    """(header offset, data length, type) of each whole chunk; issues gets what is wrong."""
     size = len(data)
     if size < 8:
-        return False, [], [{"kind": "truncated_signature", "offset": size}]
-    valid, issues, chunks, at = data.startswith(_SIGNATURE), [], [], 8
-    if not valid:
-        return False, [], [{"kind": "bad_signature", "offset": 0}]
+        issues.append({"kind": "truncated_signature", "offset": size})
+        return
+    if not data.startswith(_SIGNATURE):
+        issues.append({"kind": "bad_signature", "offset": 0})
+        return
+    at, header = 8, struct.Struct(">I4s").unpack_from
     while at < size:
         if size - at < 8:
             issues.append({"kind": "truncated_header", "offset": at})
             break
-        (n,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        n, kind = header(data, at)
         if size - at - 8 < n:
             issues.append({"kind": "truncated_data", "offset": at + 8})
             break
         if size - at - 8 - n < 4:
             issues.append({"kind": "truncated_crc", "offset": at + 8 + n})
             break
-        chunks.append({"idx": len(chunks), "type": kind, "header_offset": at, "data_offset": at + 8, "data_length": n, "crc_offset": at + 8 + n})
+        yield at, n, kind
         at += 12 + n
         if kind == b"IEND":
             if at < size:
                 issues.append({"kind": "trailing_bytes_after_iend", "offset": at})
             break
-    return valid, chunks, issues
+
+
+def walk(data: bytes) -> tuple[bool, list[dict], list[dict]]:
+    """Signature, whole chunks and issues; the walk ends at the first malformed chunk or after IEND."""
+    issues: list[dict] = []
+    chunks = [{"idx": k, "type": kind, "header_offset": at, "data_offset": at + 8, "data_length": n, "crc_offset": at + 8 + n} for k, (at, n, kind) in enumerate(_spans(data, issues))]
+    return data.startswith(_SIGNATURE), chunks, issues
 
 
 def index_files(files: DataFrame) -> DataFrame:
@@ -114,6 +123,16 @@ def with_stream(indexed: DataFrame) -> DataFrame:
     return indexed.withColumn("stream", idat_stream("content", "chunks"))
 
 
+def streams(files: DataFrame) -> DataFrame:
+    """(file_id, stream) of files: with_stream() of their index, file by file and so in one pass with what makes and what reads them, if no chunk is asked for."""
+
+    def rows(file_id, content):
+        data = bytes(content or b"")
+        yield file_id, b"".join([data[at + 8 : at + 8 + n] for at, n, kind in _spans(data, []) if kind == b"IDAT"])
+
+    return per_file(files, "file_id bigint, stream binary", rows, "file_id", "content")
+
+
 def logical_to_physical(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     """Physical pieces (file_id, request, seg, offset, length) of logical ranges (file_id, request, begin, length); none if a range leaves the stream."""
     size = segments.groupBy("file_id").agg(F.sum("length").alias("size"))

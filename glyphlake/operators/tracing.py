@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
 from glyphlake.functions import deflate
@@ -164,14 +166,17 @@ def extract_output(points: DataFrame, streams: DataFrame, ranges: DataFrame) ->
     return per_file(found, _EXTRACTED, rows, "file_id", "request", "offset", "length", "p", "stream")
 
 
-def index_and_extract(files: DataFrame, min_interval: int, max_output: int = MAX_OUTPUT, kept: str | None = None) -> DataFrame:
+def index_and_extract(files: DataFrame, min_interval: int, max_output: int = MAX_OUTPUT, kept: str | None = None, ask: Callable[[bytes], Iterable[dict]] | None = None) -> DataFrame:
     """extract_output() from the points of access_points(), without a join: files (file_id, stream, requests) have what is asked of them beside what is indexed.
 
     requests: array<struct<request, offset, length, source>>, source being the stream that is read; kept: a binary column that every row gets.
+    ask: gives a stream's requests in place of that column, so that files straight from another step need no pass of their own.
     """
 
-    def rows(file_id, stream, requests, *more):
-        points = [dict(zip(_POINT, p[1:])) for p in _points(bytes(stream or b""), min_interval, max_output)]
+    def rows(file_id, stream, *more):
+        stream = bytes(stream or b"")
+        requests, *more = (ask(stream), *more) if ask else more
+        points = [dict(zip(_POINT, p[1:])) for p in _points(stream, min_interval, max_output)]
         for r in requests or ():
             near = None
             if r["offset"] is not None:
@@ -179,4 +184,4 @@ def index_and_extract(files: DataFrame, min_interval: int, max_output: int = MAX
             yield file_id, r["request"], *_extracted(r["offset"], r["length"], near, r["source"]), *more
 
     more = (kept,) if kept else ()
-    return per_file(files, _EXTRACTED + "".join(f", {c} binary" for c in more), rows, "file_id", "stream", "requests", *more)
+    return per_file(files, _EXTRACTED + "".join(f", {c} binary" for c in more), rows, "file_id", "stream", *(() if ask else ("requests",)), *more)

@@ -17,9 +17,15 @@ def _row(file_id: int, kind: str, content: bytes) -> tuple:
     return file_id, f"{kind}/{file_id}.png", len(content), content
 
 
+#: Pieces of a table for each core, where the session leaves it to Spark, and where Spark would make about one: a task more than there are cores doubles the time.
+PIECES, PIECES_KEY = 4, "spark.sql.files.minPartitionNum"
+
+
 def _read(spark, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer files than there are cores is dealt out over them."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if not spark.conf.get(PIECES_KEY, None):
+        spark.conf.set(PIECES_KEY, str(PIECES * cores))
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 

@@ -354,3 +354,54 @@ def test_extract_checks_moves_no_stream(spark):
     assert "Join" not in plan and "hashpartitioning" not in plan
     errors = {(r["request"], r["success"], r["error"]) for r in df.collect()}
     assert errors == {(0, True, ""), (1, False, "output range out of bounds"), (2, False, "source changed since indexing"), (3, False, "source too short for the indexed stream"), (4, False, "source too short for the access point")}
+
+
+def test_extract_checks_is_one_pass(spark):
+    from glyphlake.plans import queries
+
+    plan = queries.extract_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_streams_are_those_of_the_index(spark):
+    from glyphlake.sources import carriers as C
+
+    for made in (C.broken(spark, "/root/testdata/sf0.001"), C.gray_texts(spark, "/root/testdata/sf0.001"), spark.createDataFrame([(1, "", 0, None), (2, "", 0, bytearray(b"\x89PNG\r\n\x1a\n"))], C.FILES)):
+        want, got = ({r["file_id"]: r["m"] for r in df.select("file_id", F.md5("stream").alias("m")).collect()} for df in (structure.with_stream(structure.index_files(made)), structure.streams(made)))
+        assert want and got == want
+
+
+def test_what_is_asked_of_a_stream_may_be_a_function(spark):
+    files = spark.createDataFrame([(1, bytearray(E.zlib_stream(bytes(range(256)) * 9)), b"k"), (2, bytearray(b""), b""), (3, None, None)], "file_id bigint, stream binary, kept binary")
+    column = files.selectExpr("*", "array(named_struct('request', 7L, 'offset', 300L, 'length', 9L, 'source', coalesce(stream, X'')), named_struct('request', 8L, 'offset', -1L, 'length', 1L, 'source', X'78')) as requests")
+
+    def ask(stream):
+        return [{"request": 7, "offset": 300, "length": 9, "source": stream}, {"request": 8, "offset": -1, "length": 1, "source": b"x"}]
+
+    for kept in (None, "kept"):
+        want, got = (sorted(map(tuple, df.collect())) for df in (tracing.index_and_extract(column.where("file_id < 3"), 20000, kept=kept), tracing.index_and_extract(files.where("file_id < 3"), 20000, kept=kept, ask=ask)))
+        assert got == want and got[0][2] and got[0][4] == bytes(range(44, 53))
+    assert tracing.index_and_extract(files, 20000, ask=ask).count() == 6
+
+
+def test_large_tables_come_in_several_pieces_a_core(spark, tmp_path):
+    from glyphlake.sources import carriers as C
+
+    cores, key = spark.sparkContext.defaultParallelism, "spark.sql.files.openCostInBytes"
+    spark.range(40 * cores).selectExpr("id", "cast(id as string) as text").repartition(8 * cores).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        assert C._read(spark, str(tmp_path), "documents").rdd.getNumPartitions() >= 3 * cores
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_filters_of_many_rows_are_those_of_single_rows():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for height, width, bpp in ((1, 1, 1), (4, 3, 6), (7, 16, 1), (23, 12, 3)):
+        rows = r.choice(np.array([0, 1, 127, 128, 254, 255], np.uint8), (height, width))
+        above = [bytes(width), *map(bytes, rows)]
+        assert E.filter_rows(rows, bpp, True, 2) == b"".join(E.filter_row((2 + k) % 5, bytes(x), above[k], bpp) for k, x in enumerate(rows))
